@@ -8,6 +8,7 @@ distance from that centre is too large are rejected, besides those that fail fix
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of
 
 #: Components of the vector, and the least standard deviation that a group counts with: spread below it is never an outlier.
-FLOORS = {"log_words": 0.7, "word_length": 0.45, "symbols": 0.06, "dup_lines": 0.06, "repeats": 0.08}
+FLOORS = {"log_words": 0.7, "word_length": 0.45, "symbols": 0.06, "dup_lines": 0.09, "repeats": 0.13}
 DIMS = list(FLOORS)
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +36,11 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more.
 
@@ -42,20 +48,12 @@ def repeated_words(words: Column) -> Column:
     with their neighbours; the places of those that have an equal neighbour are counted once each.
     """
     n = F.size(words)
-    at = lambda i: F.get(words, i)
-    window = lambda i: F.concat_ws(" ", at(i), at(i + 1), at(i + 2))
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(window(i)).alias("h"), window(i).alias("w"), i.alias("i"))))
-    return F.when(n < 4, F.lit(0)).otherwise(F.size(_covered(windows))).cast("long")
-
-
-def _covered(windows: Column) -> Column:
-    same = lambda a, b: (a["h"] == b["h"]) & (a["w"] == b["w"])
-    nth = lambda i: F.get(windows, i)
-    found = F.filter(
-        F.transform(windows, lambda x, i: F.when(F.coalesce(same(x, nth(i + 1)), F.lit(False)) | F.coalesce(same(x, nth(i - 1)), F.lit(False)), x["i"])),
-        lambda i: i.isNotNull(),
-    )
-    return F.array_distinct(F.concat(found, F.transform(found, lambda i: i + 1), F.transform(found, lambda i: i + 2)))
+    windows = F.transform(F.slice(words, 1, n - 2), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)))
+    ordered = F.sort_array(F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("h"), w.alias("w"), i.alias("i"))))
+    same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["w"] == b["w"]), F.lit(False))
+    repeated = lambda o: F.filter(F.transform(o, lambda x, k: F.when(same(x, F.get(o, k + 1)) | same(x, F.get(o, k - 1)), x["i"])), lambda i: i.isNotNull())
+    covered = lambda f: F.size(F.array_distinct(F.concat(f, F.transform(f, lambda i: i + 1), F.transform(f, lambda i: i + 2))))
+    return F.when(n < 4, F.lit(0)).otherwise(bind(bind(ordered, repeated), covered)).cast("long")
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -90,19 +88,15 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
 def _precision(moments: DataFrame, by: list[str]) -> DataFrame:
     """Add p00.. of the inverse of the covariance with floored variances, by a Cholesky factor of columns."""
     k, out = len(DIMS), moments
+    minus = lambda x, ys: reduce(lambda a, b: a - b, ys, x)
     for j in range(k):
-        dot = [F.col(f"l{j}{a}") * F.col(f"l{j}{a}") for a in range(j)]
         # the floor adds to each variance: a ridge that keeps the matrix positive definite
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(reduce(lambda x, y: x - y, dot, F.col(f"s{j}{j}") + FLOORS[DIMS[j]] ** 2), F.lit(1e-12))))
-        for i in range(j + 1, k):
-            dot = [F.col(f"l{i}{a}") * F.col(f"l{j}{a}") for a in range(j)]
-            out = out.withColumn(f"l{i}{j}", reduce(lambda x, y: x - y, dot, F.col(f"s{i}{j}")) / F.col(f"l{j}{j}"))
-    for j in range(k):  # inverse of the factor
-        for i in range(j, k):
-            if i == j:
-                out = out.withColumn(f"v{i}{j}", 1 / F.col(f"l{i}{i}"))
-            else:
-                out = out.withColumn(f"v{i}{j}", -reduce(add, [F.col(f"l{i}{a}") * F.col(f"v{a}{j}") for a in range(j, i)]) / F.col(f"l{i}{i}"))
+        own = minus(F.col(f"s{j}{j}") + FLOORS[DIMS[j]] ** 2, [F.col(f"l{j}{a}") * F.col(f"l{j}{a}") for a in range(j)])
+        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(own, F.lit(1e-12))))
+        out = out.withColumns({f"l{i}{j}": minus(F.col(f"s{i}{j}"), [F.col(f"l{i}{a}") * F.col(f"l{j}{a}") for a in range(j)]) / F.col(f"l{j}{j}") for i in range(j + 1, k)})
+    out = out.withColumns({f"v{i}{i}": 1 / F.col(f"l{i}{i}") for i in range(k)})
+    for d in range(1, k):  # inverse of the factor, one diagonal after another
+        out = out.withColumns({f"v{j + d}{j}": -reduce(add, [F.col(f"l{j + d}{a}") * F.col(f"v{a}{j}") for a in range(j, j + d)]) / F.col(f"l{j + d}{j + d}") for j in range(k - d)})
     inverse = [reduce(add, [F.col(f"v{a}{i}") * F.col(f"v{a}{j}") for a in range(i, k)]).alias(f"p{i}{j}") for i in range(k) for j in range(i + 1)]
     return out.select(*by, *[f"m{i}" for i in range(k)], *inverse)
 
@@ -129,7 +123,7 @@ def mcd_centres(rows: DataFrame, by: list[str], support: float = 0.75, steps: in
     return materialize(centres, "centres")
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), support: float = 0.75, steps: int = 3, cutoff: float = 30.0, least_rows: int = 60) -> DataFrame:
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), support: float = 0.75, steps: int = 3, cutoff: float = 22.0, least_rows: int = 60) -> DataFrame:
     """One row per document: doc_id, counts, ``base_failed``, ``distance2`` and ``kept``.
 
     ``kept`` is false if a base rule fails, else whether the squared Mahalanobis distance from the robust
