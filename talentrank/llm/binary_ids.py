@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import drop_path, new_path, text_of
-from .encoders import encoder, public_path
+from .encoders import encoder, in_runs, public_path
 
 #: By control byte: which of the 4 x 4 byte places of its ids are filled.
 PLACES = np.array([[place <= (c >> 2 * i & 3) for i in range(4) for place in range(4)] for c in range(256)], dtype=bool)
@@ -72,7 +72,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         enc = encoder(tokenizer)
         kind = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
         for batch in batches:
-            found = [np.append(enc.ids(t), np.uint32(end_id)) for t in batch.column(1).to_pylist()]
+            found = [np.append(x, np.uint32(end_id)) for run in in_runs(batch.column(1).to_pylist()) for x in enc.many(run)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], names=raw.names)
 
     encoded_path = new_path(spark, "encoded")

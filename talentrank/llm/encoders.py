@@ -8,7 +8,11 @@ One encoder is made per Python worker and file.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import os
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -48,11 +52,8 @@ class ByteEncoder:
             raise ValueError(f"{path}: merges are not in the order of their ids")
         self._encoding = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self._encoding.encode_ordinary(text), dtype=np.uint32)
-
-    def count(self, text: str) -> int:
-        return len(self._encoding.encode_ordinary(text))
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(self._encoding.encode_ordinary(t), dtype=np.uint32) for t in texts]
 
 
 class WordEncoder:
@@ -63,6 +64,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, remember: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -71,22 +73,30 @@ class WordEncoder:
         self._known: dict[bytes, bytes] = {}
         self._remember = remember
 
-    def ids(self, text: str) -> np.ndarray:
-        chunks = text.encode("utf-8").split()
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.encode("utf-8").split() for t in texts]
         known = self._known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype=np.uint32)
-        except KeyError:
-            pass
-        if len(known) > self._remember:
-            known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        for c, e in zip(new, self._tokenizer.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False), strict=True):
-            known[c] = np.asarray(e.ids, dtype=np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype=np.uint32)
-
-    def count(self, text: str) -> int:
-        return len(self.ids(text))
+        new = list(set(itertools.chain.from_iterable(split)).difference(known))
+        if new:
+            if len(known) + len(new) > self._remember:
+                known.clear()
+                new = list(set(itertools.chain.from_iterable(split)))
+            for c, e in zip(new, self._tokenizer.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False), strict=True):
+                known[c] = struct.pack(f"={len(e)}I", *e.ids)
+        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype=np.uint32) for chunks in split]
+
+
+def in_runs(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in runs of about so many characters, which bounds what a worker holds at once."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 @functools.lru_cache(maxsize=4)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, text_of
-from .encoders import encoder, public_path
+from .encoders import encoder, in_runs, public_path
 
 
 def piece_lengths(n: int, sequence: int) -> list[int]:
@@ -56,8 +56,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = 1024, en
         seen = [0] * sequence.bit_length()
         for batch in batches:
             rows, starts, lengths, ids, totals, buckets, nth = [], [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                data = np.append(enc.ids(text), np.uint32(end_id)).astype("<u4").tobytes()
+            texts = batch.column(1).to_pylist()
+            for row, found in enumerate(x for run in in_runs(texts) for x in enc.many(run)):
+                data = np.append(found, np.uint32(end_id)).astype("<u4").tobytes()
                 n, at = len(data) // 4, 0
                 for k in piece_lengths(n, sequence):
                     b = k.bit_length() - 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, chat, packing, quality, token_counts
+from . import binary_ids, chat, ngram_join, packing, quality, token_counts
 from .common import new_path
 from .encoders import public_path
 
@@ -42,6 +42,10 @@ def op9_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.digests(spark, path)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), percent=90, words=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": op2_chat_format,
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
         "op9_binary_ids": op9_binary_ids,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
-from .encoders import encoder, public_path
+from .encoders import encoder, in_runs, public_path
 
 #: Lengths per block of the two-level suffix sums.
 BLOCK = 4096
@@ -27,7 +27,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text", ext
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"length": pa.array([enc.count(t) + extra_tokens for t in batch.column(0).to_pylist()], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"length": pa.array([len(x) + extra_tokens for run in in_runs(batch.column(0).to_pylist()) for x in enc.many(run)], pa.int64())})
 
     return docs.select(text_of(text_col).alias("t")).mapInArrow(lengths, "length long")
 
