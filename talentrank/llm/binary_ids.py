@@ -13,7 +13,7 @@ committer (a lost executor leaves no half files): ``shard``, ``pos``, ``doc_id``
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +26,44 @@ from .encoders import encoder, in_runs, public_path
 
 #: By control byte: which of the 4 x 4 byte places of its ids are filled.
 PLACES = np.array([[place <= (c >> 2 * i & 3) for i in range(4) for place in range(4)] for c in range(256)], dtype=bool)
-#: By control byte: how many data bytes it has.
-WIDTHS = PLACES.sum(1)
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of some ranks below 2**32."""
-    r = ranks.astype("<u4")
+def encode_ranks(ranks: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(control, data) per document, for the ranks (below 2**32) of some documents in a row."""
+    quads = -(-lengths // 4)
+    filled = np.arange(4 * int(quads.sum())) < np.repeat(4 * (np.cumsum(quads) - quads) + lengths, 4 * quads)
+    r = np.zeros(len(filled), "<u4")
+    r[filled] = ranks
     codes = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    padded = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    padded[: len(r)] = codes
-    quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= codes[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
-
-
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` ranks of a document, by table lookup.
-
-    The last control byte also describes up to three places that hold no id; they have one byte each
-    in the table and none in the data, so zeros are put there.
-    """
-    c = np.frombuffer(control, np.uint8)
-    places = PLACES[c]
-    spare = 4 * len(c) - n
-    out = np.zeros((len(c), 16), np.uint8)
-    out[places] = np.frombuffer(data + b"\0" * spare, np.uint8)
-    return out.reshape(-1, 4).view("<u4").ravel()[:n]
+    q = codes.reshape(-1, 4)
+    control = (q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).astype(np.uint8).tobytes()
+    data = r.view(np.uint8).reshape(-1, 4)[(np.arange(4) <= codes[:, None]) & filled[:, None]].tobytes()
+    widths = np.concatenate([[0], np.cumsum(np.where(filled, codes.astype(np.int64) + 1, 0))])
+    ends = np.concatenate([[0], np.cumsum(quads)])
+    at = widths[4 * ends]
+    cut = lambda x, c: [x[i:j] for i, j in zip(c[:-1].tolist(), c[1:].tolist(), strict=True)]
+    return cut(control, ends), cut(data, at)
+
+
+def decode_ranks(control: list[bytes], data: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """The ranks of some documents in a row, by table lookup; places after a document's last id hold no byte."""
+    c = np.frombuffer(b"".join(control), np.uint8)
+    quads = -(-lengths // 4)
+    filled = np.arange(4 * len(c)) < np.repeat(4 * (np.cumsum(quads) - quads) + lengths, 4 * quads)
+    places = PLACES[c].reshape(-1, 4)
+    places &= filled[:, None]
+    out = np.zeros((4 * len(c), 4), np.uint8)
+    out[places] = np.frombuffer(b"".join(data), np.uint8)
+    return out.view("<u4").ravel()[filled]
+
+
+def short(batch: pa.RecordBatch, ids: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many ids, which bounds what a worker holds at once."""
+    runs = np.cumsum(batch.column("n_tokens").to_numpy()) // ids
+    cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if i < j:
+            yield batch.slice(i, j - i)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -79,17 +89,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     docs.select(F.col(id_col), text_of(text_col).alias("t")).mapInArrow(encode, raw).write.option("compression", "zstd").parquet(encoded_path)
     encoded = spark.read.schema(raw).parquet(encoded_path)
 
-    def unpack(ids: bytes, n: int) -> np.ndarray:
-        return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
+    def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch in a row, and the documents' lengths."""
+        ids, n = b"".join(batch.column("ids").to_pylist()), batch.column("n_tokens").to_numpy()
+        return np.frombuffer(ids, "<u2" if len(ids) == 2 * n.sum() else "<u4"), n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
-                c = np.bincount(unpack(ids, n), minlength=len(total))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total += c
+            c = np.bincount(unpack(batch)[0])
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[: len(c)] += c
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
@@ -103,9 +114,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        for batch in batches:
-            both = [encode_ranks(ranks[unpack(ids, n)]) for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([b[0] for b in both], pa.binary()), pa.array([b[1] for b in both], pa.binary())], names=form.names)
+        for whole in batches:
+            for batch in short(whole):
+                ids, n = unpack(batch)
+                control, data = encode_ranks(ranks[ids], n)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=form.names)
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     coded = encoded.mapInArrow(code, form).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.crc32("data"))
@@ -115,44 +128,39 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     drop_path(spark, encoded_path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Read the files back: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit), ids_crc32."""
+def _decoded(spark: SparkSession, path: str, column: T.StructField, finish: Callable[[bytes], object]) -> DataFrame:
+    """doc_id, start, n_tokens and what ``finish`` makes of each document's ids, from the files."""
     stored = spark.read.parquet(f"{path}/ids")
     by_rank = np.array([r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").toLocalIterator()], "<u4")
     shared = spark.sparkContext.broadcast(by_rank)
-    form = T.StructType([*(stored.schema[c] for c in ("shard", "pos", "doc_id", "n_tokens")), T.StructField("ids", T.BinaryType())])
+    kept = ["shard", "pos", "doc_id", "n_tokens"]
+    form = T.StructType([*(stored.schema[c] for c in kept), column])
+    kind = pa.binary() if isinstance(column.dataType, T.BinaryType) else pa.int64()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")), strict=True)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "pos", "doc_id", "n_tokens")), pa.array([ids[decode_ranks(c, d, n)].tobytes() for c, d, n in rows], pa.binary())], names=form.names)
+        for whole in batches:
+            for batch in short(whole):
+                n = batch.column("n_tokens").to_numpy()
+                found = ids[decode_ranks(batch.column("control").to_pylist(), batch.column("data").to_pylist(), n)].tobytes()
+                ends = (4 * np.cumsum(n)).tolist()
+                made = [finish(found[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, kind)], names=form.names)
 
+    read = stored.mapInArrow(decode, form)
     shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     inside = Window.partitionBy("shard").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored.select("shard", "pos", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("within")).join(shards, "shard").select("pos", (F.col("first") + F.col("within")).alias("start"))
-    return stored.mapInArrow(decode, form).join(starts, "pos").select("doc_id", "start", "n_tokens", "ids")
+    within = read.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    return within.join(shards, "shard").select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", column.name)
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """As :func:`read_ids`, with the crc32 of each document's ids in place of the ids; ids never leave the task that decodes them."""
-    stored = spark.read.parquet(f"{path}/ids")
-    by_rank = np.array([r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").toLocalIterator()], "<u4")
-    shared = spark.sparkContext.broadcast(by_rank)
-    form = T.StructType([*(stored.schema[c] for c in ("shard", "pos", "doc_id", "n_tokens")), T.StructField("ids_crc32", T.LongType())])
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Read the files back: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+    return _decoded(spark, path, T.StructField("ids", T.BinaryType()), lambda ids: ids)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")), strict=True)
-            crc = pa.array([zlib.crc32(ids[decode_ranks(c, d, n)].tobytes()) for c, d, n in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "pos", "doc_id", "n_tokens")), crc], names=form.names)
 
-    read = stored.mapInArrow(decode, form)
-    shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return read.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(shards, "shard").select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_ids`, with ``ids_crc32`` in place of the ids, which never leave the task that decodes them."""
+    return _decoded(spark, path, T.StructField("ids_crc32", T.LongType()), zlib.crc32)

@@ -11,7 +11,6 @@ import functools
 import itertools
 import json
 import os
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,33 +56,84 @@ class ByteEncoder:
 
 
 class WordEncoder:
-    """BPE whose pre-tokenizer drops white space: a text's ids are its chunks' ids in a row.
+    """BPE with word ends, whose pre-tokenizer drops white space and whose normalizer lower-cases.
 
-    Chunks between ASCII white space are encoded once by the library and remembered,
-    at most ``remember`` of them per worker.
+    A text's ids are the ids of its chunks between ASCII white space in a row, and a chunk that ends in
+    ASCII punctuation after a letter is its letters and its punctuation. So chunks and their parts are
+    encoded by the library once and remembered, at most ``remember`` of each per worker. Parts are handed
+    over many at a time; ids that end a word tell them apart again.
     """
 
+    #: ASCII punctuation but the apostrophe, which can begin a suffix.
+    _MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+
     def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self.vocab_size = self._tokenizer.get_vocab_size(with_added_tokens=True)
-        self._known: dict[bytes, bytes] = {}
+        vocab = self._tokenizer.get_vocab(with_added_tokens=True)
+        self.vocab_size = max(vocab.values()) + 1
+        suffix = self._tokenizer.model.end_of_word_suffix
+        self._ends = np.zeros(self.vocab_size, bool)
+        if suffix:
+            self._ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self._chunks: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}  # what was known before the last time that room was made
+        self._parts: dict[bytes, bytes] = {}
         self._remember = remember
 
+    def _letters(self, chunk: bytes) -> int:
+        """Where the punctuation at the end of a chunk begins, if a letter stands before it; else its length."""
+        core = chunk.rstrip(self._MARKS)
+        if core and (97 <= core[-1] <= 122 or core[-1] >= 128 and core.decode("utf-8")[-1].isalpha()):
+            return len(core)
+        return len(chunk)
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        known, alone = self._parts, []
+        for k in range(0, len(parts), 256):
+            some = parts[k : k + 256]
+            ids = np.asarray(self._tokenizer.encode(b"\n".join(some).decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) == len(some):
+                data, at = ids.tobytes(), 0
+                for w, e in zip(some, (4 * ends).tolist(), strict=True):
+                    known[w] = data[at:e]
+                    at = e
+            else:
+                alone += some
+        for w, e in zip(alone, self._tokenizer.encode_batch_fast([w.decode("utf-8") for w in alone], add_special_tokens=False), strict=True):
+            known[w] = np.asarray(e.ids, np.uint32).tobytes()
+
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8").split() for t in texts]
-        known = self._known
-        new = list(set(itertools.chain.from_iterable(split)).difference(known))
+        split = [t.encode("utf-8").lower().split() for t in texts]
+        new = set(itertools.chain.from_iterable(split)).difference(self._chunks)
         if new:
-            if len(known) + len(new) > self._remember:
-                known.clear()
-                new = list(set(itertools.chain.from_iterable(split)))
-            for c, e in zip(new, self._tokenizer.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False), strict=True):
-                known[c] = struct.pack(f"={len(e)}I", *e.ids)
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype=np.uint32) for chunks in split]
+            if len(self._chunks) + len(new) > self._remember:
+                self._older, self._chunks = self._chunks, {}
+                new = set(itertools.chain.from_iterable(split))
+            chunks, older = self._chunks, self._older
+            cut = {}
+            for w in new:
+                if w in older:
+                    chunks[w] = older[w]
+                else:
+                    cut[w] = self._letters(w)
+            if len(self._parts) + 2 * len(cut) > self._remember:
+                self._parts = {}
+            todo = {w[:k] for w, k in cut.items()}
+            todo.update({w[k:] for w, k in cut.items() if k < len(w)})
+            todo.difference_update(self._parts)
+            # words and the rest go in separate calls, so that a part of several words doesn't slow down many
+            words = [w for w in todo if w.isalpha() or w.decode("utf-8").isalpha()]
+            self._learn_parts(words)
+            self._learn_parts(list(todo.difference(words)))
+            known = self._parts
+            for w, k in cut.items():
+                chunks[w] = known[w[:k]] + known[w[k:]] if k < len(w) else known[w]
+        return [np.frombuffer(b"".join(map(self._chunks.__getitem__, c)), dtype=np.uint32) for c in split]
 
 
 def in_runs(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
