@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, chat, decontamination, language_model, ngram_join, packing, quality, token_counts
+from . import binary_ids, chat, decontamination, language_model, ngram_join, packing, quality, token_counts, toxicity
 from .common import new_path
 from .encoders import public_path
 
@@ -31,6 +31,11 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"), modulus=7)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=4, threshold=0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), sequence=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_chat_format": op2_chat_format,
         "op3_lm_score": op3_lm_score,
+        "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
