@@ -33,7 +33,7 @@ CLASSES = 4096
 #: Symbols per row when counts are added up.
 CHUNK = 8192
 #: Tokens per call of the recursion.
-RUN_TOKENS = 400_000
+RUN_TOKENS = 250_000
 
 
 def letter_class(word: bytes) -> int:
@@ -390,7 +390,7 @@ def train(corpus: Corpus, states: int = 4, iterations: int = 2, mix: float = 0.1
     return hmm.Model(start, move, corpus.emissions(emit, mix))
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, states: int = 4, iterations: int = 2, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 12_000_000, own_share: float = 2e-6) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, states: int = 4, iterations: int = 2, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000, own_share: float = 2e-6) -> DataFrame:
     """Score every text by a model of those whose crc32(id as text) mod ``modulus`` is not 2.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
