@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from .common import materialize, text_of
 from .encoders import encoder, in_runs, public_path
 
+#: Rows of piece counts (20 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
 
 def piece_lengths(n: int, sequence: int) -> list[int]:
     """Powers of two, longest first, that add up to ``n``, none above ``sequence`` (itself a power of two)."""
@@ -77,9 +80,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = 1024, en
 
     pieces = docs.select(F.col(id_col), text_of(text_col).alias("t")).mapInArrow(cut, schema)
     pieces = materialize(pieces.withColumn("task", F.spark_partition_id()), "pieces")
-    counts = pieces.groupBy("bucket", "task").agg(F.count("*").alias("n"))
+    counts = materialize(pieces.groupBy("bucket", "task").agg(F.count("*").alias("n")), "piece-counts")
     before = Window.orderBy("bucket", "task").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("bucket", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # tasks times buckets rows; beyond the bound the pieces are dealt out by task and bucket
+    first = F.broadcast(first) if counts.count() <= BROADCAST_ROWS else first
     return pieces.join(first, ["bucket", "task"]).select(
         "doc_id", "start", "length", "ids", "doc_tokens", "bucket",
         (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
