@@ -20,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import drop_path, new_path, text_of
 from .encoders import encoder, in_runs, public_path
 
 #: By control byte: which of the 4 x 4 byte places of its ids are filled.
 PLACES = np.array([[place <= (c >> 2 * i & 3) for i in range(4) for place in range(4)] for c in range(256)], dtype=bool)
+#: By control byte: the bytes of its longest id.
+WIDEST = PLACES.reshape(256, 4, 4).sum(2).max(1)
 
 
 def encode_ranks(ranks: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -37,7 +40,8 @@ def encode_ranks(ranks: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], l
     codes = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
     q = codes.reshape(-1, 4)
     control = (q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).astype(np.uint8).tobytes()
-    data = r.view(np.uint8).reshape(-1, 4)[(np.arange(4) <= codes[:, None]) & filled[:, None]].tobytes()
+    wide = int(codes.max(initial=0)) + 1  # places that any rank here fills
+    data = r.view(np.uint8).reshape(-1, 4)[:, :wide][(np.arange(wide, dtype=np.uint8) <= codes[:, None]) & filled[:, None]].tobytes()
     widths = np.concatenate([[0], np.cumsum(np.where(filled, codes.astype(np.int64) + 1, 0))])
     ends = np.concatenate([[0], np.cumsum(quads)])
     at = widths[4 * ends]
@@ -50,10 +54,10 @@ def decode_ranks(control: list[bytes], data: list[bytes], lengths: np.ndarray) -
     c = np.frombuffer(b"".join(control), np.uint8)
     quads = -(-lengths // 4)
     filled = np.arange(4 * len(c)) < np.repeat(4 * (np.cumsum(quads) - quads) + lengths, 4 * quads)
-    places = PLACES[c].reshape(-1, 4)
-    places &= filled[:, None]
+    wide = int(WIDEST[c].max(initial=1))
+    places = PLACES[c].reshape(-1, 4)[:, :wide] & filled[:, None]
     out = np.zeros((4 * len(c), 4), np.uint8)
-    out[places] = np.frombuffer(b"".join(data), np.uint8)
+    out[:, :wide][places] = np.frombuffer(b"".join(data), np.uint8)
     return out.view("<u4").ravel()[filled]
 
 
@@ -70,23 +74,32 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     """Encode all documents and write them to ``path`` in ascending order of their ids.
 
     A null or empty text is the end id alone; null ids come first; repeated ids lie side by side.
-    Each text is encoded once: its ids wait in a written table while all ids are counted. The counts
-    are one number per vocabulary entry, which bounds what goes to the driver and back.
+    Each text is encoded once: its ids wait in a written table while all ids are counted. The counts,
+    one row per task, are one number per vocabulary entry, which bounds what goes to the driver and back.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or public_path("word_bpe_49k.json")
     id_type = docs.schema[id_col].dataType
-    raw = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    raw = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         kind = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
+        total = np.zeros(max(enc.vocab_size, end_id + 1), np.int64)
         for batch in batches:
-            found = [np.append(x, np.uint32(end_id)) for run in in_runs(batch.column(1).to_pylist()) for x in enc.many(run)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], names=raw.names)
-
+            ids, sizes = [], []
+            for run in in_runs(batch.column(1).to_pylist()):
+                found = [np.append(x, np.uint32(end_id)) for x in enc.many(run)]
+                total += np.bincount(np.concatenate(found), minlength=len(total))
+                sizes += map(len, found)
+                ids += [x.astype(kind).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=raw.names)
+        # the last row has how often the task met each id
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind_of), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=raw.names)
+
+    kind_of = to_arrow_type(id_type)
     encoded_path = new_path(spark, "encoded")
-    docs.select(F.col(id_col), text_of(text_col).alias("t")).mapInArrow(encode, raw).write.option("compression", "zstd").parquet(encoded_path)
+    docs.select(F.col(id_col), text_of(text_col).cast("binary").alias("t")).mapInArrow(encode, raw).write.option("compression", "zstd").parquet(encoded_path)
     encoded = spark.read.schema(raw).parquet(encoded_path)
 
     def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +110,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            c = np.bincount(unpack(batch)[0])
-            if len(c) > len(total):
-                total = np.pad(total, (0, len(c) - len(total)))
-            total[: len(c)] += c
+            for c in batch.column(0).to_pylist():
+                total = total + np.frombuffer(c, np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
-    counted = encoded.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    counted = encoded.where("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
     by_rank = counted["id"].to_numpy(np.int64)
     spark.createDataFrame(counted.reset_index(drop=True).rename_axis("rank").reset_index(), "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros((int(by_rank.max()) if len(by_rank) else 0) + 1, np.uint32)
@@ -121,8 +132,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=form.names)
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    coded = encoded.mapInArrow(code, form).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.crc32("data"))
-    ordered = coded.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("data"), "n_tokens")
+    # ranges are drawn from the plain scan, before any id is coded
+    dealt = encoded.where("counts is null").drop("counts").withColumn("crc", F.crc32("ids")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "crc")
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc", "n_tokens").drop("crc").mapInArrow(code, form)
     placed = ordered.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("pos"), *form.names)
     placed.write.option("compression", "none").parquet(f"{path}/ids")
     drop_path(spark, encoded_path)

@@ -11,6 +11,7 @@ import functools
 import itertools
 import json
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,8 +52,8 @@ class ByteEncoder:
             raise ValueError(f"{path}: merges are not in the order of their ids")
         self._encoding = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(self._encoding.encode_ordinary(t), dtype=np.uint32) for t in texts]
+    def many(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
+        return [np.asarray(self._encoding.encode_ordinary(t if isinstance(t, str) else t.decode("utf-8")), dtype=np.uint32) for t in texts]
 
 
 class WordEncoder:
@@ -67,7 +68,7 @@ class WordEncoder:
     #: ASCII punctuation but the apostrophe, which can begin a suffix.
     _MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait
         from tokenizers import Tokenizer
 
@@ -79,64 +80,71 @@ class WordEncoder:
         self._ends = np.zeros(self.vocab_size, bool)
         if suffix:
             self._ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self._chunks: dict[bytes, bytes] = {}
+        self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}  # what was known before the last time that room was made
         self._parts: dict[bytes, bytes] = {}
         self._remember = remember
 
-    def _letters(self, chunk: bytes) -> int:
-        """Where the punctuation at the end of a chunk begins, if a letter stands before it; else its length."""
-        core = chunk.rstrip(self._MARKS)
-        if core and (97 <= core[-1] <= 122 or core[-1] >= 128 and core.decode("utf-8")[-1].isalpha()):
-            return len(core)
-        return len(chunk)
-
     def _learn_parts(self, parts: list[bytes]) -> None:
         known, alone = self._parts, []
-        for k in range(0, len(parts), 256):
-            some = parts[k : k + 256]
-            ids = np.asarray(self._tokenizer.encode(b"\n".join(some).decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+        groups = [parts[k : k + 256] for k in range(0, len(parts), 256)]
+        for some, e in zip(groups, self._tokenizer.encode_batch_fast([b"\n".join(g).decode("utf-8") for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, np.uint32)
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) == len(some):
                 data, at = ids.tobytes(), 0
-                for w, e in zip(some, (4 * ends).tolist(), strict=True):
-                    known[w] = data[at:e]
-                    at = e
+                for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                    known[w] = data[at:end]
+                    at = end
             else:
                 alone += some
         for w, e in zip(alone, self._tokenizer.encode_batch_fast([w.decode("utf-8") for w in alone], add_special_tokens=False), strict=True):
             known[w] = np.asarray(e.ids, np.uint32).tobytes()
 
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8").lower().split() for t in texts]
-        new = set(itertools.chain.from_iterable(split)).difference(self._chunks)
+    def _learn(self, chunks: set[bytes]) -> None:
+        known, marks = self._known, self._MARKS
+        whole, marked = [], []
+        for w in chunks:
+            core = w.rstrip(marks)
+            k = len(core)
+            # punctuation at the end stands apart if a letter is before it
+            if k < len(w) and k and (97 <= core[-1] <= 122 or core[-1] >= 128 and unicodedata.normalize("NFC", core.decode("utf-8")).lower()[-1].isalpha()):
+                marked.append((w, core, w[k:]))
+            else:
+                whole.append(w)
+        if len(self._parts) + len(chunks) > self._remember:
+            self._parts = {}
+        parts = self._parts
+        todo = set(whole)
+        for _, core, tail in marked:
+            todo.add(core)
+            todo.add(tail)
+        todo = {w for w in todo if w not in parts}
+        # words and the rest go in separate calls, so that a part of several words doesn't slow down many
+        words = {w for w in todo if w.isalpha() or w.decode("utf-8").isalpha()}
+        self._learn_parts(list(words))
+        self._learn_parts(list(todo - words))
+        for w in whole:
+            known[w] = parts[w]
+        for w, core, tail in marked:
+            known[w] = parts[core] + parts[tail]
+
+    def many(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
+        split = [(t if isinstance(t, bytes) else t.encode("utf-8")).lower().split() for t in texts]
+        met = set(itertools.chain.from_iterable(split))
+        new = met.difference(self._known)
         if new:
-            if len(self._chunks) + len(new) > self._remember:
-                self._older, self._chunks = self._chunks, {}
-                new = set(itertools.chain.from_iterable(split))
-            chunks, older = self._chunks, self._older
-            cut = {}
-            for w in new:
-                if w in older:
-                    chunks[w] = older[w]
-                else:
-                    cut[w] = self._letters(w)
-            if len(self._parts) + 2 * len(cut) > self._remember:
-                self._parts = {}
-            todo = {w[:k] for w, k in cut.items()}
-            todo.update({w[k:] for w, k in cut.items() if k < len(w)})
-            todo.difference_update(self._parts)
-            # words and the rest go in separate calls, so that a part of several words doesn't slow down many
-            words = [w for w in todo if w.isalpha() or w.decode("utf-8").isalpha()]
-            self._learn_parts(words)
-            self._learn_parts(list(todo.difference(words)))
-            known = self._parts
-            for w, k in cut.items():
-                chunks[w] = known[w[:k]] + known[w[k:]] if k < len(w) else known[w]
-        return [np.frombuffer(b"".join(map(self._chunks.__getitem__, c)), dtype=np.uint32) for c in split]
-
-
-def in_runs(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+            if len(self._known) + len(new) > self._remember:
+                self._older, self._known, new = self._known, {}, met
+            again = self._older.keys() & new
+            self._known.update((w, self._older[w]) for w in again)
+            new = new - again
+            self._learn(new)
+        known = self._known
+        return [np.frombuffer(b"".join(map(known.__getitem__, c)), dtype=np.uint32) for c in split]
+
+
+def in_runs(texts: list[str], chars: int = 1 << 19) -> Iterator[list[str]]:
     """The texts in runs of about so many characters, which bounds what a worker holds at once."""
     run, size = [], 0
     for t in texts:
