@@ -34,6 +34,7 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.DOTALL)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -136,7 +137,8 @@ def parse(page: str) -> list[Node]:
         if m[1]:
             if tag == "br":
                 say(" ")
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            ends = HEADINGS if tag in HEADINGS else (tag,)  # any heading's end tag ends a heading
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ends), 0)
             if k:
                 close(k)
             continue
@@ -202,7 +204,7 @@ def parse(page: str) -> list[Node]:
 def features(node: Node, parent: Node | None) -> tuple[str, ...]:
     """What a node shows of itself."""
     if node.tag:
-        return (f"tag {TAG_GROUPS.get(node.tag, 'other')}", f"name {node.kind}")
+        return (f"name {node.kind}",)
     text = node.words()
     n, chars = text.count(" ") + 1, max(1, len("".join(node.text)))
     density = node.linked / chars
@@ -214,20 +216,29 @@ def features(node: Node, parent: Node | None) -> tuple[str, ...]:
     )
 
 
+def edge(node: Node, parent: Node) -> str:
+    """What the potential of a parent and a child depends on: the child's tag, and whether the parent is the page itself."""
+    return f"{TAG_GROUPS.get(node.tag, 'other') if node.tag else 'text'} {'page' if parent.tag in ('html', 'body') else 'block'}"
+
+
 @dataclass
 class Potentials:
-    """own: feature -> log-odds of content; child[p][c]: probability of label c under a parent of label p; root: of content."""
+    """own: feature -> log-odds of content; child[edge][p][c]: probability of label c under a parent of label p; root: of content."""
 
     own: dict[str, float]
-    child: tuple[tuple[float, float], tuple[float, float]]
+    child: dict[str, tuple[tuple[float, float], tuple[float, float]]]
     root: float
 
+    def between(self, node: Node, parent: Node) -> tuple[tuple[float, float], tuple[float, float]]:
+        return self.child.get(edge(node, parent)) or self.child[""]
+
 
 def marginals(nodes: list[Node], potentials: Potentials) -> list[float]:
     """Probability that each node is content, by sum-product up and down the tree."""
-    (a, b), (c, d) = potentials.child
     n = len(nodes)
-    own = []
+    own, between = [], [((1.0, 0.0), (0.0, 1.0))]
+    for node in nodes[1:]:
+        between.append(potentials.between(node, nodes[node.parent]))
     for node in nodes:
         s = 0.0
         for f in features(node, nodes[node.parent] if node.parent >= 0 else None):
@@ -237,6 +248,7 @@ def marginals(nodes: list[Node], potentials: Potentials) -> list[float]:
     below, up = own[:], [1.0] * n
     for i in range(n - 1, 0, -1):
         r = below[i]
+        (a, b), (c, d) = between[i]
         up[i] = (c + d * r) / (a + b * r)
         p = nodes[i].parent
         below[p] = max(1e-150, min(1e150, below[p] * up[i]))
@@ -245,6 +257,7 @@ def marginals(nodes: list[Node], potentials: Potentials) -> list[float]:
     ratio = [1.0] * n
     ratio[0] = min(1e150, below[0] * root)
     for i in range(1, n):
+        (a, b), (c, d) = between[i]
         rest = max(1e-150, min(1e150, ratio[nodes[i].parent] / up[i]))  # the parent's belief without this child
         down = (b + d * rest) / (a + c * rest)
         ratio[i] = max(1e-150, min(1e150, below[i] * down))
@@ -256,14 +269,14 @@ def marginals(nodes: list[Node], potentials: Potentials) -> list[float]:
 def fit(pages: list[str], smooth: float = 0.5) -> Potentials:
     """Potentials from labelled pages: an element's ``data-main`` labels it and what is below, up to another mark; unmarked: not content."""
     own: dict[str, list[float]] = {}
-    moves = [[smooth, smooth], [smooth, smooth]]
+    moves: dict[str, list[list[float]]] = {}
     for page in pages:
         nodes = parse(page)
         for i, node in enumerate(nodes):
             if node.label < 0:
                 node.label = nodes[node.parent].label if i else 0
-            if i:
-                moves[nodes[node.parent].label][node.label] += 1
+            for key in (edge(node, nodes[node.parent]), "") if i else ():
+                moves.setdefault(key, [[smooth, smooth], [smooth, smooth]])[nodes[node.parent].label][node.label] += 1
             for f in features(node, nodes[node.parent] if i else None):
                 own.setdefault(f, [0.0, 0.0])[node.label] += 1
     groups: dict[str, list[float]] = {}
@@ -276,7 +289,7 @@ def fit(pages: list[str], smooth: float = 0.5) -> Potentials:
     for f, n in own.items():
         g, k = groups[f.split(" ")[0]], kinds[f.split(" ")[0]]
         log[f] = math.log((n[1] + smooth) / (g[1] + k * smooth)) - math.log((n[0] + smooth) / (g[0] + k * smooth))
-    child = tuple(tuple(x / sum(row) for x in row) for row in moves)
+    child = {key: tuple(tuple(x / sum(row) for x in row) for row in table) for key, table in moves.items()}
     return Potentials(log, child, 0.02)
 
 
@@ -313,7 +326,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
 
     def block() -> str:
         return rnd.choice((
-            para, para, para, para, lambda: f"<h{rnd.randint(2, 4)}>{words(2, 7)}</h3>", lambda: f"<blockquote><p>{sentence()}</p></blockquote>",
+            para, para, para, para, lambda: "<h{0}>{1}</h{0}>".format(rnd.randint(2, 4), words(2, 7)), lambda: f"<blockquote><p>{sentence()}</p></blockquote>",
             lambda: "<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(rnd.randint(2, 5))) + "</ul>",
             lambda: "<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr>" for _ in range(rnd.randint(2, 4))) + "</table>",
             lambda: f"<figure><figcaption>{sentence()}</figcaption></figure>", lambda: f"<pre>{words(3, 20)}</pre>",
@@ -322,16 +335,17 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
     def other() -> str:
         kind = rnd.choice(("nav", "ad", "side", "foot", "head", "notice", "comment", "share", "form"))
         inside = {
-            "nav": lambda: links(rnd.randint(3, 9)), "ad": lambda: rnd.choice((sentence(), f'<a href="/x">{words(2, 8)}</a>', f"<p>{sentence()} {sentence()}</p>")),
-            "side": lambda: f"<h3>{words(1, 3)}</h3>" + rnd.choice((links(rnd.randint(2, 6)), f"<p>{sentence()}</p>")), "foot": lambda: f"<p>&copy; {words(2, 10)}.</p>" + rnd.choice(("", links(3))),
+            "nav": lambda: links(rnd.randint(3, 9)), "ad": lambda: rnd.choice((sentence(), f'<a href="/x">{words(2, 8)}</a>', para(), block())),
+            "side": lambda: f"<h3>{words(1, 3)}</h3>" + rnd.choice((links(rnd.randint(2, 6)), para(), block())), "foot": lambda: f"<p>&copy; {words(2, 10)}.</p>" + rnd.choice(("", links(3))),
             "head": lambda: f"<h1>{words(1, 3)}</h1>" + rnd.choice(("", links(3), f"<p>{sentence()}</p>")), "notice": lambda: rnd.choice((sentence(), f"<p>{sentence()} {sentence()}</p>")) + rnd.choice(("", "<button>ok</button>")),
-            "comment": lambda: "".join(f"<div{rnd.choice(('', attr('comment')))}><b>{word()}</b><p>{sentence()} {sentence()}</p></div>" for _ in range(rnd.randint(1, 4))),
+            "comment": lambda: "".join(f"<div{rnd.choice(('', attr('comment')))}><b>{word()}</b>{para()}</div>" for _ in range(rnd.randint(1, 4))),
             "share": lambda: rnd.choice((links(3), words(1, 4))), "form": lambda: f"<label>{words(1, 3)}</label><input><textarea></textarea><button>{word()}</button>",
         }[kind]()
         tag = {"nav": "nav", "side": "aside", "foot": "footer", "head": "header", "form": "form"}.get(kind)
         if tag and rnd.random() < 0.6:
             return f"<{tag}{rnd.choice(('', attr(kind)))}>{inside}</{tag}>"
-        return f"<{rnd.choice(('div', 'section', 'div'))}{attr(kind)}>{inside}</div>"
+        tag = rnd.choice(("div", "section", "div"))
+        return f"<{tag}{attr(kind)}>{inside}</{tag}>"
 
     pages = []
     for _ in range(n):
@@ -340,7 +354,9 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
             blocks.insert(rnd.randint(1, len(blocks)), other().replace(">", ' data-main="0">', 1))
         tag = rnd.choice((("article", ""), ("article", ""), ("article", attr("main")), ("main", ""), ("div", attr("main")), ("section", attr("main"))))
         body = f'<{tag[0]}{tag[1]} data-main="1">{"".join(blocks)}</{tag[0]}>'
-        if rnd.random() < 0.3:
+        if rnd.random() < 0.08:  # no container at all
+            body = "".join(b if 'data-main="0"' in b[:120] else b.replace(">", ' data-main="1">', 1) for b in blocks)
+        elif rnd.random() < 0.3:
             body = f"<{rnd.choice(('main', 'div', 'div'))}>{body}{rnd.choice(('', other()))}</div>"
         before, after = [other() for _ in range(rnd.randint(1, 4))], [other() for _ in range(rnd.randint(1, 4))]
         pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>")
