@@ -53,6 +53,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def with_row_ids(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A written copy of ``df`` with a number per row, and that column's name, which no column of ``df`` has."""
+    row = "_row"
+    while row.lower() in {c.lower() for c in df.columns}:
+        row = f"_{row}"
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def text_of(name: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

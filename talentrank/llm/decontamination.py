@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_of
+from .common import text_of, with_row_ids
 
 _WORDS = re.compile(r"\w+")
 #: Characters of items that are matched in one pass; more items are matched block by block.
@@ -185,6 +185,6 @@ def _search(spark: SparkSession, texts: DataFrame, items: list[str], error_rate:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, all columns unchanged."""
-    held = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-input")
-    hit = benchmark_matches(held, benchmark, error_rate, "_row", text_col).select(F.col("doc_id").alias("_row")).distinct()
-    return held.join(hit, "_row", "left_anti").drop("_row")
+    held, row = with_row_ids(docs, "decontamination-input")
+    hit = benchmark_matches(held, benchmark, error_rate, row, text_col).select(F.col("doc_id").alias(row)).distinct()
+    return held.join(hit, row, "left_anti").select(*docs.columns)

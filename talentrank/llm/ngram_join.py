@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, text_of, with_row_ids
 from .components import connected_components, local_forest
 
 #: Children of a tree node.
@@ -374,7 +374,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, id_co
 
 def near_duplicate_filter(docs: DataFrame, percent: int = 90, words: int = 3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that link to an earlier one: one row of each component stays, all columns unchanged. Rows without a shingle all stay."""
-    held = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "join-input")
-    found = jaccard_components(held, percent, words, "_row", text_col)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
-    return held.join(stay, "_row", "left_semi").drop("_row")
+    held, row = with_row_ids(docs, "join-input")
+    found = jaccard_components(held, percent, words, row, text_col)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return held.join(stay, row, "left_semi").select(*docs.columns)

@@ -15,7 +15,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, text_of, with_row_ids
 
 #: Components of the vector, and the least standard deviation that a group counts with: spread below it is never an outlier.
 FLOORS = {"log_words": 0.7, "word_length": 0.45, "symbols": 0.06, "dup_lines": 0.09, "repeats": 0.13}
@@ -153,9 +153,8 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "distance2")
 
 
-def quality_filter(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge_quality` keeps, all columns unchanged. Rows without an id are judged by their own text as one more document."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    held = materialize(rows, "quality-input")
-    verdict = judge_quality(held, id_col="_row", **settings).where("kept").select(F.col("doc_id").alias("_row"))
-    return held.join(verdict, "_row", "left_semi").drop("_row")
+def quality_filter(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge_quality` keeps, each judged by its own text, all columns unchanged."""
+    held, row = with_row_ids(docs, "quality-input")
+    verdict = judge_quality(held, id_col=row, **settings).where("kept").select(F.col("doc_id").alias(row))
+    return held.join(verdict, row, "left_semi").select(*docs.columns)
