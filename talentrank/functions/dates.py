@@ -37,11 +37,9 @@ def parse_loose(raw: Column, now: Column, default_now: bool = False) -> Column:
 def hebrew_months_to_numbers(raw: Column) -> Column:
     """'3 <month> 2020' and '<month> 2020' in Hebrew to 3/1/2020 and 1/2020; the day at most 28."""
     t = raw
-    for i, m in enumerate(HEBREW_MONTHS, 1):
-        day = F.least(F.regexp_extract(t, rf"(\d{{1,2}})\s+ב?{m}\s+\d{{4}}", 1).try_cast("int"), F.lit(28))
-        year = F.regexp_extract(t, rf"ב?{m}\s+(\d{{4}})", 1)
-        t = F.when(t.rlike(rf"\d{{1,2}}\s+ב?{m}\s+\d{{4}}"), F.concat(day.cast("string"), F.lit(f"/{i}/"), year)).when(t.rlike(rf"ב?{m}\s+\d{{4}}"), F.concat(F.lit(f"{i}/"), year)).otherwise(t)
-    return t
+    for i, m in enumerate(HEBREW_MONTHS, 1):  # each step names its input once, so the expression stays linear
+        t = F.regexp_replace(F.regexp_replace(t, rf"(\d{{1,2}})\s+ב?{m}\s+(\d{{4}})", f"$1/{i}/$2"), rf"ב?{m}\s+(\d{{4}})", f"{i}/$1")
+    return F.when(raw.rlike("[֐-׿]"), F.regexp_replace(t, r"^\s*(?:29|30|31)/(\d+/\d{4})\s*$", "28/$1")).otherwise(raw)
 
 
 def parse_multilingual(raw: Column, now: Column) -> Column:
@@ -61,7 +59,8 @@ def years_stability(start: Column, end: Column, now: Column) -> Column:
     open_end = end.isNull() | (F.lower(F.trim(end)) == "present")
     bare_s, bare_e = start.rlike(year), end.rlike(year)
     last = F.when(open_end, now).when(bare_e & ~bare_s, F.make_date(F.year(e), F.lit(6), F.lit(30))).otherwise(F.when(~F.lower(F.trim(end)).isin("current", "now", ""), e))
-    days = F.greatest(F.datediff(last, s), F.lit(0)) / 365.25
+    days = F.datediff(last, s)
+    days = F.when(days < 0, 0).otherwise(days) / 365.25
     return F.when(~open_end & bare_s & bare_e & (F.trim(start) == F.trim(end)), 0.5).otherwise(days)
 
 
