@@ -40,7 +40,7 @@ def ordered_distinct(items: Column) -> Column:
 
 def trimmed(items: Column) -> Column:
     """Trimmed items without nulls and blanks."""
-    return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def difference_ci(items: Column, minus: Column) -> Column:

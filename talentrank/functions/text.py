@@ -78,7 +78,7 @@ def hard_skills(items: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences of collapsed text, cut after . ! ? before white space."""
-    return F.filter(F.transform(F.split(collapse(c), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(collapse(c), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def strip_tags(c: Column) -> Column:
@@ -174,7 +174,7 @@ def scan_skills(c: Column, terms=tuple(dims.SCAN_TERMS)) -> Column:
 def name_heuristic(c: Column) -> Column:
     """A name among the first three lines: 2 to 4 words of letters, none a heading; none for Hebrew text."""
     blocked = ("resume", "curriculum", "vitae", "cv", "profile", "summary", "experience", "education", "skills", "contact", "phone", "email")
-    lines = F.slice(F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != ""), 1, 3)
+    lines = F.slice(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
     tidy = F.transform(lines, lambda x: collapse(F.regexp_replace(x, "[-|•]", " ")))
     good = F.filter(tidy, lambda x: x.rlike(r"^\p{L}+( \p{L}+){1,3}$") & ~F.exists(F.split(F.lower(x), " "), lambda w: w.isin(*blocked)))
     return F.when(~c.rlike("[֐-׿]"), F.get(good, F.lit(0)))

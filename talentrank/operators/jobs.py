@@ -31,7 +31,7 @@ def bucket_of(skill: Column) -> Column:
 
 def sanitize_list(items: Column) -> Column:
     """Trimmed, without blanks, stop words and items under 3 characters that aren't allowed; distinct in order."""
-    t = F.transform(F.coalesce(items, F.array().cast("array<string>")), F.trim)
+    t = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x))
     return F.array_distinct(F.filter(t, lambda x: x.isNotNull() & (x != "") & ~F.lower(x).isin(*STOP) & ((F.length(x) >= 3) | F.lower(x).isin(*SHORT_ALLOWED))))
 
 
@@ -60,7 +60,7 @@ def drop_hallucinated(items: Column, text: Column) -> Column:
 def mined(nice: Column) -> Column:
     """Terms after 'e.g.,' and 'such as' in nice-to-have phrases."""
     lists = F.transform(nice, lambda x: F.regexp_extract(x, r"(?i)(?:e\.g\.,?|such as)\s+([^).;]+)", 1))
-    return F.filter(F.transform(F.flatten(F.transform(lists, lambda s: F.split(s, r",|/|\bor\b|\band\b"))), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.flatten(F.transform(lists, lambda s: F.split(s, r",|/|\bor\b|\band\b"))), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def top_up_must_have(must: Column, nice: Column, requirements: Column) -> Column:
