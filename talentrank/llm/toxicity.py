@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, materialize, text_of
+from .common import held_out, materialize, text_of, with_row_ids
 from .ngram_join import Shingler
 
 #: Common English insults, whole words.
@@ -32,6 +32,8 @@ _MARKS = re.compile(r"!!|\?!|!\?")
 #: Lengths of word beginnings.
 STEMS = range(3, 8)
 VOTERS = ("lexicon", "words_high", "words_mid", "stems_high", "stems_good", "stems_fair", "terms_weak", "shouting", "marks")
+#: Terms that a task counts before it hands them on.
+HELD_TERMS = 150_000
 #: Votes are counts 0, 1, 2 or 3 and more, so there are at most 4 ** 9 vote patterns.
 LEVELS = 4
 
@@ -109,17 +111,25 @@ def find_terms(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_cle
     kept = sample.join(alone.select("doc_id"), "doc_id", "left_semi").select("y", "t")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        n = [0, 0]
+        clean, toxic = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(clean.keys() | toxic.keys())
+            out = pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "clean": pa.array([clean[w] for w in names], pa.int64()), "toxic": pa.array([toxic[w] for w in names], pa.int64())})
+            clean.clear()
+            toxic.clear()
+            return out
+
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[y].update(terms_of(t))
-                n[y] += 1
-        names = ["", *(seen[0].keys() | seen[1].keys())]
-        seen[0][""], seen[1][""] = n
-        yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "clean": pa.array([seen[0][w] for w in names], pa.int64()), "toxic": pa.array([seen[1][w] for w in names], pa.int64())})
-
-    terms = materialize(kept.coalesce(6).mapInArrow(frequencies, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("n"), F.sum("toxic").alias("p")).where("p >= 4 or term = ''"), "toxic-terms")
+                seen = toxic if y else clean
+                seen.update(terms_of(t))
+                seen[""] += 1  # the number of texts
+                if len(clean) + len(toxic) > HELD_TERMS:  # parts of a sum add up as well
+                    yield counted()
+        yield counted()
+
+    terms = materialize(kept.mapInArrow(frequencies, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("n"), F.sum("toxic").alias("p")).where("p >= 4 or term = ''"), "toxic-terms")
     whole = terms.where("term = ''").first()
     if whole is None or not whole["p"] or not whole["n"]:
         return {}
@@ -258,6 +268,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, thresho
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, each judged by its own text, all columns unchanged."""
-    held = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "toxicity-input")
-    toxic = score_toxicity(held, labels, carry="_row", **settings).where("predicted = 1").select("_row")
-    return held.join(toxic, "_row", "left_anti").drop("_row")
+    held, row = with_row_ids(docs, "toxicity-input")
+    toxic = score_toxicity(held, labels, carry=row, **settings).where("predicted = 1").select(row)
+    return held.join(toxic, row, "left_anti").select(*docs.columns)
