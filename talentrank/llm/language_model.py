@@ -50,17 +50,15 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-BLOCK = "block long, bucket int, ids array<{id}>, lengths binary, held binary, tokens binary, words binary, counts binary"
-
-
 def _code_blocks(texts: DataFrame, id_type: T.DataType, block_chars: int, buckets: int) -> DataFrame:
     """Rows of two kinds: a block (bucket -1: its documents as local word numbers) and, per bucket of words, the block's distinct words with their training counts."""
-    names = [x.strip().split()[0] for x in BLOCK.split(", ")]
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)),
         *(T.StructField(c, T.BinaryType()) for c in ("lengths", "held", "tokens", "words", "counts")),
     ])
 
+    names = schema.names
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth = TaskContext.get().partitionId(), itertools.count()
 
