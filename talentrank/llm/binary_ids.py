@@ -31,36 +31,67 @@ PLACES = np.array([[place <= (c >> 2 * i & 3) for i in range(4) for place in ran
 WIDEST = PLACES.reshape(256, 4, 4).sum(2).max(1)
 
 
-def encode_ranks(ranks: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """(control, data) per document, for the ranks (below 2**32) of some documents in a row."""
+def code(ranks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(control bytes, their ends per document, data bytes, their ends) of some documents' ranks (below 2**32) in a row."""
     quads = -(-lengths // 4)
-    filled = np.arange(4 * int(quads.sum())) < np.repeat(4 * (np.cumsum(quads) - quads) + lengths, 4 * quads)
+    filled = _filled(quads, lengths)
     r = np.zeros(len(filled), "<u4")
     r[filled] = ranks
     codes = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
     q = codes.reshape(-1, 4)
-    control = (q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).astype(np.uint8).tobytes()
+    control = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
     wide = int(codes.max(initial=0)) + 1  # places that any rank here fills
-    data = r.view(np.uint8).reshape(-1, 4)[:, :wide][(np.arange(wide, dtype=np.uint8) <= codes[:, None]) & filled[:, None]].tobytes()
-    widths = np.concatenate([[0], np.cumsum(np.where(filled, codes.astype(np.int64) + 1, 0))])
-    ends = np.concatenate([[0], np.cumsum(quads)])
-    at = widths[4 * ends]
-    cut = lambda x, c: [x[i:j] for i, j in zip(c[:-1].tolist(), c[1:].tolist(), strict=True)]
-    return cut(control, ends), cut(data, at)
+    data = r.view(np.uint8).reshape(-1, 4)[:, :wide][(np.arange(wide, dtype=np.uint8) <= codes[:, None]) & filled[:, None]]
+    widths = np.concatenate([[0], np.cumsum((codes + 1) * filled, dtype=np.int64)])
+    ends = np.cumsum(quads)
+    return control, ends, data, widths[4 * ends]
 
 
-def decode_ranks(control: list[bytes], data: list[bytes], lengths: np.ndarray) -> np.ndarray:
+def decode(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The ranks of some documents in a row, by table lookup; places after a document's last id hold no byte."""
-    c = np.frombuffer(b"".join(control), np.uint8)
-    quads = -(-lengths // 4)
-    filled = np.arange(4 * len(c)) < np.repeat(4 * (np.cumsum(quads) - quads) + lengths, 4 * quads)
-    wide = int(WIDEST[c].max(initial=1))
-    places = PLACES[c].reshape(-1, 4)[:, :wide] & filled[:, None]
-    out = np.zeros((4 * len(c), 4), np.uint8)
-    out[:, :wide][places] = np.frombuffer(b"".join(data), np.uint8)
+    filled = _filled(-(-lengths // 4), lengths)
+    wide = int(WIDEST[control].max(initial=1))
+    places = PLACES[control].reshape(-1, 4)[:, :wide] & filled[:, None]
+    out = np.zeros((len(filled), 4), np.uint8)
+    out[:, :wide][places] = data
     return out.view("<u4").ravel()[filled]
 
 
+def _filled(quads: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which places of all quads hold an id: all but up to three after each document's last."""
+    out = np.ones(4 * int(quads.sum()), bool)
+    last = 4 * np.cumsum(quads)
+    for k in (1, 2, 3):
+        out[last[4 * quads - lengths >= k] - k] = False
+    return out
+
+
+def encode_ranks(ranks: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(control, data) per document."""
+    control, control_ends, data, data_ends = code(ranks, lengths)
+    cut = lambda x, ends: [x[i:j].tobytes() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+    return cut(control, control_ends), cut(data, data_ends)
+
+
+def decode_ranks(control: list[bytes], data: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    return decode(np.frombuffer(b"".join(control), np.uint8), np.frombuffer(b"".join(data), np.uint8), lengths)
+
+
+def flat(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls, without a copy."""
+    wide = pa.types.is_large_binary(column.type)
+    if not len(column):
+        return np.zeros(0, np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of bytes in a row, without a copy."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
+
+
 def short(batch: pa.RecordBatch, ids: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about so many ids, which bounds what a worker holds at once."""
     runs = np.cumsum(batch.column("n_tokens").to_numpy()) // ids
@@ -87,25 +118,26 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         kind = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
         total = np.zeros(max(enc.vocab_size, end_id + 1), np.int64)
         for batch in batches:
-            ids, sizes = [], []
+            ids, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
             for run in in_runs(batch.column(1).to_pylist()):
-                found = [np.append(x, np.uint32(end_id)) for x in enc.many(run)]
-                total += np.bincount(np.concatenate(found), minlength=len(total))
-                sizes += map(len, found)
-                ids += [x.astype(kind).tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=raw.names)
+                found, n = enc.joined(run, end_id)
+                total += np.bincount(found, minlength=len(total))
+                ids.append(found.astype(kind))
+                sizes.append(n)
+            data, n = np.concatenate(ids), np.concatenate(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), binary(data, np.cumsum(n) * data.itemsize), pa.nulls(len(n), pa.binary())], names=raw.names)
         # the last row has how often the task met each id
         yield pa.RecordBatch.from_arrays([pa.nulls(1, kind_of), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=raw.names)
 
     kind_of = to_arrow_type(id_type)
     encoded_path = new_path(spark, "encoded")
-    docs.select(F.col(id_col), text_of(text_col).cast("binary").alias("t")).mapInArrow(encode, raw).write.option("compression", "zstd").parquet(encoded_path)
+    docs.select(F.col(id_col), text_of(text_col).cast("binary").alias("t")).mapInArrow(encode, raw).write.option("compression", "snappy").parquet(encoded_path)
     encoded = spark.read.schema(raw).parquet(encoded_path)
 
     def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch in a row, and the documents' lengths."""
-        ids, n = b"".join(batch.column("ids").to_pylist()), batch.column("n_tokens").to_numpy()
-        return np.frombuffer(ids, "<u2" if len(ids) == 2 * n.sum() else "<u4"), n
+        ids, n = flat(batch.column("ids")), batch.column("n_tokens").to_numpy()
+        return ids.view("<u2" if len(ids) == 2 * n.sum() else "<u4"), n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
@@ -123,18 +155,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     shared = spark.sparkContext.broadcast(rank_of)
     form = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for whole in batches:
             for batch in short(whole):
                 ids, n = unpack(batch)
-                control, data = encode_ranks(ranks[ids], n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=form.names)
+                control, control_ends, data, data_ends = code(ranks[ids], n)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), binary(control, control_ends), binary(data, data_ends)], names=form.names)
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # ranges are drawn from the plain scan, before any id is coded
-    dealt = encoded.where("counts is null").drop("counts").withColumn("crc", F.crc32("ids")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "crc")
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc", "n_tokens").drop("crc").mapInArrow(code, form)
+    dealt = encoded.where("counts is null").drop("counts").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "n_tokens")
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens").mapInArrow(write, form)
     placed = ordered.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("pos"), *form.names)
     placed.write.option("compression", "none").parquet(f"{path}/ids")
     drop_path(spark, encoded_path)
@@ -149,17 +181,17 @@ def _decoded(spark: SparkSession, path: str, column: T.StructField, finish: Call
     form = T.StructType([*(stored.schema[c] for c in kept), column])
     kind = pa.binary() if isinstance(column.dataType, T.BinaryType) else pa.int64()
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
         for whole in batches:
             for batch in short(whole):
                 n = batch.column("n_tokens").to_numpy()
-                found = ids[decode_ranks(batch.column("control").to_pylist(), batch.column("data").to_pylist(), n)].tobytes()
+                found = memoryview(ids[decode(flat(batch.column("control")), flat(batch.column("data")), n)].tobytes())
                 ends = (4 * np.cumsum(n)).tolist()
                 made = [finish(found[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, kind)], names=form.names)
 
-    read = stored.mapInArrow(decode, form)
+    read = stored.mapInArrow(read_back, form)
     shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
@@ -170,7 +202,7 @@ def _decoded(spark: SparkSession, path: str, column: T.StructField, finish: Call
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Read the files back: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
-    return _decoded(spark, path, T.StructField("ids", T.BinaryType()), lambda ids: ids)
+    return _decoded(spark, path, T.StructField("ids", T.BinaryType()), bytes)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

@@ -52,6 +52,11 @@ class ByteEncoder:
             raise ValueError(f"{path}: merges are not in the order of their ids")
         self._encoding = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def joined(self, texts: list[str] | list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text followed by the end id, and the texts' lengths with it."""
+        found = [[*self._encoding.encode_ordinary(t if isinstance(t, str) else t.decode("utf-8")), end_id] for t in texts]
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
+
     def many(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
         return [np.asarray(self._encoding.encode_ordinary(t if isinstance(t, str) else t.decode("utf-8")), dtype=np.uint32) for t in texts]
 
@@ -105,6 +110,9 @@ class WordEncoder:
         known, marks = self._known, self._MARKS
         whole, marked = [], []
         for w in chunks:
+            if 97 <= w[-1] <= 122:
+                whole.append(w)
+                continue
             core = w.rstrip(marks)
             k = len(core)
             # punctuation at the end stands apart if a letter is before it
@@ -129,7 +137,8 @@ class WordEncoder:
         for w, core, tail in marked:
             known[w] = parts[core] + parts[tail]
 
-    def many(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
+    def _bytes(self, texts: list[str] | list[bytes]) -> list[bytes]:
+        """Per text its ids as bytes."""
         split = [(t if isinstance(t, bytes) else t.encode("utf-8")).lower().split() for t in texts]
         met = set(itertools.chain.from_iterable(split))
         new = met.difference(self._known)
@@ -138,10 +147,17 @@ class WordEncoder:
                 self._older, self._known, new = self._known, {}, met
             again = self._older.keys() & new
             self._known.update((w, self._older[w]) for w in again)
-            new = new - again
-            self._learn(new)
+            self._learn(new - again)
         known = self._known
-        return [np.frombuffer(b"".join(map(known.__getitem__, c)), dtype=np.uint32) for c in split]
+        return [b"".join(map(known.__getitem__, c)) for c in split]
+
+    def joined(self, texts: list[str] | list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text followed by the end id, and the texts' lengths with it."""
+        rows, end = self._bytes(texts), np.uint32(end_id).tobytes()
+        return np.frombuffer(end.join([*rows, b""]), np.uint32), np.array([len(r) // 4 + 1 for r in rows], np.int64)
+
+    def many(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(r, np.uint32) for r in self._bytes(texts)]
 
 
 def in_runs(texts: list[str], chars: int = 1 << 19) -> Iterator[list[str]]:
