@@ -5,8 +5,9 @@ reaches the threshold. The join is exact:
 
 1. Equal sets are one class, found by a digest of the set; only one member of each goes on.
 2. Routing. At similarity t two sets of sizes a, b differ in at most (a + b) (1 - t) / (1 + t) shingles.
-   Shingle space is cut by hash into one more part than that, so at least one part of linked sets is
-   equal. Equal parts tie documents into groups (a pair that links is always in one group); the ties are
+   Shingle space is cut by hash into more parts than that, so at least one part of linked sets is
+   equal. Empty parts are equal in many sets, so a set speaks for its empty parts only if those it fills
+   are too few to leave an equal one. Equal parts tie documents into groups (a pair that links is always in one group); the ties are
    spanning trees, never all pairs. The number of parts follows a size class, and a document also speaks
    for the neighbouring classes that its partners can be in.
 3. Signature trees. Within a group, nodes hold the OR of their members' shingle bitmaps and their size
@@ -88,17 +89,23 @@ def class_top(c: int) -> int:
     return n
 
 
+def differences(both: int, threshold: float) -> int:
+    """Shingles in which linked sets of ``both`` shingles together can differ."""
+    return int(both * (1 - threshold) / (1 + threshold) + 1e-9)
+
+
 def parts_of(c: int, threshold: float) -> int:
-    """Parts for pairs whose larger set is in class ``c``: one more than shingles in which they can differ."""
-    top = class_top(c)
-    return int((2 * top) * (1 - threshold) / (1 + threshold) + 1e-9) + 1
+    """Parts for pairs whose larger set is in class ``c``: more than shingles in which they can differ, some to spare for empty ones."""
+    most = differences(2 * class_top(c), threshold)
+    return most + 3 + most // 16 if most else 1
 
 
 def part_digests(s: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
     """64-bit keys of the set's parts for every class its larger partner (or itself) can be in.
 
     A pair is found in the class of its larger set: the smaller one emits the keys of that class too,
-    which is its own or one whose least member is within 1 / threshold of it.
+    which is its own or one whose least member is within 1 / threshold of it. Of a pair's filled parts at
+    least one is equal if either set fills more than the two can differ in; else both speak for empty parts too.
     """
     n, c = len(s), size_class(len(s))
     while True:
@@ -110,7 +117,8 @@ def part_digests(s: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
             np.add.at(sums, part.astype(np.int64), mixed)
             key = (sums + np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
             key ^= key >> np.uint64(33)
-        yield key
+        filled = np.bincount(part.astype(np.int64), minlength=m) > 0
+        yield key[filled] if filled.sum() > differences(n + class_top(c), threshold) else key
         c += 1
         if threshold * (class_top(c - 1) + 1) > n + 1e-9:
             return

@@ -1,9 +1,13 @@
 """The pipeline's stages on small data: each stage's decisions take effect and clean documents stay."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from .data import words
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -39,3 +43,27 @@ def test_near_copies_and_clean_documents(spark, kept):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     lost = spark.read.parquet(f"{SF}/documents.parquet").join(kept[0][1], "doc_id", "left_anti").join(labels, "doc_id")
     assert lost.where("quality = 1 and doc_id is not null").count() <= 0.1 * labels.where("quality = 1").count()
+
+
+def test_near_duplicates_link_at_five_words_and_four_fifths(spark):
+    rnd = random.Random(12)
+    rows = [(k, words(rnd, rnd.randint(60, 200), 3000)) for k in range(12)]
+    for k in range(60):  # each edited word is in up to five shingles
+        w = rows[k % 12][1].split()
+        for at in rnd.sample(range(len(w)), rnd.choice([1, 1, 2, 3, 4])):
+            w[at] = f"new{k}"
+        rows.append((12 + k, " ".join(w)))
+
+    def left(n, percent):
+        sets = [set(zip(*(t.split()[k:] for k in range(n)), strict=False)) for _, t in rows]
+        root = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and root[i] != root[j]:
+                    old, new = max(root[i], root[j]), min(root[i], root[j])
+                    root = [new if r == old else r for r in root]
+        return sorted(set(root))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == left(5, 80) and len(got) < len(left(3, 90))

@@ -135,6 +135,20 @@ def test_parts_never_miss_a_pair():
     assert all(size_class(class_top(c)) <= c < size_class(class_top(c) + 1) for c in range(40)) and parts_of(0, 0.9) == 1
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_empty_parts_tie_nothing_and_miss_no_pair(percent):
+    rnd = random.Random(10)
+    keys = lambda s: set(itertools.chain(*(k.tolist() for k in part_digests(np.array(sorted(s), np.uint64), percent / 100))))
+    for n in [*range(1, 30), *range(30, 400, 23)] * 6:
+        a = [rnd.getrandbits(64) for _ in range(n)]
+        b = set(a[rnd.randint(0, n // 5) :]) | {rnd.getrandbits(64) for _ in range(rnd.randint(0, n // 6))}
+        a = set(a)
+        if 100 * len(a & b) >= percent * len(a | b):
+            assert keys(a) & keys(b)
+    apart = [keys({rnd.getrandbits(64) for _ in range(rnd.randint(600, 750))}) for _ in range(60)]
+    assert not any(x & y for x, y in itertools.combinations(apart, 2))
+
+
 def test_signature_tree_components_against_all_pairs():
     rnd = random.Random(4)
     for _ in range(25):
