@@ -7,13 +7,15 @@ reaches the threshold. The join is exact:
 2. Routing. At similarity t two sets of sizes a, b differ in at most (a + b) (1 - t) / (1 + t) shingles.
    Shingle space is cut by hash into more parts than that, so at least one part of linked sets is
    equal. Empty parts are equal in many sets, so a set speaks for its empty parts only if those it fills
-   are too few to leave an equal one. Equal parts tie documents into groups (a pair that links is always in one group); the ties are
-   spanning trees, never all pairs. The number of parts follows a size class, and a document also speaks
+   are too few to leave an equal one. Equal parts tie documents into groups (a pair that links is always
+   in one group); the ties are spanning trees, never all pairs. The number of parts follows a size class, and a document also speaks
    for the neighbouring classes that its partners can be in.
 3. Signature trees. Within a group, nodes hold the OR of their members' shingle bitmaps and their size
-   range, and a dual traversal drops node pairs whose maximum possible overlap cannot reach the threshold,
-   and those whose members are all linked already. What is left is checked on the exact sets.
-4. Links (a spanning forest per task) become components.
+   range, and a dual traversal drops node pairs whose maximum possible overlap cannot reach the threshold.
+   What is left is checked on the exact sets, so each link between classes is met once and counted
+   for both sides with the other's copies. Where only components are asked for, node pairs whose members
+   are all linked already are dropped too.
+4. Links (reduced to a spanning forest per task after they are counted) become components.
 
 Shingles are held as 64-bit hashes of their words.
 """
@@ -21,6 +23,7 @@ Shingles are held as 64-bit hashes of their words.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -155,11 +158,11 @@ def bitmap(s: np.ndarray, width: int) -> int:
     return int.from_bytes(np.packbits(at, bitorder="little").tobytes(), "little")
 
 
-def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, roots: list[int], offset: int) -> Iterator[tuple[int, int]]:
+def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, roots: list[int] | None, offset: int) -> Iterator[tuple[int, int]]:
     """Links that join what was not joined before, among ``left`` or between ``left`` and ``right``.
 
     ``roots``: union-find over left, then (from ``offset``) right; it is updated. Items of one root are
-    never compared. Yields (index, index) into that common numbering.
+    never compared. Without it, all pairs that may link, unchecked. Yields (index, index) into that common numbering.
     """
     everything = left + (right or [])
     if not everything:
@@ -233,20 +236,42 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
                 continue
             if a.children is None and b.children is None:
                 i, j = a.item, b.item + shift
+                if roots is None:
+                    yield i, j
+                    continue
                 ri, rj = find(i), find(j)
                 if ri != rj and exact(i, j):
                     roots[max(ri, rj)] = min(ri, rj)
                     yield i, j
                 continue
-            ra = one_root(a, 0)
-            if ra >= 0 and ra == one_root(b, shift):
-                continue
+            if roots is not None:
+                ra = one_root(a, 0)
+                if ra >= 0 and ra == one_root(b, shift):
+                    continue
             if b.children is None or a.children is not None and a.high >= b.high:
                 stack.extend((x, b) for x in a.children)
             else:
                 stack.extend((a, x) for x in b.children)
 
 
+def all_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, pairs: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every link among ``left`` or between ``left`` and ``right``, once, numbered as in :func:`tree_links`; so many pairs are checked at a time."""
+    sets = left + (right or [])
+    found = tree_links(left, right, percent, None, len(left))
+    while some := list(itertools.islice(found, pairs)):
+        some.sort()
+        for i, run in itertools.groupby(some, key=lambda p: p[0]):
+            x, js = sets[i], np.array([j for _, j in run], np.int64)
+            sizes = np.array([len(sets[j]) for j in js.tolist()], np.int64)
+            flat = np.concatenate([sets[j] for j in js.tolist()])
+            at = np.searchsorted(x, flat)
+            at[at == len(x)] = 0
+            both = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            linked = js[100 * both >= percent * (len(x) + sizes - both)]
+            if len(linked):
+                yield np.full(len(linked), i, np.int64), linked
+
+
 def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of all links among some sets (indices)."""
     roots = list(range(len(sets)))
@@ -277,15 +302,12 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(keys, docs)
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles (size of the set), component_id (smallest id reachable by links, itself included).
+def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str, give: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their sets' keys, classes of equal sets, what the comparison of class representatives gives).
 
-    Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct shingles of
-    ``words`` words (A-Z lower-cased; fewer words: the whole sequence as one shingle). Null and empty texts
-    have the empty set and link with nothing. Ids are integers; rows that repeat an id count as copies of
-    one document if their texts are equal. A row with a null id links through rows with an equal set only
-    (its component is null if there are none). Columns besides the two are not read. An empty table gives
-    no rows.
+    The last has rows (a, b, null) for links and (a, null, n) for n links of a's documents with those of
+    other classes, found by one task. ``give``: "links" gives every link, "counts" a spanning forest of the
+    links and the counts of every link, "forest" a spanning forest alone.
     """
     threshold = percent / 100
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
@@ -323,12 +345,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, id_co
     described = materialize(rows.mapInArrow(describe, form), "described")
     # classes of equal sets, each named by its smallest id
     members = described.where("bucket is null").select("doc_id", "n_shingles", "set_key")
-    classes = members.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes")
     # groups of representatives in which all links lie
     cells = described.where("bucket is not null").select("bucket", "keys", "docs").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     ties = connected_components(cells.mapInArrow(_tied, "a long, b long"))
-    group = ties.join(classes.select(F.col("rep").alias("node")), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+    group = ties.join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "copies")
     sizes = group.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
     group = materialize(group.join(sizes, "grp"), "groups")
     # the texts of documents in groups; their ids are broadcast only while they are few
@@ -338,51 +360,101 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, id_co
     held = rows.join(wanted, "doc_id").withColumn("slices", slices).withColumn("mine", mine)
     # slice pairs (x, y) with x <= y in which the document takes part
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    held = held.select("doc_id", "t", "grp", "slices", "mine", other.alias("other"))
-    held = held.select("doc_id", "t", "grp", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
+    held = held.select("doc_id", "t", "grp", "copies", "slices", "mine", other.alias("other"))
+    held = held.select("doc_id", "t", "grp", "copies", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             sets = pa.array([shingle(t).tobytes() for t in batch.column("t").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("x"), batch.column("y"), batch.column("mine"), batch.column("doc_id"), sets], names=order)
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("x"), batch.column("y"), batch.column("mine"), batch.column("doc_id"), sets, batch.column("copies")], names=order)
 
-    order = ["grp", "x", "y", "mine", "doc_id", "s"]
-    sets = held.mapInArrow(shingled, "grp long, x int, y int, mine int, doc_id long, s binary")
+    order = ["grp", "x", "y", "mine", "doc_id", "s", "copies"]
+    sets = held.mapInArrow(shingled, "grp long, x int, y int, mine int, doc_id long, s binary, copies long")
     sets = sets.repartition(F.col("grp"), F.col("x"), F.col("y")).sortWithinPartitions("grp", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(key: tuple, left: dict, right: dict) -> list[tuple[int, int]]:
-            ids = sorted(left) + sorted(right)
-            one, two = [left[i] for i in sorted(left)], [right[i] for i in sorted(right)]
-            roots = list(range(len(ids)))
-            return [(ids[i], ids[j]) for i, j in tree_links(one, two or None, percent, roots, len(one))] if key[1] == key[2] or two else []
-
-        now, left, right, found = None, {}, {}, []
+        def out(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
+            column = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64())
+            return pa.RecordBatch.from_arrays([column(a), column(b), column(n)], names=["a", "b", "n"])
+
+        def linked(key: tuple, left: dict, right: dict) -> Iterator[pa.RecordBatch]:
+            if key[1] != key[2] and not (left and right):
+                return
+            names = sorted(left) + sorted(right)
+            ids, one, two = np.array(names, np.int64), [left[i][0] for i in sorted(left)], [right[i][0] for i in sorted(right)] or None
+            if give == "forest":
+                links = list(tree_links(one, two, percent, list(range(len(ids))), len(one)))
+                if links:
+                    yield out(ids[[i for i, _ in links]], ids[[j for _, j in links]], None)
+                return
+            copies = np.array([(left if k < len(one) else right)[i][1] for k, i in enumerate(names)], np.int64)
+            n, u, v, new, size = np.zeros(len(ids), np.int64), ids[:0], ids[:0], [], 0
+            for i, j in all_links(one, two, percent):
+                if give == "links":
+                    yield out(ids[i], ids[j], None)
+                    continue
+                np.add.at(n, i, copies[j])
+                np.add.at(n, j, copies[i])
+                new.append((i, j))
+                size += len(i)
+                if size > 1_000_000:
+                    u, v = local_forest(np.concatenate([u, *(x for x, _ in new)]), np.concatenate([v, *(y for _, y in new)]))
+                    new, size = [], 0
+            if give == "counts" and n.any():
+                u, v = local_forest(np.concatenate([u, *(x for x, _ in new)]), np.concatenate([v, *(y for _, y in new)]))
+                yield out(ids[u], ids[v], None)
+                yield out(ids[n > 0], None, n[n > 0])
+
+        now, left, right = None, {}, {}
         for batch in batches:
-            for g, x, y, mine, i, s in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for g, x, y, mine, i, s, copies in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if (g, x, y) != now:
                     if now:
-                        found += linked(now, left, right)
+                        yield from linked(now, left, right)
                     now, left, right = (g, x, y), {}, {}
-                (left if mine == x else right)[i] = np.frombuffer(s, np.uint64)
-            if len(found) > 10_000:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-                found = []
+                (left if mine == x else right)[i] = np.frombuffer(s, np.uint64), copies
         if now:
-            found += linked(now, left, right)
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            yield from linked(now, left, right)
+
+    return members, classes, materialize(sets.mapInArrow(compare, "a long, b long, n long"), "joined")
+
+
+def jaccard_links(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b (a < b): every link between different sets, once; a set is named by the smallest id that has it.
 
-    links = sets.mapInArrow(compare, "a long, b long")
-    component = connected_components(links).withColumnsRenamed({"node": "rep"})
-    named = classes.select("set_key", "rep").join(component, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = members.join(named, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    Links as in :func:`jaccard_components`. A group of k texts that are all alike has k (k - 1) / 2 rows.
+    """
+    links = _joined(docs, percent, words, id_col, text_col, "links")[2]
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _components(members: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    component = connected_components(joined.select("a", "b")).withColumnsRenamed({"node": "rep"})
+    named = classes.join(component, "rep", "left").select("set_key", "rep", "copies", F.coalesce("component", "rep").alias("component_id"))
+    return members.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles (size of the set), component_id (smallest id reachable by links, itself included), n_links (other rows that the row links with).
+
+    Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct shingles of
+    ``words`` words (A-Z lower-cased; fewer words: the whole sequence as one shingle). Null and empty texts
+    have the empty set and link with nothing. Ids are integers; rows that repeat an id count as copies of
+    one document if their texts are equal. A row with a null id links through rows with an equal set only
+    (its component is null if there are none). Columns besides the two are not read. An empty table gives
+    no rows.
+    """
+    members, classes, joined = _joined(docs, percent, words, id_col, text_col, "counts")
+    others = joined.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    found = _components(members, classes, joined).join(others, "rep", "left")
+    n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))
+    return found.select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
 
 
 def near_duplicate_filter(docs: DataFrame, percent: int = 90, words: int = 3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that link to an earlier one: one row of each component stays, all columns unchanged. Rows without a shingle all stay."""
     held, row = with_row_ids(docs, "join-input")
-    found = jaccard_components(held, percent, words, row, text_col)
+    found = _components(*_joined(held, percent, words, row, text_col, "forest"))
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(row))
     return held.join(stay, row, "left_semi").select(*docs.columns)

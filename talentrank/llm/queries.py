@@ -60,7 +60,7 @@ def op9_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), percent=90, words=3)
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), percent=90, words=3).select("doc_id", "n_shingles", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

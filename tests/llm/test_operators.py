@@ -209,6 +209,25 @@ def test_ngram_join_against_all_pairs(spark, monkeypatch, piece):
     assert stay.count() == len(set(comp))
 
 
+def test_ngram_join_gives_every_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE", 9)
+    rnd = random.Random(11)
+    base = words(rnd, 80, 300).split()
+    texts = [" ".join(base)] * 3
+    for k in range(40):  # most link with each other
+        w = list(base)
+        w[rnd.randrange(80)] = f"new{k % 25}"
+        texts.append(" ".join(w))
+    rows = list(enumerate([*texts, *(words(rnd, 50, 300) for _ in range(5))]))
+    sets = [set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for _, t in rows]
+    link = lambda i, j: 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {i: sum(link(i, j) for j, _ in rows if j != i) for i, _ in rows} and max(got.values()) > 20
+    first = sorted({min(j for j, _ in rows if sets[j] == sets[i]) for i, _ in rows})
+    assert sorted((r.a, r.b) for r in ngram_join.jaccard_links(docs).collect()) == [(i, j) for i in first for j in first if i < j and link(i, j)]
+
+
 def test_ngram_join_odd_cases(spark, docs):
     got = ngram_join.jaccard_components(docs)
     assert got.count() == docs.count() and ngram_join.jaccard_components(empty_documents(spark)).count() == 0
