@@ -66,8 +66,9 @@ class WordEncoder:
 
     A text's ids are the ids of its chunks between ASCII white space in a row, and a chunk that ends in
     ASCII punctuation after a letter is its letters and its punctuation. So chunks and their parts are
-    encoded by the library once and remembered, at most ``remember`` of each per worker. Parts are handed
-    over many at a time; ids that end a word tell them apart again.
+    encoded by the library once and remembered, at most ``remember`` of each per worker. Parts made of
+    letters alone are one word each, so many are handed over at a time and ids that end a word tell them
+    apart again; all others (which can be no word, or several) are encoded one by one.
     """
 
     #: ASCII punctuation but the apostrophe, which can begin a suffix.
@@ -88,10 +89,26 @@ class WordEncoder:
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}  # what was known before the last time that room was made
         self._parts: dict[bytes, bytes] = {}
+        self._letters: dict[str, bool] = {}
         self._remember = remember
 
-    def _learn_parts(self, parts: list[bytes]) -> None:
-        known, alone = self._parts, []
+    def _one_word(self, part: bytes) -> bool:
+        """Whether the part is one word to the library: it is of ASCII letters, or of characters that each go on a word without ending it."""
+        if part.isalpha():
+            return True
+        letters, text = self._letters, part.decode("utf-8")
+        for c in text:
+            if c not in letters:
+                # alone and after a letter it is one word: a letter to the library too, lower-cased to letters
+                ends = [int(self._ends[e.ids].sum()) for e in self._tokenizer.encode_batch_fast([c, "a" + c + "a"], add_special_tokens=False)]
+                letters[c] = c.isalpha() and ends == [1, 1]
+            if not letters[c]:
+                return False
+        return True
+
+    def _learn_parts(self, parts: list[bytes], alone: list[bytes]) -> None:
+        """Encode ``parts``, which are one word each, many at a time, and those of ``alone`` one by one."""
+        known, alone = self._parts, list(alone)
         groups = [parts[k : k + 256] for k in range(0, len(parts), 256)]
         for some, e in zip(groups, self._tokenizer.encode_batch_fast([b"\n".join(g).decode("utf-8") for g in groups], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, np.uint32)
@@ -128,10 +145,8 @@ class WordEncoder:
             todo.add(core)
             todo.add(tail)
         todo = {w for w in todo if w not in parts}
-        # words and the rest go in separate calls, so that a part of several words doesn't slow down many
-        words = {w for w in todo if w.isalpha() or w.decode("utf-8").isalpha()}
-        self._learn_parts(list(words))
-        self._learn_parts(list(todo - words))
+        words = {w for w in todo if self._one_word(w)}
+        self._learn_parts(list(words), list(todo - words))
         for w in whole:
             known[w] = parts[w]
         for w, core, tail in marked:

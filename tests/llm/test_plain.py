@@ -13,7 +13,7 @@ from talentrank.llm import hmm
 from talentrank.llm.binary_ids import decode_ranks, encode_ranks
 from talentrank.llm.components import local_forest
 from talentrank.llm.decontamination import Matcher, myers, normal, original_span, pieces
-from talentrank.llm.encoders import encoder, public_path
+from talentrank.llm.encoders import WordEncoder, encoder, public_path
 from talentrank.llm.html_extraction import labelled_pages, main_text, marginals, parse, trained
 from talentrank.llm.ngram_join import Shingler, class_top, group_links, part_digests, parts_of, size_class
 from talentrank.llm.packing import piece_lengths
@@ -35,6 +35,19 @@ def test_encoders_give_the_librarys_ids(name):
         assert ids.tolist() == e.ids, text
 
 
+def test_runs_of_few_new_parts_keep_their_own_ids():
+    from tokenizers import Tokenizer
+
+    path = public_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    rnd, e = random.Random(5), WordEncoder(path)
+    odd = ["\u00a0", "\u2028", "\u3000", "42", "7", "…", "\u2014", "é", "İ", "x9", "a\u00a0b", "word", "été", "中文"]
+    for texts in [["\u00a0 42 … \u2014"], ["\u00a0 42"], *([" ".join(rnd.sample(odd, rnd.randint(2, 5)))] for _ in range(300))]:
+        e._known, e._older, e._parts = {}, {}, {}
+        assert e.many(texts)[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids, texts
+
+
 @given(st.integers(0, 10**6), st.sampled_from([1, 2, 64, 1024]))
 def test_piece_lengths(n, sequence):
     p = piece_lengths(n, sequence)
