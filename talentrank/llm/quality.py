@@ -1,18 +1,23 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, in DataFrame functions only.
 
-Statistics of each text are transformed into a short vector. Per language and source, concentration
-steps look for the share of rows whose covariance has the least determinant: rows are ranked by
-distance, the nearest ``support`` of them give the next mean and covariance. Rows whose Mahalanobis
-distance from that centre is too large are rejected, besides those that fail fixed base rules.
+Statistics of each text are transformed into a short vector. Per language and source the share of rows
+whose covariance has the least determinant is searched for: from several deterministic starts,
+concentration steps (rows are ranked by distance, the nearest share gives the next mean and covariance) go on
+until no determinant falls any more, and the start with the least one stays. A consistency factor makes
+its covariance that of normal rows, one reweighting step takes in all rows that are not outliers, and rows whose
+squared Mahalanobis distance is beyond a chi-square quantile are rejected, besides those that fail fixed base rules.
+
+A step is one pass: moments are added up per group and narrow band of distances, so the share's border and
+the next centre come from the same small table, whatever the size of a group and however rows are dealt out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of, with_row_ids
@@ -20,51 +25,106 @@ from .common import materialize, text_of, with_row_ids
 #: Components of the vector, and the least standard deviation that a group counts with: spread below it is never an outlier.
 FLOORS = {"log_words": 0.7, "word_length": 0.45, "symbols": 0.06, "dup_lines": 0.09, "repeats": 0.13}
 DIMS = list(FLOORS)
+K = len(DIMS)
 WHITE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+PAIRS = [(i, j) for i in range(K) for j in range(i + 1)]
+#: Rows that every group is imagined to have besides its own, with the floors' spread: they count in small groups only.
+PRIOR_ROWS = 5
+#: Bands of squared distances per doubling; a share of rows is rounded up to whole bands.
+BANDS = 32
+#: Bins per floor for medians and quartiles, and the number of bins on either side of 0 (what lies beyond counts in the last).
+BINS, MOST_BINS = 64, 1 << 20
+
+
+def chi2_cdf(x: float, d: int) -> float:
+    """Chi-square distribution function, by the series of the incomplete gamma function."""
+    a, x = d / 2, x / 2
+    if x <= 0:
+        return 0.0
+    term = total = 1 / a
+    k = a
+    while term > total * 1e-16:
+        k += 1
+        term *= x / k
+        total += term
+    return min(1.0, total * math.exp(a * math.log(x) - x - math.lgamma(a)))
+
+
+def chi2_quantile(p: float, d: int) -> float:
+    """Chi-square quantile, by bisection."""
+    low, high = 0.0, 1.0
+    while chi2_cdf(high, d) < p:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_cdf(mid, d) < p else (low, mid)
+    return high
+
+
+def consistency(share: float) -> float:
+    """Factor that makes the covariance of the nearest ``share`` of normal rows that of all of them."""
+    d = K
+    return share / chi2_cdf(chi2_quantile(share, d), d + 2)
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Counts of one text, all of it, as native columns; see :func:`with_statistics`."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, WHITE, "") != "")
+    """Words, lines with a word, and symbols of one text, all of it, as native columns; see :func:`with_statistics`."""
+    inside = F.btrim(text, F.lit(WHITE))
     return {
-        "words": words,
-        "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "words": F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, r"[\x20\x09-\x0D]+")),
+        "lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
     }
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _windows_by_text(words: Column) -> Column:
+    """Places of the 3-word windows found twice or more, by sorting the windows' texts."""
+    n = F.size(words)
+    windows = F.transform(F.slice(words, 1, n - 2), lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))
+    ordered = F.sort_array(windows)
+    same = lambda a, b: F.coalesce(a["w"] == b["w"], F.lit(False))
+    return F.filter(F.transform(ordered, lambda x, k: F.when(same(x, F.get(ordered, k + 1)) | same(x, F.get(ordered, k - 1)), x["i"])), lambda i: i.isNotNull())
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more.
+def with_repeated_words(rows: DataFrame) -> DataFrame:
+    """Add n_repeat_words to rows with ``words``: how many lie in a 3-word window found twice or more.
 
-    Windows are sorted (by hash, then by text, so equal hashes of unequal windows stay apart) and compared
-    with their neighbours; the places of those that have an equal neighbour are counted once each.
+    A window is one number, its hash with its place in the low bits, so sorting numbers brings equal windows
+    together, and neighbours of equal hash are compared by their words. Should any of them differ, the text's
+    windows are sorted as texts instead.
     """
-    n = F.size(words)
-    windows = F.transform(F.slice(words, 1, n - 2), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)))
-    ordered = F.sort_array(F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("h"), w.alias("w"), i.alias("i"))))
-    same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["w"] == b["w"]), F.lit(False))
-    repeated = lambda o: F.filter(F.transform(o, lambda x, k: F.when(same(x, F.get(o, k + 1)) | same(x, F.get(o, k - 1)), x["i"])), lambda i: i.isNotNull())
-    covered = lambda f: F.size(F.array_distinct(F.concat(f, F.transform(f, lambda i: i + 1), F.transform(f, lambda i: i + 2))))
-    return F.when(n < 4, F.lit(0)).otherwise(bind(bind(ordered, repeated), covered)).cast("long")
+    n = F.size("words")
+    word = lambda at: F.get(F.col("words"), at)
+    place_mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + 2)).cast("int")) - 1
+    rows = rows.withColumn("_place", place_mask).withColumn("_hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    hashed = lambda i: F.get(F.col("_hashes"), i)
+    keys = F.transform(F.slice("_hashes", 1, F.greatest(n - 2, F.lit(0))), lambda h, i: F.xxhash64(h, hashed(i + 1), hashed(i + 2)).bitwiseAND(F.bitwise_not("_place")).bitwiseOR(i.cast("long")))
+    rows = rows.withColumn("_keys", F.sort_array(keys))
+    at = lambda key: key.bitwiseAND(F.col("_place")).cast("int")
+    # per window and its successor: 0 other hash, 1 equal, 2 equal hash of other words
+    after = lambda k: F.get(F.col("_keys"), k + 1)
+    equal = lambda p, q: (word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2))
+    step = lambda x, k: F.when(F.coalesce(x.bitwiseXOR(after(k)) > F.col("_place"), F.lit(True)) | (x.bitwiseXOR(after(k)) < 0), 0).when(equal(at(x), at(after(k))), 1).otherwise(2)
+    rows = rows.withColumn("_same", F.transform("_keys", step))
+    known = F.transform(F.filter(F.transform("_keys", lambda x, k: F.when((F.get("_same", k) == 1) | (F.coalesce(F.get("_same", k - 1), F.lit(0)) == 1), x)), lambda x: x.isNotNull()), at)
+    found = F.when(~F.array_contains("_same", 1) & ~F.array_contains("_same", 2), F.array().cast("array<int>")).when(F.array_contains("_same", 2), _windows_by_text(F.col("words"))).otherwise(known)
+    rows = rows.withColumn("_found", found)
+    covered = F.size(F.array_distinct(F.concat("_found", F.transform("_found", lambda i: i + 1), F.transform("_found", lambda i: i + 2))))
+    return rows.withColumn("n_repeat_words", covered.cast("long")).drop("_place", "_hashes", "_keys", "_same", "_found")
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """doc_id, the group columns as text, the counts, base_failed and the transformed vector. One narrow pass over whole texts."""
-    text = text_of(text_col)
     have = set(docs.columns)
     groups = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(f"g{i}") for i, c in enumerate(group_cols)]
-    stats = statistics(F.col("_text"))
-    a = docs.select(F.col(id_col).alias("doc_id"), *groups, text.alias("_text"))
-    a = a.select("doc_id", *[f"g{i}" for i in range(len(groups))], *[c.alias(k) for k, c in stats.items()])
-    a = a.withColumn("n_words", F.size("words").cast("long")).withColumn("n_repeat_words", repeated_words(F.col("words"))).drop("words")
+    a = docs.select(F.col(id_col).alias("doc_id"), *groups, text_of(text_col).alias("_text"))
+    a = a.select("doc_id", *[f"g{i}" for i in range(len(groups))], *[c.alias(k) for k, c in statistics(F.col("_text")).items()])
+    counts = {
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+    }
+    a = with_repeated_words(a.withColumns(counts).drop("lines")).drop("words")
     n = F.greatest(F.col("n_words"), F.lit(1))
     vector = {
         "log_words": F.log1p("n_words"),
@@ -77,79 +137,132 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return a.select("*", failed.alias("base_failed"), *[v.alias(k) for k, v in vector.items()])
 
 
-def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and covariance per group as columns m0.. and s00.., by sums that combine before the shuffle."""
-    pairs = [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
-    sums = [F.avg(d).alias(f"m{i}") for i, d in enumerate(DIMS)]
-    covs = [F.covar_pop(DIMS[i], DIMS[j]).alias(f"s{i}{j}") for i, j in pairs]
-    return rows.groupBy(*by).agg(*sums, *covs)
+def _sums() -> list[Column]:
+    """Moments that add up: n, and sums of components and of their products."""
+    return [F.count("*").alias("n"), *[F.sum(d).alias(f"x{i}") for i, d in enumerate(DIMS)], *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"y{i}{j}") for i, j in PAIRS]]
+
+
+SUMS = ["n", *(f"x{i}" for i in range(K)), *(f"y{i}{j}" for i, j in PAIRS)]
+
+
+def _full(entry) -> Column:
+    """A symmetric matrix as an array of its rows, from what gives entry (i, j), i >= j."""
+    return F.array(*[entry(max(i, j), min(i, j)) for i in range(K) for j in range(K)])
+
 
+def _moments(sums: DataFrame, by: list[str]) -> DataFrame:
+    """n, mean ``m`` and covariance ``s`` (arrays) from moments that add up."""
+    mean = [F.col(f"x{i}") / F.col("n") for i in range(K)]
+    return sums.select(*by, "n", F.array(*mean).alias("m"), _full(lambda i, j: F.col(f"y{i}{j}") / F.col("n") - mean[i] * mean[j]).alias("s"))
 
-def _precision(moments: DataFrame, by: list[str]) -> DataFrame:
-    """Add p00.. of the inverse of the covariance with floored variances, by a Cholesky factor of columns."""
-    k, out = len(DIMS), moments
-    minus = lambda x, ys: reduce(lambda a, b: a - b, ys, x)
-    for j in range(k):
-        # the floor adds to each variance: a ridge that keeps the matrix positive definite
-        own = minus(F.col(f"s{j}{j}") + FLOORS[DIMS[j]] ** 2, [F.col(f"l{j}{a}") * F.col(f"l{j}{a}") for a in range(j)])
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(own, F.lit(1e-12))))
-        out = out.withColumns({f"l{i}{j}": minus(F.col(f"s{i}{j}"), [F.col(f"l{i}{a}") * F.col(f"l{j}{a}") for a in range(j)]) / F.col(f"l{j}{j}") for i in range(j + 1, k)})
-    out = out.withColumns({f"v{i}{i}": 1 / F.col(f"l{i}{i}") for i in range(k)})
-    for d in range(1, k):  # inverse of the factor, one diagonal after another
-        out = out.withColumns({f"v{j + d}{j}": -reduce(add, [F.col(f"l{j + d}{a}") * F.col(f"v{a}{j}") for a in range(j, j + d)]) / F.col(f"l{j + d}{j + d}") for j in range(k - d)})
-    inverse = [reduce(add, [F.col(f"v{a}{i}") * F.col(f"v{a}{j}") for a in range(i, k)]).alias(f"p{i}{j}") for i in range(k) for j in range(i + 1)]
-    return out.select(*by, *[f"m{i}" for i in range(k)], *inverse)
+
+def _precision(moments: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """n, ``m``, ``p`` (inverse of the regularized covariance) and its ``logdet``, by sweeping the matrix once per component.
+
+    The covariance is ``factor`` times the rows' own, with PRIOR_ROWS imagined ones, and with the floors added to the variances.
+    """
+    own = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    floors = F.array(*[F.lit(FLOORS[DIMS[i]] ** 2 if i == j else 0.0) for i in range(K) for j in range(K)])
+    matrix = F.zip_with("s", floors, lambda s, f: own * factor * s + (2 - own) * f)
+
+    def sweep(state: Column, t: Column) -> Column:
+        p = state["p"]
+        pivot = F.greatest(F.get(p, t * (K + 1)), F.lit(1e-12))
+
+        def swept(x: Column, e: Column) -> Column:
+            i, j = F.floor(e / K).cast("int"), e % K
+            other = x - F.get(p, i * K + t) * F.get(p, t * K + j) / pivot
+            return F.when((i == t) & (j == t), 1 / pivot).when(i == t, x / pivot).when(j == t, -x / pivot).otherwise(other)
+
+        return F.struct(F.transform(p, swept).alias("p"), (state["logdet"] + F.log(pivot)).alias("logdet"))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(K - 1)), F.struct(matrix.alias("p"), F.lit(0.0).alias("logdet")), sweep)
+    return moments.select(*by, "n", "m", done.alias("done")).select(*by, "n", "m", "done.p", "done.logdet")
 
 
 def _distance() -> Column:
-    x = [F.col(d) - F.col(f"m{i}") for i, d in enumerate(DIMS)]
-    return reduce(add, [(1 if i == j else 2) * F.col(f"p{i}{j}") * x[i] * x[j] for i in range(len(DIMS)) for j in range(i + 1)])
+    x = [F.col(d) - F.get("m", F.lit(i)) for i, d in enumerate(DIMS)]
+    return reduce(add, [(1 if i == j else 2) * F.get("p", F.lit(i * K + j)) * x[i] * x[j] for i, j in PAIRS])
+
 
+def _quartiles(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the quartiles a0, b0 (median), c0, a1 ..: middles of fine bins, from a histogram, so the dealing of rows doesn't matter."""
+    bins = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.greatest(F.least(F.floor(F.col(d) / (FLOORS[d] / BINS)), F.lit(MOST_BINS)), F.lit(-MOST_BINS)).alias("bin")) for i, d in enumerate(DIMS)]))
+    counted = rows.select(*by, bins.alias("b")).groupBy(*by, F.col("b.dim").alias("dim"), F.col("b.bin").alias("bin")).agg(F.count("*").alias("k"))
+    every = Window.partitionBy(*by, "dim")
+    counted = counted.withColumn("upto", F.sum("k").over(every.orderBy("bin"))).withColumn("n", F.sum("k").over(every))
+    place = lambda i, q: ((F.min(F.when((F.col("dim") == i) & (F.col("upto") >= q * F.col("n")), F.col("bin"))) + 0.5) * (FLOORS[DIMS[i]] / BINS))
+    return counted.groupBy(*by).agg(*[place(i, q).alias(f"{name}{i}") for i in range(K) for name, q in (("a", 0.25), ("b", 0.5), ("c", 0.75))])
 
-def mcd_centres(rows: DataFrame, by: list[str], support: float = 0.75, steps: int = 3) -> DataFrame:
-    """Minimum-covariance-determinant mean and precision per group (m0.., p00..).
 
-    Starts from medians and quartile spreads, then takes ``steps`` concentration steps. Medians and
-    distance quantiles come from mergeable sketches, so a group of any size is aggregated in parts.
+def _starts(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """Deterministic starts per group: quartile spreads alone, covariances of squashed components, of rows drawn in to the unit sphere, and of all rows."""
+    spread = {f"w{i}": F.sqrt(F.pow((F.col(f"c{i}") - F.col(f"a{i}")) / 1.349, F.lit(2)) + FLOORS[DIMS[i]] ** 2) for i in range(K)}
+    quart = materialize(_quartiles(rows, by).withColumns(spread), "quartiles")
+    scaled = rows.join(quart, by).withColumns({f"z{i}": (F.col(DIMS[i]) - F.col(f"b{i}")) / F.col(f"w{i}") for i in range(K)})
+    norm = F.sqrt(reduce(add, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(K)]) / K)
+    scaled = scaled.withColumn("norm", F.greatest(norm, F.lit(1.0)))
+    squashed = [F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}{j}") for i, j in PAIRS]
+    drawn = [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm") / F.col("norm")).alias(f"r{i}{j}") for i, j in PAIRS]
+    found = materialize(scaled.groupBy(*by).agg(*_sums(), *squashed, *drawn).join(quart, by), "starts")
+    medians = F.array(*[F.col(f"b{i}") for i in range(K)]).alias("m")
+    scale = lambda i, j: F.col(f"w{i}") * F.col(f"w{j}")
+    own = [lambda i, j: scale(i, j) if i == j else F.lit(0.0), lambda i, j: F.col(f"t{i}{j}") * scale(i, j), lambda i, j: F.col(f"r{i}{j}") * scale(i, j)]
+    kinds = [*(found.select(*by, "n", medians, _full(entry).alias("s")) for entry in own), _moments(found, by)]
+    kinds = [f.withColumn("start", F.lit(i)) for i, f in enumerate(kinds)]
+    return _precision(reduce(DataFrame.unionByName, kinds), [*by, "start"], factor).withColumn("logdet", F.lit(math.inf))
+
+
+def mcd_centres(rows: DataFrame, by: list[str], support: float = 0.75) -> DataFrame:
+    """Minimum-covariance-determinant centre per group: ``by``, n (rows in the share), ``m`` (mean), ``p`` (precision, row by row), ``logdet``.
+
+    Concentration steps go on until no start of any group lowers its determinant, which ends as shares are
+    finite; of the starts the least determinant stays (ties: the first start). A group of any size is added up in
+    parts; a small one is defined too, by its own rows and the imagined ones of :func:`_precision`.
     """
-    quart = rows.groupBy(*by).agg(*[F.percentile_approx(d, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, d in enumerate(DIMS)])
-    spread = [(F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, F.lit(2)) + FLOORS[d] ** 2) for i, d in enumerate(DIMS)]
-    centres = quart.select(*by, *[F.get(f"q{i}", F.lit(1)).alias(f"m{i}") for i in range(len(DIMS))], *[(1 / spread[i] if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in range(len(DIMS)) for j in range(i + 1)])
-    for _ in range(steps):
-        centres = materialize(centres, "centres")
-        near = rows.join(centres, by).select(*by, *DIMS, _distance().alias("d2"))
-        cut = materialize(near.groupBy(*by).agg(F.percentile_approx("d2", support, 2000).alias("cut")), "cuts")
-        centres = _precision(_moments(near.join(cut, by).where(F.col("d2") <= F.col("cut")), by), by)
-    return materialize(centres, "centres")
-
-
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), support: float = 0.75, steps: int = 3, cutoff: float = 22.0, least_rows: int = 60) -> DataFrame:
+    factor, key = consistency(support), [*by, "start"]
+    moving = materialize(_starts(rows, by, factor), "centres")
+    steps = [moving]
+    while True:
+        near = rows.join(moving.select(*key, "m", "p"), by).withColumn("band", F.floor(BANDS * F.log2(_distance() + 1e-6)))
+        banded = near.groupBy(*key, "band").agg(*_sums())
+        whole = Window.partitionBy(*key)
+        banded = banded.withColumn("upto", F.sum("n").over(whole.orderBy("band"))).withColumn("all", F.sum("n").over(whole))
+        banded = banded.where(F.col("upto") - F.col("n") < F.ceil(support * F.col("all")))
+        fresh = _precision(_moments(banded.groupBy(*key).agg(*[F.sum(c).alias(c) for c in SUMS]), key), key, factor)
+        fresh = materialize(fresh.join(moving.select(*key, F.col("logdet").alias("before")), key), "centres")
+        moving = fresh.where(F.col("logdet") < F.col("before") - 1e-9).drop("before")
+        if moving.isEmpty():
+            break
+        steps.append(moving)
+    columns = ["n", "m", "p", "logdet"]
+    best = reduce(DataFrame.unionByName, steps)
+    return best.groupBy(*by).agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("c")).select(*by, *[F.col(f"c.{c}").alias(c) for c in columns])
+
+
+def reweighted(rows: DataFrame, centres: DataFrame, by: list[str], share: float = 0.975) -> DataFrame:
+    """Means and precisions of the rows within the chi-square quantile ``share`` of the robust centres."""
+    near = rows.join(centres.select(*by, "m", "p"), by).where(_distance() <= chi2_quantile(share, K))
+    return _precision(_moments(near.groupBy(*by).agg(*_sums()), by), by, consistency(share))
+
+
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), support: float = 0.75, tail: float = 0.0005) -> DataFrame:
     """One row per document: doc_id, counts, ``base_failed``, ``distance2`` and ``kept``.
 
     ``kept`` is false if a base rule fails, else whether the squared Mahalanobis distance from the robust
-    centre of its language and source is at most ``cutoff``. Centres are learnt from rows that pass the base
-    rules. Groups of fewer than ``least_rows`` such rows use the centre of their first column (language),
-    and that of all rows where this is small too.
+    centre of its language and source is at most the chi-square quantile that ``tail`` of normal rows exceed.
+    Centres are learnt from rows that pass the base rules, per group, whatever its size: a group of few rows
+    has the covariance of its own rows shrunk towards a fixed one, and a single row is its own centre.
 
-    Null and empty texts have no words: base_failed. Null group values form a group. Repeated rows count each.
+    Null and empty texts have no words: base_failed. Null group values form a group, as empty ones. Repeated rows count each.
     An empty table gives no rows. Columns besides those named are not read. Long texts are taken whole.
     """
     rows = materialize(with_statistics(docs, id_col, text_col, group_cols), "statistics")
-    good = rows.where(~F.col("base_failed"))
     keys = [f"g{i}" for i in range(len(group_cols))]
-    sizes = good.groupBy(*keys).agg(F.count("*").alias("n"))
-    first = keys[0]
-    by_first = sizes.groupBy(first).agg(F.sum("n").alias("n_first"))
-    levels = rows.select(*keys).distinct().join(sizes, keys, "left").join(by_first, first, "left")
-    exact = F.concat_ws("\x01", *keys)
-    scope = F.when(F.col("n") >= least_rows, F.concat(F.lit("2"), exact)).when(F.col("n_first") >= least_rows, F.concat(F.lit("1"), F.col(first))).otherwise("0")
-    levels = materialize(levels.select(*keys, scope.alias("scope")), "scopes")
-    wide = F.explode(F.array_distinct(F.array(F.lit("0"), F.concat(F.lit("1"), F.col(first)), F.concat(F.lit("2"), exact))))
-    needed = levels.select("scope").distinct()
-    learn = good.select(*keys, *DIMS).withColumn("scope", wide).join(needed, "scope", "left_semi").select("scope", *DIMS)
-    centres = mcd_centres(learn, ["scope"], support, steps)
-    scored = rows.join(levels, keys, "left").join(centres, "scope", "left").withColumn("distance2", _distance())
-    verdict = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
+    good = rows.where(~F.col("base_failed")).select(*keys, *DIMS)
+    centres = materialize(reweighted(good, mcd_centres(good, keys, support), keys), "centres")
+    scored = rows.join(centres.select(*keys, "m", "p"), keys, "left").withColumn("distance2", _distance())
+    verdict = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= chi2_quantile(1 - tail, K))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "distance2")
 
 

@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from talentrank.llm import hmm
+from talentrank.llm import hmm, quality
 from talentrank.llm.binary_ids import decode_ranks, encode_ranks
 from talentrank.llm.components import local_forest
 from talentrank.llm.decontamination import Matcher, myers, normal, original_span, pieces
@@ -276,3 +277,68 @@ def test_votes():
 
 def test_crc_is_the_contracts():
     assert zlib.crc32(b"5") % 7 in range(7)
+
+
+def plain_mcd(x, support, factor, floors, prior, rnd, tries=60):
+    """Least determinant over random starts of the nearest ``support`` share of rows, and that share's mean and covariance."""
+    n, k = x.shape
+    h = int(np.ceil(support * n))
+
+    def regular(some):
+        own = len(some) / (len(some) + prior)
+        return own * factor * np.cov(some.T, bias=True).reshape(k, k) + (2 - own) * np.diag(floors**2)
+
+    best = None
+    for _ in range(tries):
+        some = x[rnd.sample(range(n), min(n, k + 1))]
+        for _ in range(50):
+            centre, inverse = some.mean(0), np.linalg.inv(regular(some))
+            d = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+            nearest = x[np.argsort(d, kind="stable")[:h]]
+            if len(nearest) == len(some) and np.allclose(nearest.sum(0), some.sum(0)):
+                break
+            some = nearest
+        found = np.linalg.slogdet(regular(some))[1]
+        if best is None or found < best[0]:
+            best = found, some.mean(0), regular(some)
+    return best
+
+
+def test_quality_centres_have_the_least_determinant(spark):
+    import pandas as pd
+
+    rnd, gen = random.Random(4), np.random.default_rng(4)
+    floors = np.array(list(quality.FLOORS.values()))
+    frames = []
+    for name, n, far in (("a", 300, 60), ("b", 80, 15), ("c", 6, 1), ("d", 1, 0)):
+        mix = gen.normal(size=(5, 5)) * floors * 3
+        x = gen.normal(size=(n, 5)) @ mix
+        x[:far] += floors * 25 * gen.normal(size=5)  # a cluster of outliers pulls mean and covariance
+        frames.append(pd.DataFrame(x, columns=quality.DIMS).assign(g=name))
+    whole = pd.concat(frames, ignore_index=True)
+    rows = spark.createDataFrame(whole)
+    got = {r.g: r for r in quality.mcd_centres(rows, ["g"]).collect()}
+    again = {r.g: r for r in quality.mcd_centres(rows.repartition(7), ["g"]).collect()}
+    factor = quality.consistency(0.75)
+    for name, some in whole.groupby("g"):
+        x, r = some[quality.DIMS].to_numpy(), got[name]
+        logdet, centre, covariance = plain_mcd(x, 0.75, factor, floors, quality.PRIOR_ROWS, rnd)
+        # shares are rounded up to whole bands of distance, so a few more rows may lie in one
+        assert len(x) * 0.75 <= r.n <= len(x) * 0.75 + 1 + 0.05 * len(x)
+        assert abs(r.logdet - logdet) < 0.25 and np.allclose(np.linalg.inv(np.array(r.p).reshape(5, 5)), covariance, atol=0.2 * np.abs(covariance).max())
+        assert np.allclose(r.m, centre, atol=0.35 * np.sqrt(np.diag(covariance)).max())
+        assert abs(again[name].logdet - r.logdet) < 1e-6
+
+
+def test_chi_square():
+    assert abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality.chi2_quantile(0.9995, 5) - 22.1053) < 1e-3 and abs(quality.chi2_cdf(6.6257, 5) - 0.75) < 1e-4
+
+
+def test_repeated_words_with_equal_hashes(spark, monkeypatch):
+    """Windows of equal hash and other words are told apart by their texts."""
+    texts = ["a b c x a b c y q r s", "a b c d", "a b c a b c a b c", "p q r s t u v"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("words", F.split("t", " "))
+    want = {r.i: r.n_repeat_words for r in quality.with_repeated_words(frame).collect()}
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(0).cast("long"))
+    assert {r.i: r.n_repeat_words for r in quality.with_repeated_words(frame).collect()} == want
+    assert want == {0: 6, 1: 0, 2: 9, 3: 0}
