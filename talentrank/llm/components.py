@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_path, new_path
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,16 +41,24 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
-def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def _written(edges: DataFrame) -> tuple[DataFrame, str]:
+    path = new_path(edges.sparkSession, "links")
+    edges.write.option("compression", "zstd").parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), path
+
+
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): for links (a, b), each linked node with the smallest node it can reach.
 
     Links may repeat, run in either direction or join a node with itself; nulls are ignored.
-    No links give no rows.
+    No links give no rows. Rounds go on until one changes nothing, which the stars reach for any links; the table
+    of a round is deleted once the next one is written.
     """
+    spark = links.sparkSession
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = materialize(edges, "links")
+    edges, path = _written(edges)
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
@@ -58,12 +66,12 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "links")
+        edges, newer = _written(small.where("u <> v").distinct())
+        drop_path(spark, path)
+        path = newer
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

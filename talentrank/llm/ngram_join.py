@@ -6,10 +6,10 @@ reaches the threshold. The join is exact:
 1. Equal sets are one class, found by a digest of the set; only one member of each goes on.
 2. Routing. At similarity t two sets of sizes a, b differ in at most (a + b) (1 - t) / (1 + t) shingles.
    Shingle space is cut by hash into more parts than that, so at least one part of linked sets is
-   equal. Empty parts are equal in many sets, so a set speaks for its empty parts only if those it fills
-   are too few to leave an equal one. Equal parts tie documents into groups (a pair that links is always
-   in one group); the ties are spanning trees, never all pairs. The number of parts follows a size class, and a document also speaks
-   for the neighbouring classes that its partners can be in.
+   equal. Empty parts are equal in unrelated sets, so a set speaks for the parts it fills; if these are too
+   few to leave an equal one it speaks under the next cut too, and so on. Equal parts tie documents into
+   groups (a pair that links is always in one group); the ties are spanning trees, never all pairs. The number of
+   parts follows a size class, and a document also speaks for the neighbouring classes that its partners can be in.
 3. Signature trees. Within a group, nodes hold the OR of their members' shingle bitmaps and their size
    range, and a dual traversal drops node pairs whose maximum possible overlap cannot reach the threshold.
    What is left is checked on the exact sets, so each link between classes is met once and counted
@@ -37,8 +37,12 @@ from .components import connected_components, local_forest
 
 #: Children of a tree node.
 FANOUT = 8
-#: Members of a group that one task compares with each other; larger groups are compared slice by slice.
+#: Members of a group, and shingles of them all, that a slice holds; larger groups are compared slice by slice.
+#: A group of g slices costs g (g + 1) / 2 comparisons of slices and g copies of its sets, spread over as many tasks.
 SLICE = 8_000
+SLICE_SHINGLES = 8_000_000
+#: Cuts of shingle space that are tried before a set speaks for empty parts.
+CUTS = 8
 #: Ids of grouped documents that are broadcast at most (16 bytes each); beyond it the join is dealt out by id.
 BROADCAST_ROWS = 500_000
 #: Ratio between neighbouring size classes.
@@ -107,21 +111,28 @@ def part_digests(s: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
     """64-bit keys of the set's parts for every class its larger partner (or itself) can be in.
 
     A pair is found in the class of its larger set: the smaller one emits the keys of that class too,
-    which is its own or one whose least member is within 1 / threshold of it. Of a pair's filled parts at
-    least one is equal if either set fills more than the two can differ in; else both speak for empty parts too.
+    which is its own or one whose least member is within 1 / threshold of it. A set that fills more parts of a
+    cut than the two can differ in shares a filled one with each partner; else it emits the keys of the next cut as
+    well. So both sets of a pair speak under the first cut that is enough for either. A set for which no cut
+    is enough (thresholds far below 0.8) speaks for its empty parts at last.
     """
     n, c = len(s), size_class(len(s))
     while True:
-        m = parts_of(c, threshold)
-        part = (s >> np.uint64(11)) % np.uint64(m)
-        with np.errstate(over="ignore"):
-            mixed = (s ^ (s >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            sums = np.zeros(m, np.uint64)
-            np.add.at(sums, part.astype(np.int64), mixed)
-            key = (sums + np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
-            key ^= key >> np.uint64(33)
-        filled = np.bincount(part.astype(np.int64), minlength=m) > 0
-        yield key[filled] if filled.sum() > differences(n + class_top(c), threshold) else key
+        m, most = parts_of(c, threshold), differences(n + class_top(c), threshold)
+        for cut in range(CUTS):
+            with np.errstate(over="ignore"):
+                dealt = s if not cut else (s ^ (s >> np.uint64(29 + cut))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * cut)
+                part = ((dealt >> np.uint64(11)) % np.uint64(m)).astype(np.int64)
+                mixed = (s ^ (s >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                sums = np.zeros(m, np.uint64)
+                np.add.at(sums, part, mixed)
+                key = (sums + np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c * CUTS + cut) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
+                key ^= key >> np.uint64(33)
+            filled = np.bincount(part, minlength=m) > 0
+            enough = filled.sum() > most
+            yield key if cut == CUTS - 1 and not enough else key[filled]
+            if enough:
+                break
         c += 1
         if threshold * (class_top(c - 1) + 1) > n + 1e-9:
             return
@@ -305,9 +316,9 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str, give: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with their sets' keys, classes of equal sets, what the comparison of class representatives gives).
 
-    The last has rows (a, b, null) for links and (a, null, n) for n links of a's documents with those of
-    other classes, found by one task. ``give``: "links" gives every link, "counts" a spanning forest of the
-    links and the counts of every link, "forest" a spanning forest alone.
+    The last has rows (a, b, null, null) for links and (a, null, n, key) for n links of the documents that have
+    the set ``key`` of a with those of other classes, found by one task. ``give``: "links" gives every link, "counts" a
+    spanning forest of the links and the counts of every link, "forest" a spanning forest alone.
     """
     threshold = percent / 100
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
@@ -345,44 +356,46 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
     described = materialize(rows.mapInArrow(describe, form), "described")
     # classes of equal sets, each named by its smallest id
     members = described.where("bucket is null").select("doc_id", "n_shingles", "set_key")
-    classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes, "classes")
     # groups of representatives in which all links lie
     cells = described.where("bucket is not null").select("bucket", "keys", "docs").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     ties = connected_components(cells.mapInArrow(_tied, "a long, b long"))
-    group = ties.join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "copies")
-    sizes = group.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
-    group = materialize(group.join(sizes, "grp"), "groups")
+    group = ties.join(classes.select(F.col("rep").alias("node"), "copies", "set_key", "n_shingles"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "copies", "set_key", "n_shingles")
+    sizes = group.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
+    slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("shingles") / SLICE_SHINGLES)).cast("int")
+    group = group.join(sizes, "grp").withColumn("slices", slices).withColumn("mine", F.pmod(F.xxhash64("doc_id", "set_key"), "slices").cast("int"))
+    group = materialize(group.select("doc_id", "grp", "copies", "set_key", "slices", "mine"), "groups")
     # the texts of documents in groups; their ids are broadcast only while they are few
     wanted = F.broadcast(group) if group.count() <= BROADCAST_ROWS else group
-    slices = F.ceil(F.col("size") / SLICE).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), slices).cast("int")
-    held = rows.join(wanted, "doc_id").withColumn("slices", slices).withColumn("mine", mine)
-    # slice pairs (x, y) with x <= y in which the document takes part
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    held = held.select("doc_id", "t", "grp", "copies", "slices", "mine", other.alias("other"))
-    held = held.select("doc_id", "t", "grp", "copies", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
+    held = rows.join(wanted, "doc_id").select("doc_id", "t", "grp", "copies", "set_key", "slices", "mine")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            sets = pa.array([shingle(t).tobytes() for t in batch.column("t").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("x"), batch.column("y"), batch.column("mine"), batch.column("doc_id"), sets, batch.column("copies")], names=order)
-
-    order = ["grp", "x", "y", "mine", "doc_id", "s", "copies"]
-    sets = held.mapInArrow(shingled, "grp long, x int, y int, mine int, doc_id long, s binary, copies long")
+            sets = [shingle(t).tobytes() for t in batch.column("t").to_pylist()]
+            # an id may have several sets; each row of the group goes with the text it is about
+            right = [hashlib.blake2b(x, digest_size=16).digest() == k for x, k in zip(sets, batch.column("set_key").to_pylist(), strict=True)]
+            whole = [pa.array(sets, pa.large_binary()).cast(pa.binary()) if c == "s" else batch.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays(whole, names=carried).filter(pa.array(right, pa.bool_()))
+
+    carried = ["grp", "slices", "mine", "doc_id", "s", "copies", "set_key"]
+    sets = held.mapInArrow(shingled, "grp long, slices int, mine int, doc_id long, s binary, copies long, set_key binary")
+    # a text is cut into shingles once; its set goes to the slice pairs (x, y) with x <= y in which it takes part
+    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    sets = sets.select("*", other.alias("other")).select("grp", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "s", "copies", "set_key")
     sets = sets.repartition(F.col("grp"), F.col("x"), F.col("y")).sortWithinPartitions("grp", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
+        def out(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None, key: list[bytes] | None = None) -> pa.RecordBatch:
             column = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64())
-            return pa.RecordBatch.from_arrays([column(a), column(b), column(n)], names=["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([column(a), column(b), column(n), pa.nulls(len(a), pa.binary()) if key is None else pa.array(key, pa.binary())], names=["a", "b", "n", "set_key"])
 
         def linked(key: tuple, left: dict, right: dict) -> Iterator[pa.RecordBatch]:
             if key[1] != key[2] and not (left and right):
                 return
             names = sorted(left) + sorted(right)
-            ids, one, two = np.array(names, np.int64), [left[i][0] for i in sorted(left)], [right[i][0] for i in sorted(right)] or None
+            ids, one, two = np.array([i for i, _ in names], np.int64), [left[i][0] for i in sorted(left)], [right[i][0] for i in sorted(right)] or None
             if give == "forest":
                 links = list(tree_links(one, two, percent, list(range(len(ids))), len(one)))
                 if links:
@@ -404,57 +417,62 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
             if give == "counts" and n.any():
                 u, v = local_forest(np.concatenate([u, *(x for x, _ in new)]), np.concatenate([v, *(y for _, y in new)]))
                 yield out(ids[u], ids[v], None)
-                yield out(ids[n > 0], None, n[n > 0])
+                yield out(ids[n > 0], None, n[n > 0], [k for (_, k), some in zip(names, (n > 0).tolist(), strict=True) if some])
 
         now, left, right = None, {}, {}
         for batch in batches:
-            for g, x, y, mine, i, s, copies in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for g, x, y, mine, i, s, copies, k in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 if (g, x, y) != now:
                     if now:
                         yield from linked(now, left, right)
                     now, left, right = (g, x, y), {}, {}
-                (left if mine == x else right)[i] = np.frombuffer(s, np.uint64), copies
+                (left if mine == x else right)[(i, k)] = np.frombuffer(s, np.uint64), copies
         if now:
             yield from linked(now, left, right)
 
-    return members, classes, materialize(sets.mapInArrow(compare, "a long, b long, n long"), "joined")
+    return members, classes, materialize(sets.mapInArrow(compare, "a long, b long, n long, set_key binary"), "joined")
 
 
 def jaccard_links(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b (a < b): every link between different sets, once; a set is named by the smallest id that has it.
+    """a, b (a < b): every link between different sets, once; a set is named by the smallest id that has it (sets of one id: no link).
 
     Links as in :func:`jaccard_components`. A group of k texts that are all alike has k (k - 1) / 2 rows.
     """
-    links = _joined(docs, percent, words, id_col, text_col, "links")[2]
+    links = _joined(docs, percent, words, id_col, text_col, "links")[2].where("a <> b")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _components(members: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-    component = connected_components(joined.select("a", "b")).withColumnsRenamed({"node": "rep"})
+def _components(members: DataFrame, classes: DataFrame, joined: DataFrame, ids_repeat: bool) -> DataFrame:
+    links = joined.where("b is not null").select("a", "b")
+    if ids_repeat:  # an id with several sets ties their classes together
+        several = members.where("doc_id is not null and set_key is not null").groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id")
+        own = members.join(several, "doc_id", "left_semi").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        links = links.unionByName(own)
+    component = connected_components(links).withColumnsRenamed({"node": "rep"})
     named = classes.join(component, "rep", "left").select("set_key", "rep", "copies", F.coalesce("component", "rep").alias("component_id"))
     return members.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles (size of the set), component_id (smallest id reachable by links, itself included), n_links (other rows that the row links with).
+    """doc_id, n_shingles (size of the set), component_id (smallest id reachable by links, itself included), n_links (other rows that the row's set links with).
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct shingles of
     ``words`` words (A-Z lower-cased; fewer words: the whole sequence as one shingle). Null and empty texts
-    have the empty set and link with nothing. Ids are integers; rows that repeat an id count as copies of
-    one document if their texts are equal. A row with a null id links through rows with an equal set only
-    (its component is null if there are none). Columns besides the two are not read. An empty table gives
-    no rows.
+    have the empty set and link with nothing. Ids are integers. Rows that repeat an id are one document, whose
+    links are those of all its texts; each row has the size of its own set. A row with a null id links through rows with
+    an equal set only (its component is null if there are none). Columns besides the two are not read. An empty table
+    gives no rows.
     """
     members, classes, joined = _joined(docs, percent, words, id_col, text_col, "counts")
-    others = joined.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    found = _components(members, classes, joined).join(others, "rep", "left")
+    others = joined.where("n is not null").groupBy("set_key").agg(F.sum("n").alias("others"))
+    found = _components(members, classes, joined, True).join(others, "set_key", "left")
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))
     return found.select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
 
 
-def near_duplicate_filter(docs: DataFrame, percent: int = 90, words: int = 3, text_col: str = "text") -> DataFrame:
+def near_duplicate_filter(docs: DataFrame, percent: int = 80, words: int = 5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that link to an earlier one: one row of each component stays, all columns unchanged. Rows without a shingle all stay."""
     held, row = with_row_ids(docs, "join-input")
-    found = _components(*_joined(held, percent, words, row, text_col, "forest"))
+    found = _components(*_joined(held, percent, words, row, text_col, "forest"), False)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(row))
     return held.join(stay, row, "left_semi").select(*docs.columns)

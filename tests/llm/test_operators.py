@@ -205,7 +205,7 @@ def test_ngram_join_against_all_pairs(spark, monkeypatch, piece):
     n, comp = plain_components(rows)
     got = {r.doc_id: r for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert [got[i].n_shingles for i, _ in rows] == n and [got[i].component_id for i, _ in rows] == comp
-    stay = ngram_join.near_duplicate_filter(spark.createDataFrame(rows, "doc_id long, text string"))
+    stay = ngram_join.near_duplicate_filter(spark.createDataFrame(rows, "doc_id long, text string"), percent=90, words=3)
     assert stay.count() == len(set(comp))
 
 
@@ -228,6 +228,30 @@ def test_ngram_join_gives_every_link(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in ngram_join.jaccard_links(docs).collect()) == [(i, j) for i in first for j in first if i < j and link(i, j)]
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    rnd = random.Random(21)
+    a, b, c = (words(rnd, 200, 5000) for _ in range(3))
+    rows = [(1, a), (1, b), (2, f"{a} tail"), (3, f"{b} tail"), (4, c), (9, a), (7, c), (7, f"{b} end"), (8, words(rnd, 200, 5000))]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 1), (9, 1), (8, 8)} and len(got) == len(rows)
+    # links are those of the row's own set, whatever other texts its id has
+    assert sorted((r.doc_id, r.n_links) for r in got if r.doc_id in (1, 2, 3, 4, 9)) == [(1, 2), (1, 2), (2, 2), (3, 2), (4, 1), (9, 2)]
+
+
+def test_ngram_join_of_a_group_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE_SHINGLES", 60_000)
+    rnd = random.Random(22)
+    base, rows = words(rnd, 20_000, 9000).split(), []
+    for k in range(12):
+        w = list(base)
+        for at in rnd.sample(range(len(w)), 200 if k < 9 else 900):
+            w[at] = f"new{k}"
+        rows.append((k, " ".join(w)))
+    n, comp = plain_components(rows)
+    got = {r.doc_id: r for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_shingles for i, _ in rows] == n and [got[i].component_id for i, _ in rows] == comp and len(set(comp)) > 1
+
+
 def test_ngram_join_odd_cases(spark, docs):
     got = ngram_join.jaccard_components(docs)
     assert got.count() == docs.count() and ngram_join.jaccard_components(empty_documents(spark)).count() == 0

@@ -1,5 +1,6 @@
 """Pieces without Spark, against plain versions."""
 
+import collections
 import itertools
 import random
 import zlib
@@ -159,8 +160,19 @@ def test_empty_parts_tie_nothing_and_miss_no_pair(percent):
         a = set(a)
         if 100 * len(a & b) >= percent * len(a | b):
             assert keys(a) & keys(b)
-    apart = [keys({rnd.getrandbits(64) for _ in range(rnd.randint(600, 750))}) for _ in range(60)]
-    assert not any(x & y for x, y in itertools.combinations(apart, 2))
+    for low, high, many in ((4, 60, 1500), (600, 1000, 200)):
+        met = collections.Counter(itertools.chain(*(keys({rnd.getrandbits(64) for _ in range(rnd.randint(low, high))}) for _ in range(many))))
+        assert max(met.values()) == 1
+
+
+def test_low_thresholds_miss_no_pair():
+    rnd = random.Random(14)
+    keys = lambda s: set(itertools.chain(*(k.tolist() for k in part_digests(np.array(sorted(s), np.uint64), 0.5))))
+    for n in range(1, 120):
+        a = [rnd.getrandbits(64) for _ in range(n)]
+        b = set(a[n // 4 :]) | {rnd.getrandbits(64) for _ in range(n // 5)}
+        if 100 * len(set(a) & b) >= 50 * len(set(a) | b):
+            assert keys(set(a)) & keys(b)
 
 
 def test_signature_tree_components_against_all_pairs():
