@@ -25,6 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import drop_path, new_path, text_of
 from .encoders import encoder, in_runs, public_path
 
+#: Bytes of waiting ids in a range of documents that one task writes.
+RANGE_BYTES = 128 << 20
 #: By control byte: which of the 4 x 4 byte places of its ids are filled.
 PLACES = np.array([[place <= (c >> 2 * i & 3) for i in range(4) for place in range(4)] for c in range(256)], dtype=bool)
 #: By control byte: the bytes of its longest id.
@@ -163,7 +165,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
                 control, control_ends, data, data_ends = code(ranks[ids], n)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), binary(control, control_ends), binary(data, data_ends)], names=form.names)
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # ranges follow the bytes to be written, so a task's share stays the same at any size
+    id_bytes = int(counted["n"].sum()) * (2 if len(rank_of) <= 1 << 16 else 4)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-id_bytes // RANGE_BYTES))
     # ranges are drawn from the plain scan, before any id is coded
     dealt = encoded.where("counts is null").drop("counts").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "n_tokens")
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens").mapInArrow(write, form)

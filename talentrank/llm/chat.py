@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turns of a conversation that one task puts together before whole conversations are built.
-TURNS_PER_BLOCK = 128
+#: Rows, numbered where they are read, that are put together before whole conversations are built.
+ROWS_PER_BLOCK = 4096
 
 
 def escape(text: Column) -> Column:
@@ -67,18 +67,18 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
     texts are empty; a null id is a conversation like any other. Repeated rows are turns of their own.
     Columns besides the four named ones are not read. An empty table gives no rows.
 
-    Turns are first joined in blocks of their conversation, so a conversation that holds a large part of
-    all rows is put together from few pieces.
+    Rows are first joined in blocks by where they are read, whatever their turns are, so a conversation that
+    holds a large part of all rows is put together from pieces of bounded size.
     """
     rows = conversations.select(
         F.col(id_col).alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).withColumn("block", F.floor(F.col("turn") / TURNS_PER_BLOCK))
-    blocks = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    chats = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "turns"))).alias("blocks"))
-    chats = chats.select("conv_id", F.transform(F.flatten("blocks.turns"), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    ).withColumn("block", F.floor(F.monotonically_increasing_id() / ROWS_PER_BLOCK))
+    blocks = rows.groupBy("conv_id", "block").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    chats = blocks.groupBy("conv_id").agg(F.collect_list("turns").alias("blocks"))
+    chats = chats.select("conv_id", F.transform(F.sort_array(F.flatten("blocks")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     tried = chats.withColumn("raw", render(F.col("turns"), F.lit(0)))
     tried = tried.withColumn("escape_level", F.when(parse(F.col("raw")).eqNullSafe(F.col("turns")), 0).otherwise(1))
     done = tried.withColumn("formatted", F.when(F.col("escape_level") == 0, F.col("raw")).otherwise(render(F.col("turns"), F.lit(1))))

@@ -112,14 +112,14 @@ def log_likelihood(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> np
     return total
 
 
-def counts(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of some texts: (symbols seen, their expected counts per state, moves, starts)."""
+def counts(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of some texts: (symbols seen, their expected counts per state, moves, starts), and their natural log-likelihood."""
     lanes = Lanes(symbols, lengths)
     before, after, _ = _chain(lanes, model, need_beta=True)
     n, k, steps = len(lanes.text), len(model.start), len(lanes.active)
     alpha = np.empty((steps, n, k))
     now = before.copy()
-    first = lanes.nth == 0
+    first, likelihood = lanes.nth == 0, 0.0
     for t in range(steps):
         a = int(lanes.active[t])
         b = model.emit[lanes.symbols[lanes.begin[:a] + t]]
@@ -127,7 +127,9 @@ def counts(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.n
         if t == 0:
             moved[first[:a]] = now[:a][first[:a]]
         moved *= b
-        moved /= moved.sum(1, keepdims=True)
+        scale = moved.sum(1, keepdims=True)
+        likelihood += float(np.log(scale).sum())
+        moved /= scale
         alpha[t, :a] = now[:a] = moved
     beta = after.copy()
     moves, starts = np.zeros((k, k)), np.zeros(k)
@@ -152,4 +154,4 @@ def counts(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.n
         beta[:a] = back / back.sum(1, keepdims=True)
     flat, weight = np.concatenate(seen), np.concatenate(weight)
     used, at = np.unique(flat, return_inverse=True)
-    return used, np.stack([np.bincount(at, weight[:, s], len(used)) for s in range(k)], 1), moves, starts
+    return used, np.stack([np.bincount(at, weight[:, s], len(used)) for s in range(k)], 1), moves, starts, likelihood

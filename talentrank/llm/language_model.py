@@ -2,11 +2,12 @@
 
 Words and one end per text are the tokens. Corpus counts cover all training texts: texts are coded in
 blocks with block-local word numbers, and only (block, distinct word) pairs are dealt out by word to be
-counted and to come back. Words that make at least ``own_share`` of the training tokens are symbols of
+counted and to come back. Counts are 64-bit numbers. Words that make at least ``own_share`` of the training tokens are symbols of
 their own (at most 1 / own_share of them, since shares add up to one); a rarer word is its letter class
 times its share of the class; a word never seen in training is one unknown symbol. Baum-Welch counts of
-every training text are added up across partitions and train the latent states; the scaled forward
-recursion gives the exact probability of each text.
+every training text are added up across partitions and train the latent states, until the likelihood of a
+token hardly grows; the first guess comes from all training texts too, by the signs of their principal components.
+The scaled forward recursion gives the exact probability of each text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,11 @@ END = b" "
 CLASSES = 4096
 #: Symbols per row when counts are added up.
 CHUNK = 8192
-#: Tokens per call of the recursion.
-RUN_TOKENS = 250_000
+#: Tokens and texts per call of the recursion.
+RUN_TOKENS = 125_000
+RUN_TEXTS = 4096
+#: Hashed words whose principal components give the first guess of a text's state.
+WIDTH = 256
 
 
 def letter_class(word: bytes) -> int:
@@ -142,7 +146,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], own_least: float) -> Iterato
         return pa.RecordBatch.from_arrays([
             pa.array([-1, *(b for b, _, _ in cells)], pa.int64()), pa.array([bucket] * (len(cells) + 1), pa.int32()),
             pa.array([None, *(codes[at].astype("<i4").tobytes() for at in places)], pa.binary()),
-            pa.array([None, *(total[at].astype("<u4").tobytes() for at in places)], pa.binary()),
+            pa.array([None, *(total[at].astype("<i8").tobytes() for at in places)], pa.binary()),
             pa.array([total[big].astype("<i8").tobytes(), *none], pa.binary()),
             pa.array([[[int(c), int(classes[c])] for c in np.flatnonzero(classes)], *none], pa.list_(pa.list_(pa.int64()))),
             pa.array([int((total > 0).sum()), *none], pa.int64()), pa.array([int((total == 1).sum()), *none], pa.int64()),
@@ -161,8 +165,8 @@ def _count_words(batches: Iterator[pa.RecordBatch], own_least: float) -> Iterato
 
 
 def _runs(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about RUN_TOKENS tokens each."""
-    group = np.cumsum(lengths.astype(np.int64)) // RUN_TOKENS
+    """Ranges of documents of about RUN_TOKENS tokens each, and at most RUN_TEXTS documents."""
+    group = np.cumsum(lengths.astype(np.int64)) // RUN_TOKENS + np.arange(len(lengths)) // RUN_TEXTS
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lengths)]
     return ((i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if i < j)
 
@@ -172,6 +176,17 @@ def _block_parts(lengths: bytes, held: bytes, symbols: bytes) -> tuple[np.ndarra
     return n, np.unpackbits(np.frombuffer(held, np.uint8), count=len(n)).astype(bool), _unplanes(symbols).astype(np.int64)
 
 
+def _hashed(sym: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Per text the square roots of its shares of WIDTH hashed symbols."""
+    at = np.repeat(np.arange(len(lengths)) * WIDTH, lengths) + (sym * 0x9E3779B1 >> 12) % WIDTH
+    return np.sqrt(np.bincount(at, minlength=len(lengths) * WIDTH).reshape(-1, WIDTH) / lengths[:, None])
+
+
+def _chunks(emit: np.ndarray) -> dict[int, np.ndarray]:
+    """Pieces of CHUNK symbols, but those of nothing."""
+    return {i: emit[i * CHUNK : (i + 1) * CHUNK].ravel() for i in range(-(-len(emit) // CHUNK)) if emit[i * CHUNK : (i + 1) * CHUNK].any()}
+
+
 class Corpus:
     """Coded texts and the corpus counts that scores need; all of them written tables or numbers of bounded size."""
 
@@ -223,7 +238,7 @@ class Corpus:
                 for b, c, k in cells:
                     x = np.frombuffer(c, "<i4").astype(np.int64)
                     code.append(np.where(x >= 0, x + first[b], np.where(x == -(2**30), n_own + CLASSES, n_own - 1 - x)))
-                    count.append(np.frombuffer(k, "<u4").astype(np.int64))
+                    count.append(np.frombuffer(k, "<i8"))
                 code, count = np.concatenate(code), np.concatenate(count)
                 base = np.log10(count + 1.0) - np.log10(total + distinct + 1.0)
                 in_class = (code >= n_own) & (code < n_own + CLASSES)
@@ -269,54 +284,13 @@ class Corpus:
         out[-1] = self.unknown
         return np.maximum(out, 1e-300)
 
-    def seeds(self, states: int, sample_blocks: int, sample_docs: int, sample_tokens: int) -> np.ndarray:
-        """Expected counts to begin with: clusters of a bounded sample of training documents (at most sample_blocks * sample_docs, each up to sample_tokens tokens)."""
-        some = self.blocks.orderBy(F.xxhash64("block")).limit(sample_blocks).select("lengths", "held", "symbols")
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                    n, held, sym = _block_parts(*row)
-                    at = np.concatenate([[0], np.cumsum(n)])
-                    train = np.flatnonzero(~held & (n > 20))
-                    for d in train[:: max(1, -(-len(train) // sample_docs))]:
-                        found.append(sym[at[d] : min(at[d + 1], at[d] + sample_tokens)].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_pydict({"s": pa.array(found, pa.binary())})
-
-        docs = sorted(np.frombuffer(r["s"], "<u4").tobytes() for r in some.mapInArrow(pick, "s binary").collect())
-        docs = [np.frombuffer(d, "<u4").astype(np.int64) for d in docs]
-        out = np.tile(self.symbol_counts[:, None] / states, (1, states))
-        if len(docs) < states:
-            return out + np.arange(states) * 1e-3
-        width = 2048
-        x = np.zeros((len(docs), width), np.float32)
-        for i, d in enumerate(docs):
-            np.add.at(x[i], d % width, 1)
-        x = np.sqrt(x)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        x -= x.mean(0)
-        centres = [x[0]]
-        for _ in range(states - 1):  # farthest first
-            centres.append(x[np.argmin(np.max([x @ c for c in centres], axis=0))])
-        c = np.stack(centres)
-        for _ in range(12):
-            of = np.argmax(x @ c.T, axis=1)
-            c = np.stack([x[of == s].mean(0) if (of == s).any() else c[s] for s in range(states)])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        out = np.zeros((self.n_symbols, states))
-        for i, d in enumerate(docs):
-            np.add.at(out[:, of[i]], d, 1.0)
-        return out
+    def _added(self, count: Callable[[Iterator[tuple[np.ndarray, np.ndarray]]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+        """Sums over all tasks of what ``count`` makes of a task's training texts (symbols, lengths), piece by piece.
 
-    def baum_welch(self, model: hmm.Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of all training texts: (symbols, states), moves, starts; added up per task, then by ranges of symbols."""
-        shared = self.spark.sparkContext.broadcast(model)
-        k, n_symbols = len(model.start), self.n_symbols
+        Tasks hand over pieces, which are added up apart from each other; the driver gets the sums.
+        """
 
-        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            emit, moves, starts = np.zeros((n_symbols, k)), np.zeros((k, k)), np.zeros(k)
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                     n, held, sym = _block_parts(*row)
@@ -324,13 +298,11 @@ class Corpus:
                     for i, j in _runs(n):
                         train = ~held[i:j]
                         if train.any():
-                            used, c, mv, st = hmm.counts(sym[at[i] : at[j]][np.repeat(train, n[i:j])], n[i:j][train], m)
-                            emit[used] += c
-                            moves += mv
-                            starts += st
-            parts = [(i, emit[i * CHUNK : (i + 1) * CHUNK]) for i in range(-(-n_symbols // CHUNK))]
-            parts = [(i, p.astype("<f8").tobytes()) for i, p in parts if p.any()] + [(-1, np.concatenate([moves.ravel(), starts]).astype("<f8").tobytes())]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([i for i, _ in parts], pa.int32()), "c": pa.array([p for _, p in parts], pa.binary())})
+                            yield sym[at[i] : at[j]][np.repeat(train, n[i:j])], n[i:j][train]
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = count(texts(batches))
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(parts), pa.int32()), "c": pa.array([p.astype("<f8").tobytes() for p in parts.values()], pa.binary())})
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
@@ -340,16 +312,72 @@ class Corpus:
                     sums[i] = sums[i] + x if i in sums else x
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "c": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
-        partial = self.blocks.select("lengths", "held", "symbols").mapInArrow(expect, "chunk int, c binary")
-        emit, moves, starts = np.zeros((n_symbols, k)), np.zeros((k, k)), np.zeros(k)
-        for r in partial.repartition("chunk").mapInArrow(add, "chunk int, c binary").collect():
-            x = np.frombuffer(r["c"], "<f8")
-            if r["chunk"] < 0:
-                moves, starts = x[: k * k].reshape(k, k), x[k * k :]
-            else:
-                emit[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = x.reshape(-1, k)
+        partial = self.blocks.select("lengths", "held", "symbols").mapInArrow(part, "chunk int, c binary")
+        return {r["chunk"]: np.frombuffer(r["c"], "<f8") for r in partial.repartition("chunk").mapInArrow(add, "chunk int, c binary").collect()}
+
+    def _emit(self, sums: dict[int, np.ndarray], k: int) -> np.ndarray:
+        out = np.zeros((self.n_symbols, k))
+        for i, x in sums.items():
+            if i >= 0:
+                out[i * CHUNK : (i + 1) * CHUNK] = x.reshape(-1, k)
+        return out
+
+    def seeds(self, states: int) -> np.ndarray:
+        """Expected counts to begin with: each training text as a whole in one state, by the signs of its principal components.
+
+        Components are those of all training texts' hashed words (square roots of shares), whose sums of squares
+        are a fixed number of values per task.
+        """
+        some = max(1, (states - 1).bit_length())
+        rows = 16  # of the square matrix, in a piece
+
+        def moments(texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+            n, total, squares = 0, np.zeros(WIDTH), np.zeros((WIDTH, WIDTH))
+            for sym, lengths in texts:
+                x = _hashed(sym, lengths)
+                n += len(x)
+                total += x.sum(0)
+                squares += x.T @ x
+            return {-1: np.append(total, n)} | {i: squares[i * rows : (i + 1) * rows].ravel() for i in range(WIDTH // rows)}
+
+        sums = self._added(moments) if self.tokens else {}
+        if not sums or not sums[-1][-1]:
+            return np.tile(self.symbol_counts[:, None] / states, (1, states))
+        n, mean = sums[-1][-1], sums[-1][:-1] / sums[-1][-1]
+        squares = np.concatenate([sums[i].reshape(rows, WIDTH) for i in range(WIDTH // rows)])
+        axes = np.linalg.eigh(squares / n - np.outer(mean, mean))[1][:, ::-1][:, :some]
+        axes = axes * np.sign(axes[np.argmax(np.abs(axes), axis=0), np.arange(some)])
+        border, n_symbols = mean @ axes, self.n_symbols
+
+        def assign(texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+            emit = np.zeros((n_symbols, states))
+            for sym, lengths in texts:
+                state = ((_hashed(sym, lengths) @ axes > border) @ (1 << np.arange(some))) % states
+                emit += np.bincount(sym * states + np.repeat(state, lengths), minlength=n_symbols * states).reshape(n_symbols, states)
+            return _chunks(emit)
+
+        return self._emit(self._added(assign), states)
+
+    def baum_welch(self, model: hmm.Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of all training texts: (symbols, states), moves, starts; and the texts' log-likelihood."""
+        shared = self.spark.sparkContext.broadcast(model)
+        k, n_symbols = len(model.start), self.n_symbols
+
+        def expect(texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+            m = shared.value
+            emit, moves, starts, likelihood = np.zeros((n_symbols, k)), np.zeros((k, k)), np.zeros(k), 0.0
+            for sym, lengths in texts:
+                used, c, mv, st, ll = hmm.counts(sym, lengths, m)
+                emit[used] += c
+                moves += mv
+                starts += st
+                likelihood += ll
+            return {-1: np.concatenate([moves.ravel(), starts, [likelihood]])} | _chunks(emit)
+
+        sums = self._added(expect)
         shared.unpersist()
-        return emit, moves, starts
+        last = sums[-1]
+        return self._emit(sums, k), last[: k * k].reshape(k, k), last[k * k : -1], float(last[-1])
 
     def score(self, model: hmm.Model) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
@@ -376,19 +404,26 @@ class Corpus:
         return self.blocks.select("ids", "lengths", "held", "symbols", "known", "base", "rare").mapInArrow(forward, schema)
 
 
-def train(corpus: Corpus, states: int = 4, iterations: int = 2, mix: float = 0.1, sample: tuple[int, int, int] = (32, 64, 2000)) -> hmm.Model:
-    """Train the states: seed counts from a bounded sample, then Baum-Welch over every training text."""
-    emit = corpus.seeds(states, *sample)
+def train(corpus: Corpus, states: int = 4, tolerance: float = 0.01, mix: float = 0.1) -> tuple[hmm.Model, list[float]]:
+    """The model, and the log-likelihood of a training token (natural logarithm) in each round.
+
+    Baum-Welch over every training text, from :meth:`Corpus.seeds`, until a round gains less than ``tolerance`` a
+    token; likelihoods are bounded, so that comes.
+    """
+    emit = corpus.seeds(states)
     move = np.full((states, states), 0.02 / states) + np.eye(states) * 0.98
-    start = np.full(states, 1 / states)
-    for _ in range(iterations if corpus.tokens else 0):
-        emit, moves, starts = corpus.baum_welch(hmm.Model(start, move, corpus.emissions(emit, mix)))
+    start, rounds = np.full(states, 1 / states), []
+    while corpus.tokens:
+        emit, moves, starts, likelihood = corpus.baum_welch(hmm.Model(start, move, corpus.emissions(emit, mix)))
         move = (moves + 1e-3) / (moves + 1e-3).sum(1, keepdims=True)
         start = (starts + 1e-3) / (starts + 1e-3).sum()
-    return hmm.Model(start, move, corpus.emissions(emit, mix))
+        rounds.append(likelihood / corpus.tokens)
+        if len(rounds) > 1 and rounds[-1] - rounds[-2] < tolerance:
+            break
+    return hmm.Model(start, move, corpus.emissions(emit, mix)), rounds
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, states: int = 4, iterations: int = 2, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000, own_share: float = 2e-6) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, states: int = 4, tolerance: float = 0.01, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4_000_000, own_share: float = 2e-6) -> DataFrame:
     """Score every text by a model of those whose crc32(id as text) mod ``modulus`` is not 2.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
@@ -399,4 +434,4 @@ def score_texts(docs: DataFrame, modulus: int = 7, states: int = 4, iterations:
     not read. An empty table gives no rows.
     """
     corpus = Corpus(docs, modulus, id_col, text_col, block_chars, own_share)
-    return corpus.score(train(corpus, states, iterations))
+    return corpus.score(train(corpus, states, tolerance)[0])

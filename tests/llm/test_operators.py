@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -228,6 +229,28 @@ def test_ngram_join_gives_every_link(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in ngram_join.jaccard_links(docs).collect()) == [(i, j) for i in first for j in first if i < j and link(i, j)]
 
 
+def test_chat_turns_that_tie(spark):
+    """Rows that share one turn number, or have none, go by role and text, however many; other columns don't matter."""
+    rnd = random.Random(23)
+    rows = [(7, k, rnd.choice(["user", "assistant"]), f"text {rnd.randrange(50)}") for k in [None, 3] for _ in range(9000)]
+    frame = chat_frame(spark, rows).selectExpr("*", "'x' AS turns", "'y' AS block", "1 AS blocks", "2 AS raw", "3 AS formatted").repartition(3)
+    got = chat.chat_digest(chat.format_chats(frame)).first()
+    turns = [(r, t) for _, r, t in sorted((k is not None, r, t) for _, k, r, t in rows)]
+    assert got.n_turns == 18000 and got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+
+
+def test_binary_ids_in_ranges_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(binary_ids, "RANGE_BYTES", 2000)
+    rnd = random.Random(24)
+    rows = [(i, words(rnd, 60)) for i in range(400)]
+    path = new_path(spark, "ids")
+    binary_ids.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    assert spark.read.parquet(f"{path}/ids").select("shard").distinct().count() > 8
+    back = binary_ids.read_ids(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in back] == list(range(400))
+    assert [np.frombuffer(r.ids, "<u4")[:-1].tolist() for r in back] == library_ids("word_bpe_49k.json", [t for _, t in rows])
+
+
 def test_ngram_join_of_ids_with_several_texts(spark):
     rnd = random.Random(21)
     a, b, c = (words(rnd, 200, 5000) for _ in range(3))
@@ -309,10 +332,25 @@ def test_language_model_beats_the_base(spark):
     """Two languages: states find them, and held-out texts are likelier than by the unigram."""
     rnd = random.Random(21)
     rows = [(i, " ".join(f"{'ab'[i % 2]}{int(rnd.paretovariate(0.8)) % 500}" for _ in range(80))) for i in range(300)]
-    got = language_model.score_texts(spark.createDataFrame(rows, "doc_id int, text string"), states=2, iterations=3).where("held_out").collect()
+    got = language_model.score_texts(spark.createDataFrame(rows, "doc_id int, text string"), states=2).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 10 * len(got)
 
 
+def test_language_model_trains_until_the_likelihood_settles(spark):
+    rnd = random.Random(22)
+    rows = [(i, " ".join(f"{'abcd'[i % 4]}{int(rnd.paretovariate(0.8)) % 300}" for _ in range(rnd.choice([3, 60, 400])))) for i in range(400)]
+    corpus = language_model.Corpus(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), 7, "doc_id", "text", 4000, 2e-6)
+    model, rounds = language_model.train(corpus, states=4, tolerance=0.001)
+    assert len(rounds) > 1 and all(b > a - 0.001 for a, b in itertools.pairwise(rounds)) and rounds[-1] - rounds[-2] < 0.001
+    assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1) and np.isclose(model.start.sum(), 1)
+
+
+def test_language_model_of_a_very_common_word(spark):
+    rows = [(i, "the " * 400 + f"word{i}") for i in range(60)] + [(100 + i, "the the") for i in range(30)] * 2
+    got = language_model.score_texts(spark.createDataFrame(rows, "doc_id int, text string"), block_chars=2000).collect()
+    assert len(got) == len(rows) and len({(r.doc_id, r.score) for r in got if r.doc_id >= 100}) == 30 and all(r.score < 0 for r in got)
+
+
 def test_toxicity(spark):
     rnd = random.Random(31)
     rows, labels = [], []

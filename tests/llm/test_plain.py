@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from talentrank.llm import hmm, quality
+from talentrank.llm import hmm, language_model, quality
 from talentrank.llm.binary_ids import decode_ranks, encode_ranks
 from talentrank.llm.components import local_forest
 from talentrank.llm.decontamination import Matcher, myers, normal, original_span, pieces
@@ -30,8 +30,11 @@ def test_encoders_give_the_librarys_ids(name):
 
     library = Tokenizer.from_file(public_path(name))
     library.encode_special_tokens = True
+    import pyarrow.parquet as pq
+
     rnd = random.Random(3)
-    texts = ["".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 16))) for _ in range(3000)] + ["a" * 5000, " " * 3000]
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += ["".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 16))) for _ in range(3000)] + ["a" * 5000, " " * 3000]
     found = encoder(public_path(name)).many(texts)
     for text, ids, e in zip(texts, found, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert ids.tolist() == e.ids, text
@@ -132,10 +135,21 @@ def test_hmm_against_brute_force(monkeypatch):
                 counts[w, q] += p
             for a, b in itertools.pairwise(path):
                 moves[a, b] += p
-    used, c, mv, s0 = hmm.counts(x, lengths, m)
+    used, c, mv, s0, likelihood = hmm.counts(x, lengths, m)
+    assert np.isclose(likelihood, hmm.log_likelihood(x, lengths, m).sum())
     assert np.allclose(c, counts[used]) and np.allclose(mv, moves) and np.allclose(s0, starts)
 
 
+def test_word_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    most = 2**32 - 1
+    cells = pa.RecordBatch.from_pydict({"bucket": [0, 0, 0], "block": [1, 2, 3], "words": [b"common\nrare", b"common", b"common"], "counts": [np.array(x, "<u4").tobytes() for x in ([most, 3], [most], [7])]})
+    total, *blocks = itertools.chain.from_iterable(b.to_pylist() for b in language_model._count_words(iter([cells]), 1e6))
+    assert np.frombuffer(total["own"], "<i8").tolist() == [2 * most + 7] and total["distinct"] == 2
+    assert [np.frombuffer(b["counts"], "<i8").tolist() for b in blocks] == [[2 * most + 7, 3], [2 * most + 7], [2 * most + 7]]
+
+
 def test_parts_never_miss_a_pair():
     rnd = random.Random(9)
     for _ in range(300):
