@@ -10,7 +10,7 @@ Git|GitHub|GitLab|Bitbucket|Jenkins|CircleCI|Travis CI|GitHub Actions|GitLab CI|
 Red Hat|C#|.NET|.NET Core|.NET Framework|ASP.NET|Java|Spring|Spring Boot|React Native|Flutter|Swift|SwiftUI|Kotlin|Android|iOS|HTML|CSS|
 Tailwind CSS|Bootstrap|SASS|SCSS|Redux|NgRx|MobX|Cesium|OpenLayers|Leaflet|GIS|ArcGIS|ArcGIS Pro|QGIS|Jest|Mocha|Cypress|Selenium|Pytest|
 Go|Rust|PHP|Ruby|Ruby on Rails|C++|C|R|Scala|Wireshark|Scapy|Mission Planner|Splunk|GraphQL|REST|REST API|RabbitMQ|Kafka|
-Apache Spark|PySpark|Apache Hadoop|Apache Airflow|Jira|Confluence|Figma|Postman
+Apache Spark|PySpark|Hadoop|Apache Airflow|Jira|Confluence|Figma|Postman
 """.replace("\n", "").split("|")
 
 #: Other variants, by canonical name. Fixed values. (Forms with a version after a space are stripped before the lookup.)
@@ -27,7 +27,7 @@ SKILL_ALIASES = {
     "HTML": "html5", "CSS": "css3", "Tailwind CSS": "tailwind|tailwindcss", "Redux": "react-redux|react redux", "Cesium": "cesiumjs|cesium.js", "OpenLayers": "open layers",
     "Leaflet": "leafletjs", "ArcGIS Pro": "gis pro|arc gis pro", "ArcGIS": "arc gis", "Cypress": "cypress.io", "Go": "golang", "PHP": "php7|php8", "Ruby on Rails": "rails|ror",
     "C++": "cpp|cplusplus", "R": "rstudio", "Mission Planner": "missionplanner", "GraphQL": "graph ql", "REST": "restful", "REST API": "restful api", "RabbitMQ": "rabbit mq",
-    "Kafka": "apache kafka", "Apache Spark": "spark", "Apache Hadoop": "hadoop", "Apache Airflow": "airflow", "Jira": "atlassian jira", "Confluence": "atlassian confluence", "Bamboo": "atlassian bamboo",
+    "Kafka": "apache kafka", "Apache Spark": "spark", "Hadoop": "apache hadoop", "Apache Airflow": "airflow", "Jira": "atlassian jira", "Confluence": "atlassian confluence", "Bamboo": "atlassian bamboo",
 }
 
 

@@ -27,10 +27,20 @@ def contained(text: Column, words) -> Column:
     return F.filter(literal(words), lambda w: text.contains(w))
 
 
+def _runs_first(pairs: Column) -> Column:
+    """Of sorted structs those whose ``k`` no earlier one has; null keys go."""
+    return F.filter(pairs, lambda e, j: e["k"].isNotNull() & ((j == 0) | ~F.get(pairs, j - 1)["k"].eqNullSafe(e["k"])))
+
+
 def first_by_key(items: Column, key: Callable[[Column], Column]) -> Column:
-    """Items whose key no earlier item has, in order."""
-    keyed = F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
-    return bind(keyed, lambda a: F.transform(F.filter(a, lambda e, i: F.array_position(F.transform(a, lambda y: y["k"]), e["k"]) == i + 1), lambda e: e["x"]))
+    """Items whose key no earlier item has, in order; null keys go. Keys are sorted, so time is n log n."""
+
+    def firsts(a: Column) -> Column:
+        pairs = F.array_sort(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        places = F.array_sort(F.transform(bind(pairs, _runs_first), lambda e: e["i"]))
+        return F.transform(places, lambda i: F.get(a, i))
+
+    return bind(items, firsts)
 
 
 def ordered_distinct(items: Column) -> Column:
@@ -59,10 +69,16 @@ def overlap_size(a: Column, b: Column) -> Column:
 
 
 def max_wins(items: Column, key: Callable[[Column], Column], weight: Callable[[Column], Column]) -> Column:
-    """Per key the item of the largest weight, the first on ties, in order of the winners."""
-    keyed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), weight(x).alias("w"), (-i).alias("i"), x.alias("x")))
-    best = lambda a, e: F.array_max(F.transform(F.filter(a, lambda y: y["k"] == e["k"]), lambda y: F.struct(y["w"], y["i"])))["i"] == e["i"]
-    return bind(keyed, lambda a: F.transform(F.filter(a, lambda e: best(a, e)), lambda e: e["x"]))
+    """Per key the item of the largest weight, the first on ties, at the place where the key came first; null keys go."""
+
+    def winners(a: Column) -> Column:
+        each = lambda order: bind(F.array_sort(F.transform(a, order)), _runs_first)
+        best = each(lambda x, i: F.struct(key(x).alias("k"), (-weight(x)).alias("w"), i.alias("i")))
+        first = each(lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
+        placed = F.array_sort(F.zip_with(first, best, lambda f, b: F.struct(f["i"].alias("at"), b["i"].alias("i"))))  # both in the keys' order
+        return F.transform(placed, lambda p: F.get(a, p["i"]))
+
+    return bind(items, winners)
 
 
 def interval_union_days(spans: Column) -> Column:

@@ -71,10 +71,11 @@ def years_simple(start: Column, end: Column) -> Column:
 
 
 def years_by_months(start: Column, end: Column, now: Column) -> Column:
-    """Whole months and days / 30 of two dates, in years, one decimal; an open end is now; never below 0."""
+    """Whole months, and days over them / 30, of two dates, in years, one decimal; an open end is now; 0 without a start or for an end before it."""
     e = F.coalesce(end, now)
-    months = (F.year(e) - F.year(start)) * 12 + (F.month(e) - F.month(start)) + (F.dayofmonth(e) - F.dayofmonth(start)) / 30.0
-    return F.round(F.greatest(months / 12.0, F.lit(0.0)), 1)
+    days = F.dayofmonth(e) - F.dayofmonth(start)
+    months = (F.year(e) - F.year(start)) * 12 + (F.month(e) - F.month(start)) + F.when(days > 0, days / 30.0).otherwise(0.0)
+    return F.when(start.isNotNull() & (e >= start), F.round(F.greatest(months / 12.0, F.lit(0.0)), 1)).otherwise(0.0)
 
 
 def age_days(ts: Column, now: Column) -> Column:

@@ -57,8 +57,8 @@ def real_work(title: Column, company: Column) -> Column:
 
 
 def currently_student(education: Column, now: Column) -> Column:
-    """array<struct<end date>>: an end that is missing, ahead or within 180 days."""
-    return F.coalesce(F.exists(education, lambda e: e["end"].isNull() | (F.datediff(now, e["end"]) <= 180)), F.lit(False))
+    """array<struct<end date>>: an end that is missing, ahead or under 180 days ago."""
+    return F.coalesce(F.exists(education, lambda e: e["end"].isNull() | (F.datediff(now, e["end"]) < 180)), F.lit(False))
 
 
 def management_mismatch(job_title: Column, title: Column, history: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import dims
 from .arrays import bind, literal, ordered_distinct
@@ -172,12 +172,12 @@ def scan_skills(c: Column, terms=tuple(dims.SCAN_TERMS)) -> Column:
 
 
 def name_heuristic(c: Column) -> Column:
-    """A name among the first three lines: 2 to 4 words of letters, none a heading; none for Hebrew text."""
-    blocked = ("resume", "curriculum", "vitae", "cv", "profile", "summary", "experience", "education", "skills", "contact", "phone", "email")
+    """The first of the first three lines that has 2 to 4 words of letters, none of them a heading; none if that line is Hebrew."""
+    blocked = ("resume", "cv", "curriculum", "vitae", "profile", "summary", "contact", "phone", "email", "address", "קורות", "חיים")
     lines = F.slice(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
-    tidy = F.transform(lines, lambda x: collapse(F.regexp_replace(x, "[-|•]", " ")))
-    good = F.filter(tidy, lambda x: x.rlike(r"^\p{L}+( \p{L}+){1,3}$") & ~F.exists(F.split(F.lower(x), " "), lambda w: w.isin(*blocked)))
-    return F.when(~c.rlike("[֐-׿]"), F.get(good, F.lit(0)))
+    tidy = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "[-|•]", " ")))
+    good = F.filter(tidy, lambda x: x.rlike(r"^\p{L}+(\s+\p{L}+){1,3}$") & ~F.exists(F.split(F.lower(x), r"\s+"), lambda w: w.isin(*blocked)))
+    return bind(F.get(good, F.lit(0)), lambda n: F.when(~n.rlike("[֐-׿]"), n))
 
 
 def is_broken(c: Column) -> Column:
@@ -236,9 +236,9 @@ def years_label(low: Column, high: Column) -> Column:
 
 def stability_badge(c: Column) -> Column:
     out = F.when(c.isNull() | (c == 0), "Unknown")
-    for least, name in ((90, "Excellent"), (80, "Very Good"), (70, "Good"), (60, "Fair"), (50, "Below Average")):
+    for least, name in ((90, "Excellent"), (80, "Good"), (70, "OK"), (60, "Moderate"), (50, "Concern")):
         out = out.when(c >= least, name)
-    return out.otherwise("Poor")
+    return out.otherwise("High Risk")
 
 
 def score_band(c: Column) -> Column:
@@ -246,11 +246,15 @@ def score_band(c: Column) -> Column:
 
 
 def count_bullets(c: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x) != "")).cast("long")
+    """Parts between bullet signs that are not blank."""
+    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "•"), lambda x: F.regexp_replace(x, r"\s+", "") != "")).cast("long")
 
 
 def no_concerns(c: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(c)).isin("", "none", "n/a", "no concerns", "-"), F.lit(True))
+    """Empty, or one of the phrases that say so."""
+    low = F.lower(collapse(c))
+    begins = [low.startswith(p) for p in ("no significant concerns", "לא זוהו חששות", "אין חששות")]
+    return F.coalesce((c == "") | low.isin("no concerns", "none") | begins[0] | begins[1] | begins[2], F.lit(True))
 
 
 def bullets_text(items: Column) -> Column:
@@ -273,35 +277,122 @@ def strip_fences(c: Column) -> Column:
 
 
 def tag_dates(c: Column) -> Column:
-    """Date ranges to [DATE:a..b], then every bare year to [YEAR:y]."""
-    months = "|".join([*dims.HEBREW_MONTHS, *"january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec".split("|")])
-    end = r"((?:(?:MONTH)\s+)?\d{4}|present|היום|כיום)".replace("MONTH", months)
-    t = F.regexp_replace(c, rf"(?i)((?:{months})\s+\d{{4}})\s*[-–]\s*{end}", "[DATE:$1..$2]")
-    t = F.regexp_replace(t, r"(?i)\b(\d{4})\s*[-–]\s*(\d{4}|present|היום|כיום)", "[DATE:$1..$2]")
-    return F.regexp_replace(t, r"\b((?:19|20)\d{2})\b", "[YEAR:$1]")
+    """Ranges of Hebrew months or of years to [DATE:from..to] (ISO dates, PRESENT for open ends), then every bare year to [YEAR:y]."""
+    open_end = "כיום|הווה|נוכחי|present|now"
+    year, months = r"(?:20\d{2}|19\d{2})", "|".join(dims.HEBREW_MONTHS)
+    edge, end = r"(?U)(?i)\b", r"\b"
+    t = F.regexp_replace(c, rf"{edge}({months})\s+({year})\s*[-–]\s*(?:{months})\s+(?:{open_end}){end}", "[DATE:$2-$1-01..PRESENT]")
+    t = F.regexp_replace(t, rf"{edge}({months})\s+({year})\s*[-–]\s*({months})\s+({year}){end}", "[DATE:$2-$1-01..$4-$3-01]")
+    for i, m in enumerate(dims.HEBREW_MONTHS, 1):  # month names stand inside the tags now
+        t = F.regexp_replace(t, rf"(?<=(?:DATE:|\.\.)\d{{4}}-){m}(?=-01)", f"{i:02d}")
+    t = F.regexp_replace(t, rf"{edge}(?<!DATE:)(?<!\.\.)({year})\s*[-–]\s*(?:{open_end}){end}", "[DATE:$1-01-01..PRESENT]")
+    t = F.regexp_replace(t, rf"{edge}({year})\s*[-–]\s*({year}){end}", "[DATE:$1-01-01..$2-01-01]")
+    return F.regexp_replace(t, rf"{edge}({year}){end}", "[YEAR:$1]")
+
+
+def _plain_letters(s):  # noqa: ANN001, ANN202
+    import pandas as pd
 
-
-@F.pandas_udf(StringType())
-def unicode_plain(s):  # noqa: ANN001, ANN201
-    """NFC, then letters without combining marks; Spark SQL has no Unicode normalization, hence this one vectorized function."""
     strip = lambda t: "".join(ch for ch in unicodedata.normalize("NFKD", unicodedata.normalize("NFC", t)) if not unicodedata.combining(ch))
-    return s.map(strip, na_action="ignore")
+    return pd.Series(s).map(strip, na_action="ignore")
+
+
+def plain_letters(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose column ``name`` is decomposed (NFKD) without combining marks where it has Hebrew.
+
+    Spark SQL has no Unicode normalization, so texts with Hebrew, and these alone, pass through Arrow batches;
+    the others stay in the JVM.
+    """
+    hebrew = F.coalesce(F.col(name).rlike("[֐-׿]"), F.lit(False))
+    schema = rows.schema
+
+    def run(frames: Iterator) -> Iterator:
+        for f in frames:
+            f[name] = _plain_letters(f[name])
+            yield f
+
+    return rows.where(~hebrew).unionByName(rows.where(hebrew).mapInPandas(run, schema))
 
 
-def prepare_hebrew(c: Column) -> Column:
-    """The chain for texts with Hebrew: plain letters, punctuation and bullets unified, headings tagged, dates tagged, direction marks around Latin runs."""
-    t = unicode_plain(c)
-    t = F.regexp_replace(F.regexp_replace(t, "[־–—]", "-"), "[״“”]", '"')
-    t = F.regexp_replace(t, "(?m)^\\s*[•●▪◦]\\s*", "- ")
-    for heading, tag in (("ניסיון(?: תעסוקתי| מקצועי)?", "EXPERIENCE"), ("השכלה(?: אקדמית)?", "EDUCATION"), ("מיומנויות|כישורים", "SKILLS"), ("פרויקטים", "PROJECTS"), ("סיכום", "SUMMARY"), ("שפות", "LANGUAGES"), ("הסמכות", "CERTIFICATIONS")):
-        t = F.regexp_replace(t, rf"(?m)^\s*(?:{heading})\s*[:\-]?\s*$", f"<<SECTION:{tag}>>")
-    t = tag_dates(t)
-    hebrew_line = "[֐-׿]"
-    marked = F.transform(F.split(t, "\n"), lambda x: F.when(x.rlike(hebrew_line), F.concat(F.lit("‏"), F.regexp_replace(x, r"([A-Za-z][A-Za-z0-9.+#/ -]*[A-Za-z0-9+#])", "‎$1‎"))).otherwise(F.concat(F.lit("‎"), x)))
-    return F.when(c.rlike(hebrew_line), F.array_join(marked, "\n")).otherwise(c)
+#: Hebrew section headings and the section that each opens, in the order in which they are applied. Fixed values.
+HEBREW_HEADINGS = (
+    (r"ניסיון", "EXPERIENCE"), (r"ניסיון\s+תעסוקתי", "EXPERIENCE"), (r"ניסיון\s+מקצועי", "EXPERIENCE"), (r"פרויקט(ים)?", "PROJECTS"), (r"פרויקטים", "PROJECTS"),
+    (r"תפקיד(ים)?", "EXPERIENCE"), (r"טכנולוגיות", "SKILLS"), (r"מיומנויות", "SKILLS"), (r"כישורים", "SKILLS"), (r"שפות\s*(תכנות)?", "SKILLS"), (r"כלים", "SKILLS"),
+    (r"השכלה", "EDUCATION"), (r"לימודים", "EDUCATION"), (r"שפות", "LANGUAGES"), (r"פרופיל", "SUMMARY"), (r"תקציר", "SUMMARY"), (r"סיכום", "SUMMARY"),
+    (r"שירות\s+צבאי", "MILITARY"), (r"קורס(ים)?", "COURSES"),
+)
+#: Signs and what stands for them. Fixed values.
+PLAIN_SIGNS = (("[–—]", "-"), ("[“”‟״]", '"'), ("’", "'"), ("‚", ","), ("˙", "."))
+
+
+def mark_hebrew(c: Column) -> Column:
+    """The chain for text of plain letters: signs and bullets unified, headings and dates tagged, direction marks around Latin words and Hebrew lines."""
+    t = c
+    for pattern, sign in PLAIN_SIGNS:
+        t = F.regexp_replace(t, pattern, sign)
+    t = F.regexp_replace(F.regexp_replace(t, r"\s*:\s*", ": "), r"[ \t]+", " ")
+    t = F.regexp_replace(t, r"(?m)^\s*[\u2022\u2023\u25E6\u2043\u2219\-\*]\s*", "- ")
+    for heading, tag in HEBREW_HEADINGS:
+        t = F.regexp_replace(t, rf"(?U)(?im)^\s*\b{heading}\b\s*[:\-]?\s*$", f"<<SECTION:{tag}>>")
+    hebrew = "[֐-׿]"
+    lines = lambda x, f: F.array_join(F.transform(F.split(F.regexp_replace(x, r"(?:\r\n|[\n\r])\z", ""), r"\r\n|[\n\r]"), lambda line: F.when(line.rlike(hebrew), f(line)).otherwise(line)), "\n")
+    t = tag_dates(lines(t, lambda line: F.regexp_replace(line, "([A-Za-z]+)", "\u200e$1\u200e")))
+    return lines(t, lambda line: F.concat(F.lit("\u200f"), line, F.lit("\u200e")))
+
+
+def prepare_hebrew(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose column ``name`` went through :func:`plain_letters` and :func:`mark_hebrew` where it has Hebrew; other texts and nulls stay as they are."""
+    hebrew = F.col(name).rlike("[֐-׿]")
+    return plain_letters(rows, name).withColumn(name, F.when(hebrew, mark_hebrew(F.col(name))).otherwise(F.col(name)))
 
 
 def first_hebrew_contact(c: Column) -> Column:
-    return F.struct(F.nullif(F.regexp_extract(c, dims.EMAIL, 0), F.lit("")).alias("email"), F.nullif(F.regexp_extract(c, r"(?:\+972|0)[-\s]?\d{1,2}[-\s]?\d{3}[-\s]?\d{4}", 0), F.lit("")).alias("phone"))
+    """struct<email, phone>: the first of each; a mobile number without spaces and hyphens, in international form."""
+    raw = F.nullif(F.regexp_extract(c, r"(\+972-?\s?\d{8,9}|\+972\d{8,9}|0?5\d-?\s?\d{7})", 0), F.lit(""))
+    p = F.translate(raw, " -", "")
+    phone = F.when(p.startswith("05"), F.concat(F.lit("+972"), F.substring(p, 2, 20))).when(p.startswith("+9720"), F.concat(F.lit("+972"), F.substring(p, 6, 20))).otherwise(p)
+    return F.struct(F.nullif(F.regexp_extract(c, r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", 0), F.lit("")).alias("email"), phone.alias("phone"))
+
+
+def salary_label(low: Column, high: Column, currency: Column) -> Column:
+    """'a-b CUR', 'a+ CUR' or 'Up to b CUR'; 0 counts as absent."""
+    a, b = F.nullif(low, F.lit(0)), F.nullif(high, F.lit(0))
+    s = lambda x: F.format_number(x, 0)
+    sign = F.coalesce(F.concat(F.lit(" "), currency), F.lit(""))
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(s(a), F.lit("-"), s(b), sign)).when(a.isNotNull(), F.concat(s(a), F.lit("+"), sign)).when(b.isNotNull(), F.concat(F.lit("Up to "), s(b), sign))
+
+
+def spans(c: Column, pattern: str, confidence: float = 0.98) -> Column:
+    """array<struct<value, start, end, confidence>> of a pattern's matches; offsets in characters, the end after the last.
+
+    The text is split at its matches once; places are running lengths of what lies between.
+    """
+    found = F.regexp_extract_all(c, F.lit(f"({pattern})"), 1)
+    between = F.split(c, pattern, -1)
+
+    def placed(values: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"), F.concat(acc["all"], F.array(F.struct(x["value"].alias("value"), (acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), F.lit(confidence).alias("confidence")))).alias("all"))
+        pairs = F.transform(values, lambda v, i: F.struct(F.get(between, i).alias("gap"), v.alias("value")))
+        empty = F.array().cast("array<struct<value:string,start:int,end:int,confidence:double>>")
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
+
+    return F.coalesce(bind(found, placed), F.array().cast("array<struct<value:string,start:int,end:int,confidence:double>>"))
+
+
+def email_spans(c: Column) -> Column:
+    return spans(c, dims.EMAIL)
+
+
+def phone_spans(c: Column) -> Column:
+    """Phone candidates with their places, in international form; year ranges and other numbers of digits than 8 to 16 go."""
+    good = F.filter(spans(c, dims.PHONE), lambda p: ~F.trim(p["value"]).rlike(dims.YEAR_RANGE))
+    plain = F.transform(good, lambda p: F.struct(phone_il(p["value"]).alias("value"), p["start"], p["end"], p["confidence"]))
+    return F.filter(plain, lambda p: F.length(F.regexp_replace(p["value"], r"\D", "")).between(8, 16))
 
 
+def skill_counts(c: Column, terms=None) -> Column:
+    """map canonical name -> how often the dictionary's terms for it occur in the text."""
+    terms = dims.SCAN_TERMS if terms is None else terms
+    counted = F.array(*[F.struct(normalize_skill(F.lit(t)).alias("k"), F.regexp_count(c, F.lit(rf"(?i)(?<![A-Za-z0-9+]){quoted(t)}(?![A-Za-z0-9+])")).alias("n")) for t in terms])
+    found = F.filter(counted, lambda x: x["n"] > 0)
+    return bind(found, lambda a: F.map_from_entries(F.transform(F.array_distinct(F.transform(a, lambda x: x["k"])), lambda k: F.struct(k, F.aggregate(F.filter(a, lambda x: x["k"] == k), F.lit(0), lambda s, x: s + x["n"])))))

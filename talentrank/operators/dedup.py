@@ -18,11 +18,32 @@ def contact_links(contacts: DataFrame, key: str = "id") -> DataFrame:
     return contacts.join(least, ["kind", "value"]).where(F.col(key) != F.col("b")).select(F.col(key).alias("a"), "b").distinct()
 
 
-def components(links: DataFrame, write, rounds: int = 30) -> DataFrame:
-    """(node, master): the least reachable node of each linked one. ``write`` stores a round's table in a shared folder and rereads it."""
+def duplicate_masters(people: DataFrame) -> DataFrame:
+    """id, master, matched_by of rows whose first e-mail, else first phone, an earlier row has among its own.
+
+    ``people``: id, created_at, emails, phones (arrays of exact values). Earlier: by created_at, ties by id. The earliest
+    holder of each value is found first, with sums combined in the map tasks, so a value that very many rows have stays cheap.
+    """
+    kinds = (("email", "emails"), ("phone", "phones"))
+    held = [people.select("id", "created_at", F.lit(k).alias("kind"), F.explode(c).alias("value")) for k, c in kinds]
+    first = held[0].unionByName(held[1]).where("value <> ''").groupBy("kind", "value").agg(F.min(F.struct("created_at", "id")).alias("first"))
+    asked = people.select("id", F.get("emails", F.lit(0)).alias("email"), F.get("phones", F.lit(0)).alias("phone"))
+    for k, _ in kinds:
+        found = first.where(F.col("kind") == k).select(F.col("value").alias(k), F.col("first.id").alias(f"{k}_master"))
+        asked = asked.join(found, k, "left")
+    other = lambda k: F.when(F.col(f"{k}_master") != F.col("id"), F.col(f"{k}_master"))
+    out = asked.select("id", F.coalesce(other("email"), other("phone")).alias("master"), F.when(other("email").isNotNull(), "email").otherwise("phone").alias("matched_by"))
+    return out.where("master is not null")
+
+
+def components(links: DataFrame, write) -> DataFrame:
+    """(node, master): the least reachable node of each linked one. ``write`` stores a round's table in a shared folder and rereads it.
+
+    Rounds go on until none changes a label; labels only fall, so that comes.
+    """
     both = write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = write(both.select(F.col("a").alias("node")).distinct().withColumn("master", F.col("node")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("master").alias("m"))
         hooked = labels.join(near, labels.node == near.a, "left").select("node", F.least("master", F.coalesce("m", "master")).alias("master"))
         up = labels.select(F.col("node").alias("master"), F.col("master").alias("up"))
@@ -31,7 +52,6 @@ def components(links: DataFrame, write, rounds: int = 30) -> DataFrame:
         labels = jumped.select("node", "master")
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def merge_into_masters(resumes: DataFrame, masters: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as tx
 from ..functions.arrays import bind, first_by_key, max_wins, trimmed
 from ..functions.dates import parse_loose, years_simple
-from ..functions.rules import currently_student, real_work
+from ..functions.rules import banned_title, real_work
 
 
 def extract(docs: DataFrame, id_col: str = "id", text_col: str = "parsed_text") -> DataFrame:
@@ -23,42 +23,59 @@ def extract(docs: DataFrame, id_col: str = "id", text_col: str = "parsed_text")
 
 
 def sections(docs: DataFrame, id_col: str = "id", text_col: str = "parsed_text") -> DataFrame:
-    """(id, title, start, end): runs of lines under each heading, the first one 'general'. Offsets in characters."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
-    heading = F.when(F.col("line").rlike(dims.HEADING), F.lower(F.regexp_replace(F.trim("line"), r"\s*[:\-]?\s*$", "")))
-    titled = placed.withColumn("title", F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit("general"))).withColumn("section", F.sum(heading.isNotNull().cast("int")).over(w))
-    return titled.groupBy(id_col, "section", "title").agg(F.min("start").alias("start"), F.max(F.col("start") + F.length("line")).alias("end")).drop("section")
+    """(id, title, start, end): a text's parts, the first one 'general'. A heading line ends one part, and its end begins the next; offsets in characters.
+
+    Null and empty texts are one part of no length. Rows with equal ids are told apart.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # places come from running lengths within the row's own array, so nothing is shuffled
+    lines = F.split(text, "\n")
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + F.length(x))).alias("ends"))
+    ends = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), step, lambda acc: acc["ends"])
+    heads = F.filter(F.zip_with(lines, ends, lambda x, e: F.struct(F.when(F.trim(x).rlike(dims.HEADING), F.lower(F.regexp_extract(F.trim(x), dims.HEADING, 1))).alias("title"), e.alias("at"))), lambda h: h["title"].isNotNull())
+    marks = F.concat(F.array(F.struct(F.lit("general").alias("title"), F.lit(0).alias("at"))), heads)
+    rows = docs.select(id_col, F.length(text).alias("_length"), marks.alias("_marks"))
+    parts = F.transform("_marks", lambda m, i: F.struct(m["title"].alias("title"), m["at"].alias("start"), F.coalesce(F.get("_marks", i + 1)["at"], F.col("_length")).alias("end")))
+    return rows.select(id_col, F.explode(parts).alias("p")).select(id_col, "p.title", "p.start", "p.end")
+
+
+def _stored(name: Column) -> Column:
+    """The name as it is kept: capitalized if it is all lower-case and longer than a letter."""
+    return F.when((name == F.lower(name)) & (F.length(name) > 1), tx.title_case(name)).otherwise(name)
 
 
 def candidate_skills(experience: Column, education: Column, skills: Column) -> Column:
-    """array<struct<name, source, weight>>: experience technologies, education's, then listed skills; larger weights replace, first spelling kept on ties.
+    """array<struct<name, source, weight, category>>: experience technologies, then education's, then listed skills.
 
-    A skill is from work (weight 1) if its raw or canonical lower form is in the text of the bullets.
+    A technology or listed skill is from work (weight 1) if its name or canonical name is in the text of the
+    bullets, whatever role it is given for; all others weigh 0.6. Education's skills are only added where no
+    technology has the name. Per name the larger weight stays, the first on ties, where the name came first.
     """
     none = F.array().cast("array<string>")
-    corpus = F.lower(F.array_join(F.flatten(F.transform(F.coalesce(experience, F.array()), lambda e: F.coalesce(e["bullets"], none))), " "))
+    corpus = F.lower(F.concat(F.lit(" "), F.array_join(F.flatten(F.transform(F.coalesce(experience, F.array()), lambda e: F.coalesce(e["bullets"], none))), " ")))
 
     def build(text: Column) -> Column:
-        def entry(name: Column, source: str) -> Column:
-            at_work = text.contains(F.lower(name)) | text.contains(F.lower(tx.normalize_skill(name)))
-            return F.struct(name.alias("name"), F.when(at_work, "work_experience").otherwise(F.lit(source)).alias("source"), F.when(at_work, 1.0).otherwise(dims.LISTED_SKILL_WEIGHT).alias("weight"))
+        def entry(name: Column, source: Column, category: Column) -> Column:
+            at_work = text.contains(F.lower(F.trim(name))) | text.contains(F.lower(tx.normalize_skill(name)))
+            return F.struct(name.alias("name"), F.when(at_work, "work_experience").otherwise(source).alias("source"), F.when(at_work, 1.0).otherwise(dims.LISTED_SKILL_WEIGHT).alias("weight"), category.alias("category"))
 
-        tech = trimmed(F.flatten(F.transform(F.coalesce(experience, F.array()), lambda e: F.coalesce(e["tech"], none))))
-        school = trimmed(F.flatten(F.transform(F.coalesce(education, F.array()), lambda e: F.concat(F.coalesce(e["tech"], none), F.coalesce(e["skills"], none), F.coalesce(e["courses"], none)))))
-        listed = trimmed(F.transform(F.coalesce(skills, F.array()), lambda s: s["name"]))
-        work = F.transform(tech, lambda n: F.struct(n.alias("name"), F.lit("work_experience").alias("source"), F.lit(1.0).alias("weight")))
-        return F.concat(work, F.transform(school, lambda n: entry(n, "education")), F.transform(listed, lambda n: entry(n, "skills_list")))
+        nothing = F.lit(None).cast("string")
+        tech = F.transform(trimmed(F.flatten(F.transform(F.coalesce(experience, F.array()), lambda e: F.coalesce(e["tech"], none)))), _stored)
+        school = F.transform(trimmed(F.flatten(F.transform(F.coalesce(education, F.array()), lambda e: F.concat(F.coalesce(e["tech"], none), F.coalesce(e["skills"], none), F.coalesce(e["courses"], none))))), _stored)
+        listed = F.filter(F.coalesce(skills, F.array()), lambda s: F.trim(s["name"]) != "")
+        source = lambda s: F.when(s["source"] == "experience", "work_experience").otherwise(F.coalesce(s["source"], F.lit("skills_list")))
+        return F.concat(
+            F.transform(tech, lambda n: entry(n, F.lit("skills_list"), nothing)),
+            F.transform(school, lambda n: F.struct(n.alias("name"), F.lit("education").alias("source"), F.lit(dims.LISTED_SKILL_WEIGHT).alias("weight"), F.lit("education").alias("category"))),
+            F.transform(listed, lambda s: entry(_stored(F.trim(s["name"])), source(s), s["category"])),
+        )
 
-    best = max_wins(bind(corpus, build), lambda x: F.lower(x["name"]), lambda x: x["weight"])
-    return F.transform(best, lambda x: F.struct(F.when((x["name"] == F.lower(x["name"])) & (F.length(x["name"]) > 1), tx.title_case(x["name"])).otherwise(x["name"]).alias("name"), x["source"], x["weight"]))
+    return max_wins(bind(corpus, build), lambda x: F.lower(x["name"]), lambda x: x["weight"])
 
 
 def sanitize_roles(experience: Column) -> Column:
     """Roles without those whose title is a section heading."""
-    return F.filter(experience, lambda e: ~F.coalesce(F.lower(F.trim(e["title"])).isin(*dims.BANNED_ROLE_TITLES), F.lit(False)))
+    return F.filter(experience, lambda e: ~banned_title(e["title"]))
 
 
 def contacts(person: Column) -> Column:
@@ -67,22 +84,30 @@ def contacts(person: Column) -> Column:
     return trimmed(F.concat(values("emails"), values("phones")))
 
 
+def student_title(education: Column, now: Column) -> Column:
+    """'<field> Student', else '<degree> Student', else 'Student', of the first education that goes on or ended under 180 days ago; null without one."""
+    going = lambda e: F.datediff(now, parse_loose(e["end_date"], now, True)) < 180
+    first = F.get(F.filter(F.coalesce(education, F.array()), lambda e: e.isNotNull() & going(e)), F.lit(0))
+    field = F.trim(F.replace(F.replace(tx.clean(first["field"]), F.lit("Bachelor of Science in"), F.lit("")), F.lit("B.Sc"), F.lit("")))
+    return F.when(first.isNotNull(), F.when(field.isNotNull(), F.concat(field, F.lit(" Student"))).when(tx.clean(first["degree"]).isNotNull(), F.concat(tx.clean(first["degree"]), F.lit(" Student"))).otherwise("Student"))
+
+
 def profession(person: Column, experience: Column, education: Column, now: Column) -> Column:
-    """Self-declared title; else the latest title of real work (or the student title for students whose work ended over a year ago); else any latest title; else student; else by field of study."""
+    """Self-declared title; else the latest title of real work, unless a student's ended over a year ago; else the student title; else any latest title; else by the first field of study.
+
+    Latest: by end date (open ends are now), the first of equal ones.
+    """
     roles = F.transform(F.coalesce(experience, F.array()), lambda e, i: F.struct(parse_loose(e["end_date"], now, True).alias("end"), (-i).alias("i"), tx.clean(e["title"]).alias("title"), real_work(e["title"], e["company"]).alias("real")))
-    latest = lambda rs: F.array_max(rs)["title"]
-    student = currently_student(F.transform(F.coalesce(education, F.array()), lambda e: F.struct(parse_loose(e["end_date"], now).alias("end"))), now) & (F.size(F.coalesce(education, F.array())) > 0)
-    field = F.lower(F.get(F.transform(F.coalesce(education, F.array()), lambda e: F.concat_ws(" ", e["field"], e["degree"])), F.lit(0)))
-    by_field = F.when(field.rlike("computer|software"), "Software Developer").when(field.contains("data"), "Data Analyst").when(field.contains("electr"), "Electrical Engineer").when(field.rlike("business|management"), "Business Professional")
+    field = F.get(trimmed(F.transform(F.coalesce(education, F.array()), lambda e: e["field"])), F.lit(0))
+    low = F.lower(field)
+    by_field = F.when(low.contains("computer") | low.contains("software") | low.contains("מחשב"), "Software Developer").when(low.contains("data") & low.contains("science"), "Data Scientist").when(low.contains("engineer"), "Engineer").otherwise(field)
 
     def choose(rs: Column) -> Column:
         titled = F.filter(rs, lambda r: r["title"].isNotNull())
         real = F.filter(titled, lambda r: r["real"])
-        stale = F.datediff(now, F.array_max(F.transform(real, lambda r: r["end"]))) > 365
-        return F.coalesce(
-            tx.clean(person["self_declared_title"]), F.when((F.size(real) > 0) & student & stale, "Student").when(F.size(real) > 0, latest(real)),
-            F.when(student, "Student"), latest(titled), by_field,
-        )
+        last, student = F.array_max(real), student_title(education, now)
+        stale = student.isNotNull() & (F.datediff(now, last["end"]) > 365)
+        return F.coalesce(tx.clean(person["self_declared_title"]), F.when(F.size(real) > 0, F.when(stale, student).otherwise(last["title"])), student, F.array_max(titled)["title"], by_field)
 
     return bind(roles, choose)
 

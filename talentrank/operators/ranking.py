@@ -25,16 +25,21 @@ def identity(name: Column) -> Column:
 
 
 def final_ranking(rows: DataFrame, top_n: int, by: str = "job_id", final: str = "llm_score", first: str = "rag_score", name: str = "name", key: str = "resume_id") -> DataFrame:
-    """Good, bad, unknown; by final score (unknown: by first score); one row per identity (blank ones all stay); the first ``top_n`` per job, with rank and total."""
-    known = rows.where(identity(F.col(name)) != "unknown")
+    """Good, bad, unknown; by final score (unknown: by first score); one row per identity (blank ones all stay); the first ``top_n`` per job, with rank and total.
+
+    Rows without a name, and those named unknown, are left out; ``total`` counts the job's ranked rows.
+    """
+    known = rows.where(F.coalesce((F.col(name) != "") & (F.lower(F.trim(F.col(name))) != "unknown"), F.lit(False)))
     b = bucket(F.col(final))
     order = [F.asc("bucket"), F.desc("order_score"), F.asc(key)]
     keyed = known.withColumn("bucket", b).withColumn("order_score", F.when(b == 2, F.col(first)).otherwise(F.col(final))).withColumn("identity", identity(F.col(name)))
     # blank identities are told apart by their keys, so that they form no hot group
     who = F.when(F.col("identity") == "", F.concat(F.lit("#"), F.col(key).cast("string"))).otherwise(F.col("identity"))
     once = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(by, who).orderBy(*order))).where("nth = 1")
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.where(F.col("rank") <= top_n).drop("nth", "identity", "order_score")
+    totals = once.groupBy(by).agg(F.count("*").alias("total"))
+    # the rank is filtered right above its window, so that each task hands on the first top_n alone
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= top_n)
+    return ranked.join(totals, by).drop("nth", "identity", "order_score")
 
 
 def judge_batches(rows: DataFrame, size: int = 3, by: str = "job_id", score: str = "rag_score", key: str = "resume_id") -> DataFrame:

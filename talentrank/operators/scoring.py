@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.arrays import bind, difference_ci
+from ..functions.arrays import bind, difference_ci, max_wins
+from ..functions.dates import years_stability
 from ..functions.rules import title_boost
 from ..functions.text import hard_skills, normalize_skill
 from ..functions.vector import cosine100
 
+#: Jobs that are scored at a time.
+MOST_JOBS = 1000
 
 
 def _no_strings() -> Column:
@@ -25,7 +31,7 @@ def skill_weight(source: Column) -> Column:
 def skill_weights(skills: Column) -> Column:
     """array<struct<name,source,..>> to map of lower canonical name to the largest weight."""
     pairs = F.transform(F.filter(skills, lambda s: F.trim(s["name"]) != ""), lambda s: F.struct(F.lower(normalize_skill(s["name"])).alias("k"), skill_weight(F.coalesce(s["source"], F.lit(""))).alias("w")))
-    return bind(pairs, lambda p: bind(F.array_distinct(F.transform(p, lambda x: x["k"])), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.array_max(F.transform(F.filter(p, lambda x: x["k"] == k), lambda x: x["w"]))))))
+    return F.map_from_entries(F.transform(max_wins(pairs, lambda x: x["k"], lambda x: x["w"]), lambda x: F.struct(x["k"], x["w"])))
 
 
 def prepare_requirements(analysis: Column) -> Column:
@@ -74,29 +80,57 @@ def experience_score(years: Column, required: Column) -> Column:
 
 def experience_verdict(years: Column, required: Column) -> Column:
     return (
-        F.when(F.coalesce(required, F.lit(0)) <= 0, "no_requirement").when(years < 0.5 * required, "significantly_under").when(years < required, "slightly_under")
-        .when(years <= 1.5 * required, "perfect").when(years <= 1.5 * required + 2, "moderately_over").otherwise("significantly_over")
+        F.when(F.coalesce(required, F.lit(0)) <= 0, "no_requirement").when(years < 0.5 * required, "significantly_under_qualified").when(years < required, "slightly_under_qualified")
+        .when(years <= 1.5 * required, "perfect_match").when(years <= 1.5 * required + 2, "moderately_over_qualified").otherwise("significantly_over_qualified")
     )
 
 
 def primary_years(meta: Column, is_tech: Column, fallback: Column) -> Column:
-    """Years in the job's bucket, else 0.7 of the largest secondary bucket, else the stated years."""
-    of = lambda k: F.coalesce(F.try_element_at(meta["recommended_primary_years"], F.lit(k)), F.try_element_at(meta["totals_by_category"], F.lit(k)), F.lit(0.0))
+    """Years in the job's bucket; where these are none or 0, 0.7 of the largest other bucket; where no bucket says anything, the stated years."""
+    at = lambda m, k: F.try_element_at(meta[m], F.lit(k))
+    stated = lambda k: F.coalesce(at("recommended_primary_years", k), at("totals_by_category", k))
+    held = lambda k: F.coalesce(F.nullif(at("recommended_primary_years", k), F.lit(0.0)), at("totals_by_category", k), F.lit(0.0))
     tech = F.coalesce(is_tech, F.lit(True))
-    own = F.when(tech, of("tech")).otherwise(of("other"))
-    second = F.when(tech, F.greatest(of("other"), of("military"))).otherwise(of("tech"))
-    return F.when(own > 0, own).when(second > 0, 0.7 * second).otherwise(fallback)
+    own = F.when(tech, stated("tech")).otherwise(stated("other"))
+    second = F.when(tech, F.greatest(held("other"), held("military"))).otherwise(held("tech"))
+    return F.when(F.coalesce(own, F.lit(0.0)) != 0, own).when(second > 0, 0.7 * second).otherwise(F.coalesce(own, fallback, F.lit(0.0)))
 
 
 def experience_detail(years: Column, required: Column, has_history: Column) -> Column:
-    """struct<score, verdict, years>: unknown years with a history count one half."""
-    unknown = (F.coalesce(years, F.lit(0.0)) <= 0) & has_history & (F.coalesce(required, F.lit(0)) > 0)
+    """struct<score, verdict, years, required>: unknown (no) years with a work history count one half, whatever is required."""
+    known, needed = F.coalesce(years, F.lit(0.0)), F.coalesce(required, F.lit(0)).cast("double")
+    unknown = (known == 0) & has_history
     return F.struct(
-        F.round(F.when(unknown, 0.5).otherwise(experience_score(years, required)), 3).alias("score"),
-        F.when(unknown, "years_unknown").otherwise(experience_verdict(years, required)).alias("verdict"), F.round(F.coalesce(years, F.lit(0.0)), 1).alias("years"),
+        F.round(F.when(unknown, 0.5).otherwise(experience_score(known, needed)), 3).alias("score"),
+        F.when(unknown, "years_unknown").otherwise(experience_verdict(known, needed)).alias("verdict"), F.round(known, 1).alias("years"), F.round(needed, 1).alias("required"),
     )
 
 
+def cluster_keys(clusters: Column) -> Column:
+    """title|start of the members of tech clusters, lower-cased titles."""
+    members = F.flatten(F.transform(F.filter(F.coalesce(clusters, F.array()), lambda c: c["category"] == "tech"), lambda c: F.coalesce(c["members"], F.array())))
+    return F.transform(F.filter(members, lambda m: F.trim(m["title"]) != ""), lambda m: role_key(m["title"], m["start_date"]))
+
+
+def role_key(title: Column, start: Column) -> Column:
+    return F.concat(F.lower(F.trim(F.coalesce(title, F.lit("")))), F.lit("|"), F.trim(F.coalesce(start, F.lit(""))))
+
+
+def tenures(experience: Column, clusters: Column, now: Column) -> Column:
+    """Durations in years, in the roles' order, of tech roles (with technologies, or members of a tech cluster); of all roles if none of these has one."""
+
+    def chosen(keys: Column) -> Column:
+        roles = F.transform(F.coalesce(experience, F.array()), lambda e: F.struct(
+            F.coalesce(e["duration_years"], years_stability(e["start_date"], e["end_date"], now)).alias("y"),
+            (F.coalesce(F.size(e["tech"]) > 0, F.lit(False)) | F.array_contains(keys, role_key(e["title"], e["start_date"]))).alias("tech"),
+        ))
+        held = lambda r: F.filter(r, lambda x: x["y"].isNotNull())
+        years = lambda r: F.transform(r, lambda x: x["y"])
+        return bind(held(roles), lambda r: bind(F.filter(r, lambda x: x["tech"]), lambda t: years(F.when(F.size(t) > 0, t).otherwise(r))))
+
+    return bind(cluster_keys(clusters), chosen)
+
+
 def stability_score(durations: Column, experience: Column) -> Column:
     """Employment stability from durations in years (oldest first) and total experience: 0.5 without durations, else penalties and bonuses on 1, within 0 and 1."""
     d = F.filter(durations, lambda x: x.isNotNull())
@@ -109,8 +143,9 @@ def stability_score(durations: Column, experience: Column) -> Column:
         expected = F.when(exp < 3, 2.0).when(exp < 6, 3.0).otherwise(4.0)
         short, medium, tiny = count(lambda y: y < 1.5), count(lambda y: (y >= 1.5) & (y < 2.5)), count(lambda y: y < 0.5)
         junior_many, junior_two = (exp <= 2) & (n >= 3), (exp <= 2.5) & (n == 2) & (avg < 1.3)
+        not_junior = exp >= 3
         parts = [
-            F.when(junior_many, -0.25).when(junior_two, -0.20).otherwise(0.0), F.when((exp > 2.5) & (avg < 1.8), -0.15).otherwise(0.0),
+            F.when(junior_many, -0.25).when(junior_two, -0.20).otherwise(0.0), F.when(not_junior & (avg < 1.8), -0.15).otherwise(0.0),
             F.when(short >= 3, -0.25).when(short == 2, -0.20).when(short == 1, -0.10).otherwise(0.0), F.when(medium >= 2, -0.10).otherwise(0.0), -0.10 * tiny,
             F.when(avg >= expected, 0.0).when(avg / expected <= 0.5, -0.25).when(avg / expected <= 0.7, -0.15).otherwise(0.0),
             F.when((n >= 3) & (exp > 0) & (exp / n < 2), -0.15).otherwise(0.0), F.when(count(lambda y: y >= 4) > 0, 0.10).otherwise(0.0),
@@ -126,7 +161,30 @@ def stability_score(durations: Column, experience: Column) -> Column:
 
 
 def stability_verdict(score: Column) -> Column:
-    return F.when(score >= 0.9, "excellent").when(score >= 0.8, "very_stable").when(score >= 0.7, "stable").when(score >= 0.6, "moderate").when(score >= 0.5, "concerning").otherwise("unstable")
+    return (
+        F.when(score >= 0.9, "excellent_stability").when(score >= 0.8, "good_stability").when(score >= 0.7, "acceptable_stability").when(score >= 0.6, "moderate_concerns")
+        .when(score >= 0.5, "significant_concerns").otherwise("severe_stability_issues")
+    )
+
+
+def stability(extraction: Column, now: Column) -> Column:
+    """struct<score, verdict, average_tenure_years, total_jobs, short_stints, long_tenures> of an extracted record."""
+    meta = extraction["experience_meta"]
+    of = lambda m: F.try_element_at(meta[m], F.lit("tech"))
+    total = F.coalesce(of("recommended_primary_years"), of("totals_by_category"), extraction["years_of_experience"], F.lit(0.0))
+    roles = F.coalesce(F.size(extraction["experience"]), F.lit(0))
+
+    def detail(d: Column) -> Column:
+        n, some = F.size(d), F.size(d) > 0
+        score = stability_score(d, total)
+        count = lambda p: F.size(F.filter(d, p))
+        return F.struct(
+            score.alias("score"), F.when(roles <= 0, "no_experience_data").when(~some, "no_duration_data").otherwise(stability_verdict(score)).alias("verdict"),
+            F.when(some, F.round(F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / n, 1)).otherwise(0.0).alias("average_tenure_years"), F.when(some, n).otherwise(F.greatest(roles, F.lit(0))).alias("total_jobs"),
+            count(lambda x: x < 1.5).alias("short_stints"), count(lambda x: x >= 4).alias("long_tenures"),
+        )
+
+    return bind(tenures(extraction["experience"], meta["experience_clusters"], now), detail)
 
 
 def title_scores(job_title: Column, job_vector: Column, titles: Column) -> Column:
@@ -151,14 +209,17 @@ def ensemble(title: Column, experience: Column, skills: Column) -> Column:
     return (100.0 * f).cast("int")
 
 
-def score_candidates(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
-    """All jobs against all candidates.
+def score_candidates(candidates: DataFrame, jobs: DataFrame, keep: int | None = None) -> DataFrame:
+    """Jobs against all candidates: job_id, resume_id, best_title, experience, skills, stability, rag_score.
 
-    ``jobs`` (job_id, title, vector, required, bonus, years_min) is broadcast only where it is small: a run
-    has one job or a few; ``candidates`` (resume_id, skills, text, years, has_history, durations, titles) are read once.
+    ``jobs`` (job_id, title, vector, required, bonus, years_min) must be a run's few jobs: over MOST_JOBS it is refused,
+    since all pairs are scored; a larger set goes through :func:`score_in_blocks`. ``candidates`` (resume_id, skills, text, years,
+    has_history, durations, titles) are read once. ``keep``: only the best so many per job (ties by id), which are chosen
+    within each task before anything is shuffled.
     """
-    few = jobs.limit(1001).count() <= 1000
-    pairs = candidates.join(F.broadcast(jobs) if few else jobs.hint("shuffle_replicate_nl"))
+    if jobs.limit(MOST_JOBS + 1).count() > MOST_JOBS:
+        raise ValueError(f"more than {MOST_JOBS} jobs at once: use score_in_blocks")
+    pairs = candidates.join(F.broadcast(jobs))  # at most MOST_JOBS rows, checked
     scored = pairs.select(
         "job_id", "resume_id",
         title_scores(F.col("title"), F.col("vector"), F.col("titles")).alias("best_title"),
@@ -167,4 +228,16 @@ def score_candidates(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
         stability_score(F.col("durations"), F.col("years")).alias("stability"),
     )
     title = F.coalesce(F.col("best_title.score"), F.lit(0.0)) / 100.0
-    return scored.withColumn("rag_score", ensemble(title, F.col("experience.score"), F.col("skills.score"))).withColumn("stability_verdict", stability_verdict(F.col("stability")))
+    scored = scored.withColumn("rag_score", ensemble(title, F.col("experience.score"), F.col("skills.score"))).withColumn("stability_verdict", stability_verdict(F.col("stability")))
+    if keep is None:
+        return scored
+    w = Window.partitionBy("job_id").orderBy(F.desc("rag_score"), F.asc("resume_id"))
+    return scored.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= keep).drop("nth")
+
+
+def score_in_blocks(candidates: DataFrame, jobs: DataFrame, keep: int, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As :func:`score_candidates` for any number of jobs: the best ``keep`` candidates per job, MOST_JOBS jobs at a time, each block's result written by ``write``."""
+    numbered = write(jobs.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("job_id")) - 1) / MOST_JOBS)))
+    blocks = (numbered.agg(F.max("_block")).first()[0] or 0) + 1
+    parts = [write(score_candidates(candidates, numbered.where(F.col("_block") == b).drop("_block"), keep)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)

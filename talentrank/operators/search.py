@@ -139,11 +139,48 @@ def page(rows: DataFrame, order: list[Column], number: int = 0, size: int = 30)
     return rows.orderBy(*order).offset(number * size).limit(size)
 
 
-def filters_from_job(title: str, is_tech: bool, must_have: list[str], years_min: float | None, generic=("skills", "experience", "knowledge", "ability", "work", "team", "good", "strong")) -> FilterState:
-    """Tech jobs: concrete skills, any; others: the title's words as one alternative chip; plus the least years."""
-    concrete = [s for s in must_have if 0 < len(s.split()) <= 3 and any(w.lower() not in generic for w in s.split())]
-    chip = " OR ".join(w for w in re.findall(r"\w+", title or "") if len(w) > 2)
-    return FilterState(skills=tuple(concrete) if is_tech else (), free_text=() if is_tech or not chip else (chip,), min_experience=years_min)
+#: Words that make a skill a description, and words of titles that say nothing. Fixed values.
+GENERIC_WORDS = ("experience", "scripting", "knowledge", "skills", "platforms", "tools", "proficiency", "familiarity", "ability", "strong", "excellent", "good")
+TITLE_STOP = ("and", "of", "the", "with", "for", "a", "in", "to", "senior", "junior", "lead", "principal", "staff", "engineer", "developer", "specialist", "expert", "manager", "role", "position")
+
+
+def filters_from_job(title: str, is_tech: bool | None, must_have: list[str], years_min: float | None, stack: list[str] = ()) -> FilterState:
+    """Tech jobs (unless said otherwise): concrete must-haves and technologies, any of them; others: the title's telling words as one alternative chip; plus the least years.
+
+    Concrete: at most 3 words, not all of them generic. ``stack``: languages, frameworks, databases, cloud and tools, in this order.
+    """
+    if is_tech is not False:
+        concrete = [s.strip() for s in (*must_have, *stack) if 0 < len(s.split()) <= 3 and any(w.lower() not in GENERIC_WORDS for w in s.split())]
+        return FilterState(skills=tuple(dict.fromkeys(concrete)), skills_mode="any", min_experience=years_min)
+    words = dict.fromkeys(w for w in re.split(r"[^A-Za-z/]+", title or "") if len(w) > 1 and w.lower() not in TITLE_STOP)
+    return FilterState(free_text=(" OR ".join(words),) if words else (), min_experience=years_min)
+
+
+def job_filter_columns(title: Column, is_tech: Column, must_have: Column, stack: Column) -> Column:
+    """struct<skills, free_text>: :func:`filters_from_job` for a table of jobs, as expressions."""
+    words = lambda s: F.filter(F.split(F.trim(s), r"\s+"), lambda w: w != "")
+    concrete = F.filter(F.concat(must_have, stack), lambda s: F.size(words(s)).between(1, 3) & F.exists(words(s), lambda w: ~F.lower(w).isin(*GENERIC_WORDS)))
+    tokens = F.array_distinct(F.filter(F.split(F.coalesce(title, F.lit("")), "[^A-Za-z/]+"), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*TITLE_STOP)))
+    tech, none = F.coalesce(is_tech, F.lit(True)), F.array().cast("array<string>")
+    return F.struct(
+        F.when(tech, F.array_distinct(F.transform(concrete, F.trim))).otherwise(none).alias("skills"),
+        F.when(~tech & (F.size(tokens) > 0), F.array(F.array_join(tokens, " OR "))).otherwise(none).alias("free_text"),
+    )
+
+
+def processed_only(llm_score: Column) -> Column:
+    """Rows that a judge has scored."""
+    return llm_score.isNotNull()
+
+
+def matched_only(match: Column) -> Column:
+    """Rows with a match above 0."""
+    return F.coalesce(match > 0, F.lit(False))
+
+
+def contains_contact(person: Column, kind: str, value: Column) -> Column:
+    """JSON containment: some element of the person's ``kind`` (emails, phones) has exactly this value."""
+    return F.coalesce(F.exists(person[kind], lambda e: e["value"] == value), F.lit(False))
 
 
 def suggestions(options: list[str], chosen: list[str], typed: str = "") -> list[str]:

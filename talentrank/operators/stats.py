@@ -52,9 +52,9 @@ def experience_distribution(rows: DataFrame, years_text: str) -> DataFrame:
 
 
 def top5_metrics(rows: DataFrame, score: str, years: str, stability: str, name: str, key: str) -> DataFrame:
-    """Over the five best: average years (one decimal) and stability (whole), best score and its name."""
+    """Over the five best: average years (one decimal) and stability (rounded, halves up), best score and its name."""
     top = rows.orderBy(F.desc(score), F.asc(key)).limit(5)
-    return top.agg(F.round(F.avg(years), 1).alias("avg_years"), F.floor(F.avg(stability)).cast("long").alias("avg_stability"), F.max(score).alias("best_score"), F.max_by(name, F.struct(F.col(score), -F.col(key))).alias("top_name"))
+    return top.agg(F.round(F.avg(years), 1).alias("avg_years"), F.floor(F.avg(stability) + 0.5).cast("long").alias("avg_stability"), F.max(score).alias("best_score"), F.max_by(name, F.struct(F.col(score), -F.col(key))).alias("top_name"))
 
 
 def status_facets(rows: DataFrame, status: str, names) -> DataFrame:

@@ -46,7 +46,7 @@ def needs_analysis(old_description: Column, new_description: Column, old_free: C
 
 
 def replace(table: DataFrame, path: str) -> None:
-    """Write a new snapshot beside the old one and swap them; readers see one or the other."""
+    """Write a new snapshot beside the old one and swap them by two renames, between which (or after a crash there) only ``path``.old exists; see :func:`publish`."""
     spark = table.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     table.write.mode("overwrite").parquet(f"{path}.next")
@@ -56,3 +56,39 @@ def replace(table: DataFrame, path: str) -> None:
         fs.rename(hadoop(path), hadoop(f"{path}.old"))
     fs.rename(hadoop(f"{path}.next"), hadoop(path))
     fs.delete(hadoop(f"{path}.old"), True)
+
+
+def publish(table: DataFrame, path: str) -> str:
+    """Write a new version under ``path`` and make it the current one; returns its folder.
+
+    Readers (:func:`current`) always find a whole version: the pointer is a file that names a version that is written, and
+    a newer pointer has a larger number. A crash leaves the former version current. Old versions stay until removed.
+    """
+    spark = table.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    number = _newest(spark, path) + 1
+    target = f"{path}/version={number}"
+    while fs.exists(hadoop(target)):  # of a writer that crashed before its pointer
+        number += 1
+        target = f"{path}/version={number}"
+    table.write.parquet(target)
+    fs.mkdirs(hadoop(f"{path}/_pointers"))
+    if not fs.createNewFile(hadoop(f"{path}/_pointers/{number}")):
+        raise FileExistsError(f"{path}: version {number} was published by another writer")
+    return target
+
+
+def _newest(spark, path: str) -> int:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(f"{path}/_pointers")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max((int(f.getPath().getName()) for f in fs.listStatus(folder)), default=0) if fs.exists(folder) else 0
+
+
+def current(spark, path: str) -> DataFrame:
+    """The current version of a table that :func:`publish` writes."""
+    number = _newest(spark, path)
+    if not number:
+        raise FileNotFoundError(f"{path}: nothing published")
+    return spark.read.parquet(f"{path}/version={number}")

@@ -6,9 +6,11 @@ A provider works on pandas batches inside ``mapInPandas``; retries and coercion
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -33,9 +35,10 @@ class Embedder(Protocol):
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of a run; a chat model's name chooses the local provider."""
+    """Settings of a run. A chat model's name chooses the local service, none the remote one; offline providers need neither."""
 
     chat_model: str | None = None
+    remote_model: str = "remote"
     temperature: float = 0.0
     seed: int = 7
     context: int = 16384
@@ -43,6 +46,37 @@ class Config:
     judge_batch: int = 3
     attempts: int = 4
 
+    def service(self) -> str:
+        return "local" if self.chat_model else "remote"
+
+    def options(self) -> dict:
+        """What a request carries, so that equal requests give equal answers."""
+        return {"temperature": self.temperature, "seed": self.seed, "num_ctx": self.context, "num_predict": self.predict}
+
+
+class Registry:
+    """Providers by kind (extractor, clusterer, analyzer, judge) and service; offline ones answer where none is registered."""
+
+    def __init__(self) -> None:
+        self._found: dict[tuple[str, str], Callable] = {}
+
+    def register(self, kind: str, service: str, provider: Callable) -> None:
+        self._found[kind, service] = provider
+
+    def get(self, kind: str, config: Config) -> Callable:
+        offline = {"extractor": rule_extractor, "clusterer": no_clusters, "analyzer": rule_analyzer, "judge": rubric_judge}
+        return self._found.get((kind, config.service()), offline[kind])
+
+
+def load_prompt(name: str, folder: str | Path | None = None) -> str:
+    """A prompt's text by its path under ``folder``, else by its file name there."""
+    base = Path(folder) if folder else Path(__file__).parent / "prompts"
+    tried = [base / name, base / Path(name).name]
+    for path in tried:
+        if path.is_file():
+            return path.read_text(encoding="utf-8")
+    raise FileNotFoundError(f"no prompt at {tried[0]} nor {tried[1]}")
+
 
 def coerce_score(item: dict) -> int:
     for k in SCORE_KEYS:
@@ -120,6 +154,137 @@ def judge(rows: DataFrame, judge_fn: Judge = rubric_judge, attempts: int = 4) ->
     return rows.repartition("batch").mapInPandas(run, f"resume_id {kind}, llm_score int, strengths string, concerns string")
 
 
+def ask(rows: DataFrame, key: str, columns: list[str], provider: Callable[[dict], dict | str | None], good: Callable[[dict], bool], attempts: int = 4) -> DataFrame:
+    """Ask a provider once per row until an answer is good: key, ``answer`` (JSON text, null if none was), ``attempts``, ``failed``.
+
+    Errors of the provider, text without an object and error payloads count as bad answers. Rows are asked where they
+    lie, so the number of partitions caps concurrent calls.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                answer, n = None, 0
+                while answer is None and n < attempts:
+                    n += 1
+                    try:
+                        found = provider({c: r[c] for c in columns})
+                        found = coerce_json(found) if isinstance(found, str) else found
+                        if isinstance(found, dict) and not found.get("error") and not found.get("__llm_error__") and good(found):
+                            answer = json.dumps(found, ensure_ascii=False)
+                    except Exception:  # noqa: BLE001, S112  a remote service may fail in any way
+                        continue
+                out.append((r[key], answer, n, answer is None))
+            yield pd.DataFrame(out, columns=[key, "answer", "attempts", "failed"])
+
+    return rows.select(key, *columns).mapInPandas(run, f"{key} {kind}, answer string, attempts int, failed boolean")
+
+
+def good_extraction(answer: dict) -> bool:
+    """An object with a person, and lists (or nothing) of roles and schools."""
+    lists = all(answer.get(k) is None or isinstance(answer.get(k), list) for k in ("experience", "education"))
+    person = answer.get("person") or {}
+    return lists and isinstance(person, dict) and (person.get("languages") is None or isinstance(person["languages"], list))
+
+
+def good_clustering(answer: dict) -> bool:
+    """Lists of clusters of known categories, totals that are numbers of at least 0; anything may be missing."""
+    from ..operators.clusters import CATEGORIES
+
+    clusters, totals, primary = answer.get("experience_clusters"), answer.get("totals_by_category"), answer.get("recommended_primary_years")
+    if not (clusters is None or isinstance(clusters, list)) or not (totals is None or isinstance(totals, dict)) or not (primary is None or isinstance(primary, dict)):
+        return False
+    number = lambda v: isinstance(v, int | float) and v == v and 0 <= v < float("inf")
+    return all(k in CATEGORIES and number(v) for k, v in (totals or {}).items()) and all(not c.get("category") or c["category"] in CATEGORIES for c in clusters or [] if isinstance(c, dict))
+
+
+def good_analysis(answer: dict) -> bool:
+    """An analysis that says something: a role, skills, responsibilities or requirements."""
+    skills = answer.get("skills") or {}
+    return bool(answer.get("role_title") or skills.get("must_have") or skills.get("nice_to_have") or answer.get("responsibilities") or answer.get("requirements"))
+
+
+_DATE = r"(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* )?(?:19|20)\d\d"
+_ROLE_LINE = rf"^(?P<title>[^,@\d][^,@]{{2,60}}?)\s*(?:,| at | @ )\s*(?P<company>[^,()\d][^,()]{{1,60}}?)(?:\s*[,(]\s*|\s+)(?P<start>{_DATE})\s*[-–]\s*(?P<end>{_DATE}|present|now|current)\)?\s*$"
+
+
+def rule_extractor(row: dict) -> dict:
+    """The offline extractor: lines such as 'Title, Company (2019 - 2021)' are roles, with the bullets below them."""
+    roles: list[dict] = []
+    for line in (row.get("parsed_text") or "").splitlines():
+        found = re.match(_ROLE_LINE, line.strip(), re.IGNORECASE)
+        if found:
+            roles.append({"title": found["title"].strip(), "company": found["company"].strip(), "start_date": found["start"], "end_date": found["end"], "bullets": []})
+        elif roles and re.match(r"\s*[-•*]\s+\S", line):
+            roles[-1]["bullets"].append(line.strip().lstrip("-•* "))
+    return {"person": {}, "experience": roles, "education": []}
+
+
+def no_clusters(row: dict) -> dict:
+    """The offline clusterer finds none, so totals come from the roles' own words."""
+    return {"experience_clusters": [], "totals_by_category": {}, "recommended_primary_years": {}}
+
+
+def rule_analyzer(row: dict) -> dict:
+    """The offline job analyzer: the title is the role, bullet lines are requirements; skills are found by the normalization."""
+    lines = [x.strip().lstrip("-•* ") for x in (row.get("job_description") or "").splitlines() if re.match(r"\s*[-•*]\s+\S", x)]
+    return {"role_title": row.get("title") or "", "requirements": lines, "skills": {"must_have": [], "nice_to_have": []}}
+
+
+def extract_records(texts: DataFrame, now, provider: Callable[[dict], dict | str | None] = rule_extractor, clusterer: Callable[[dict], dict | str | None] = no_clusters, attempts: int = 4) -> DataFrame:
+    """``texts`` (id, parsed_text) to records: id, extraction, llm_enhancement ('ok' or 'failed').
+
+    The provider's answer gives roles and schools, deterministic extraction gives contacts, languages and further skills,
+    the clusterer's answer is rebuilt from the roles. Without a good extraction after all attempts the deterministic
+    parts remain, without roles; without good clusters totals come from the roles' own words.
+    """
+    from .. import schema
+    from ..operators import clusters, extraction
+
+    answers = ask(texts, "id", ["parsed_text"], provider, good_extraction, attempts).select("id", "answer", "failed")
+    facts = extraction.extract(texts).withColumnsRenamed({"name": "_name", "emails": "_emails", "phones": "_phones", "urls": "_urls", "profiles": "_profiles", "languages": "_languages", "skills": "_skills"})
+    rows = texts.select("id", "parsed_text").join(answers, "id").join(facts, "id").withColumn("p", clusters.read_payload(F.col("answer")))
+    experience = extraction.sanitize_roles(F.coalesce(F.col("p.experience"), F.array().cast(schema.EXTRACTION["experience"].dataType)))
+    rows = rows.withColumn("experience", experience).withColumn("roles", F.to_json("experience"))
+    grouped = ask(rows, "id", ["parsed_text", "roles"], clusterer, good_clustering, attempts).select("id", F.from_json("answer", schema.EXTRACTION["experience_meta"].dataType)["experience_clusters"].alias("raw_clusters"))
+    rows = rows.join(grouped, "id")
+    contact = lambda c: F.from_json(F.to_json(F.transform(c, lambda v: F.struct(v.alias("value")))), schema.CONTACT)
+    base = F.struct(contact(F.col("_emails")).alias("emails"), contact(F.col("_phones")).alias("phones"), F.col("_urls").alias("links"), F.col("_profiles").alias("profiles"), F.col("_languages").alias("languages"))
+    person = F.coalesce(F.col("p.person"), F.from_json(F.lit("{}"), schema.EXTRACTION["person"].dataType))
+    skills = clusters.merge_skills(F.col("p.skills"), F.transform("_skills", lambda s: F.struct(s["name"].alias("name"), s["source"].alias("source"), s["weight"].cast("double").alias("weight"), F.lit(None).cast("string").alias("category"))))
+    rows = rows.withColumn("meta", F.when(~F.col("failed"), clusters.rebuild(F.col("experience"), F.col("p.education"), F.col("raw_clusters"), now)))
+    whole = F.struct(
+        clusters.base_signals(person, base).alias("person"), F.col("p.education").alias("education"), F.when(~F.col("failed"), F.col("experience")).alias("experience"), skills.alias("skills"), F.col("meta").alias("experience_meta"),
+        clusters.years_by_category(F.col("meta.totals_by_category")).alias("years_by_category"), F.try_element_at(F.col("meta.recommended_primary_years"), F.lit("tech")).alias("primary_years"), F.col("p.summary").alias("summary"),
+    )
+    return rows.select("id", whole.alias("extraction"), F.when(F.col("failed"), "failed").otherwise("ok").alias("llm_enhancement"))
+
+
+def analyze_jobs(jobs: DataFrame, provider: Callable[[dict], dict | str | None] = rule_analyzer, attempts: int = 3) -> DataFrame:
+    """``jobs`` (id, title, job_description, free_text, ..) with a normalized analysis and ``failed`` (no usable content after all attempts)."""
+    from .. import schema
+    from ..operators.jobs import normalize_jobs
+
+    answers = ask(jobs, "id", ["title", "job_description", "free_text"], provider, good_analysis, attempts).select("id", F.from_json("answer", schema.ANALYSIS).alias("analysis"), "failed")
+    return normalize_jobs(jobs.drop("analysis").join(answers, "id"))
+
+
+def analyze_search(rows: DataFrame, provider: Callable[[dict], dict | str | None] | None = None, attempts: int = 1) -> DataFrame:
+    """``rows`` (id, query) as filters: id, profession, min_experience, max_experience, skills (first letter capital), free_text, exclude_keywords; a query that the provider fails on is free text."""
+    answers = ask(rows, "id", ["query"], provider or (lambda r: analyze_query(r["query"] or "")), lambda a: True, attempts)
+    form = "profession array<string>, min_experience int, max_experience int, skills array<string>, free_text string, exclude_keywords array<string>"
+    a = F.from_json("answer", form)
+    none = F.array().cast("array<string>")
+    from ..functions.text import expand_query_skill
+
+    return rows.join(answers, "id").select(
+        "id", F.coalesce(a["profession"], none).alias("profession"), a["min_experience"].alias("min_experience"), a["max_experience"].alias("max_experience"),
+        F.coalesce(F.transform(a["skills"], expand_query_skill), none).alias("skills"), F.when(F.col("failed"), F.col("query")).otherwise(F.nullif(a["free_text"], F.lit(""))).alias("free_text"), F.coalesce(a["exclude_keywords"], none).alias("exclude_keywords"),
+    )
+
+
 def hashed_embedder(titles: list[str], dims: int = 256) -> list[list[float]]:
     """The offline embedder: hashed character trigrams, unit length."""
     out = []
@@ -160,8 +325,6 @@ def expand_titles(title: str, limit: int = 12) -> list[str]:
 
 def analyze_query(text: str) -> dict:
     """A question as filters: 'n+ years' and known skills, the rest as free text."""
-    import re
-
     from ..dims import skill_variants
 
     years = re.search(r"(\d+)\s*\+?\s*(?:years?|yrs?)", text, re.IGNORECASE)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
+
 IGNORED = r"(^~\$.*|.*\.(tmp|part|crdownload|download)$)"
 #: MIME types by extension. Fixed values.
 MIME = {
@@ -56,8 +58,11 @@ def unknown(files: DataFrame, resumes: DataFrame) -> DataFrame:
 
 
 def decode(content: Column) -> Column:
-    """Bytes as UTF-8; malformed bytes are dropped."""
-    return F.replace(F.decode(content, "UTF-8"), F.lit("�"), F.lit(""))
+    """Bytes as UTF-8; malformed bytes are dropped, replacement characters that the text itself has stay."""
+    own = F.lit("\ue000\ue001\ue000")  # stands for them meanwhile
+    mark = F.lit("\ufffd")
+    valid = F.make_valid_utf8(F.replace(content.cast("string"), mark, own))
+    return F.replace(F.replace(valid, mark, F.lit("")), own, mark)
 
 
 def docx_text(data: bytes) -> str:
@@ -85,8 +90,8 @@ def docx_text(data: bytes) -> str:
     return "\n".join(out)
 
 
-#: Parsers of bytes by extension. PDF and old Word files need a plugin: pass more parsers to :func:`parse`.
-PARSERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text}
+#: Parsers of bytes by extension; :func:`parse` takes more, or others.
+PARSERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "pdf": pdf.pdf_text, "doc": pdf.doc_text}
 
 
 def parse(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:

@@ -44,10 +44,11 @@ def test_text(spark):
     assert values(spark, tx.person_name, ["J@ne O'Neil-Smith 3", "דנה"]) == ["Jne O'Neil-Smith", "דנה"]
     assert values(spark, tx.url_key, [" HTTP://x.y/Z// "]) == ["http://x.y/z"]
     assert values(spark, tx.is_broken, ["", None, "ok text", "\n".join("ab c d e f g h i j k l m".split())]) == [True, True, False, True]
-    assert values(spark, tx.tag_dates, ["Jan 2019 - Mar 2020", "2018-2021", "since 2015"]) == ["[DATE:Jan [YEAR:2019]..Mar [YEAR:2020]]", "[DATE:[YEAR:2018]..[YEAR:2021]]", "since [YEAR:2015]"]
+    # the tags of bare years go into ranges too, as years there stand between other characters than letters
+    want = ["[DATE:[YEAR:2019]-01-01..[YEAR:2020]-03-01]", "[DATE:[YEAR:2018]-01-01..[YEAR:2021]-01-01]", "since [YEAR:2015]", "מאי [DATE:[YEAR:2020]-01-01..PRESENT]", "[DATE:[YEAR:2020]-01-01..PRESENT]"]
+    assert values(spark, tx.tag_dates, ["ינואר 2019 - מרץ 2020", "2018-2021", "since 2015", "מאי 2020 - כיום", "2020 – now"]) == want
     assert values(spark, tx.valid_icon, ["🚀", "abc", "🚀🚀🚀🚀🚀🚀🚀🚀🚀🚀"]) == [True, False, False]
     assert values(spark, tx.html_preview, ["a<b", "שלום"]) == ['<pre dir="ltr">a&lt;b</pre>', '<pre dir="rtl">שלום</pre>']
-    assert values(spark, tx.unicode_plain, ["é", None, "ab"]) == ["e", None, "ab"]
 
 
 def test_contacts(spark):
@@ -64,7 +65,7 @@ def test_contacts(spark):
 def test_numbers(spark):
     assert values(spark, tx.format_years, [None, 0.0, 0.5, 3.0, 1.25, 2.75], "double") == ["0 yrs", "0 yrs", "<1 yr", "3 yrs", "1.2 yrs", "2.8 yrs"]
     assert [tuple(r) for r in values(spark, tx.required_years, ["3-5 years", "at least 4+ years", "none"])] == [(3, 5), (4, None), (None, None)]
-    assert values(spark, tx.stability_badge, [None, 95.0, 81.0, 55.0, 10.0], "double") == ["Unknown", "Excellent", "Very Good", "Below Average", "Poor"]
+    assert values(spark, tx.stability_badge, [None, 95.0, 81.0, 55.0, 10.0], "double") == ["Unknown", "Excellent", "Good", "Concern", "High Risk"]
 
 
 def test_boundaries(spark):
@@ -130,3 +131,22 @@ def test_roles(spark):
 def test_role_categories(spark):
     assert values(spark, rules.role_category, ["DevOps Lead", "Backend Engineer", "QA Analyst", "UX Designer"]) == ["data_engineer", "software_engineer", None, "data_engineer"]
     assert values(spark, lambda c: rules.role_category(c, strict=True), ["UX Designer", "DevOps Lead"]) == ["ux_designer", "devops"]
+
+
+def test_keyed_arrays(spark):
+    df = spark.createDataFrame([([("b", 1, "x"), ("a", 2, "y"), ("b", 3, "z"), ("a", 2, "w"), (None, 9, "n")],)], "a array<struct<k:string,w:int,v:string>>")
+    got = df.select(arrays.max_wins(F.col("a"), lambda x: x["k"], lambda x: x["w"]), arrays.first_by_key(F.col("a"), lambda x: x["k"])).first()
+    assert [x.v for x in got[0]] == ["z", "y"] and [x.v for x in got[1]] == ["x", "y"]  # a larger weight replaces at the key's first place
+
+
+def test_spans_and_labels(spark):
+    t = "mail a@b.io, c@d.io! 052-123 4567 or 2015-2019"
+    got = values(spark, tx.email_spans, [t, "", None])
+    assert [(x.value, t[x.start : x.end], x.confidence) for x in got[0]] == [("a@b.io", "a@b.io", 0.98), ("c@d.io", "c@d.io", 0.98)] and got[1:] == [[], []]
+    assert [(x.value, t[x.start : x.end]) for x in values(spark, tx.phone_spans, [t])[0]] == [("+972521234567", "052-123 4567")]
+    assert values(spark, tx.skill_counts, ["Python, python; react and REACT, pythonic"]) == [{"Python": 2, "React": 2}]
+    assert values(spark, tx.count_bullets, ["• a • b •  ", "a\nb", "", None]) == [2, 1, 0, 0]
+    assert values(spark, tx.no_concerns, [None, "", " None ", "No significant concerns at all", "none of it", "-", "אין חששות כלל"]) == [True, True, True, True, False, False, True]
+    pay = lambda *r: spark.createDataFrame([r], "a int, b int, c string").select(tx.salary_label(F.col("a"), F.col("b"), F.col("c"))).first()[0]
+    assert (pay(1000, 2000, "USD"), pay(1000, 0, None), pay(None, 5, "EUR"), pay(0, None, "EUR")) == ("1,000-2,000 USD", "1,000+", "Up to 5 EUR", None)
+    assert values(spark, tx.name_heuristic, ["דנה כהן\nJane Doe", "a\nb c 2\nJohn - Smith\nX Y", "Address Book\nJane Doe"]) == [None, "John   Smith", "Jane Doe"]
