@@ -31,9 +31,9 @@ PAIRS = [(i, j) for i in range(K) for j in range(i + 1)]
 #: Rows that every group is imagined to have besides its own, with the floors' spread: they count in small groups only.
 PRIOR_ROWS = 5
 #: Bands of squared distances per doubling; a share of rows is rounded up to whole bands.
-BANDS = 32
+BANDS = 16
 #: Bins per floor for medians and quartiles, and the number of bins on either side of 0 (what lies beyond counts in the last).
-BINS, MOST_BINS = 64, 1 << 20
+BINS, MOST_BINS = 16, 1 << 16
 
 
 def chi2_cdf(x: float, d: int) -> float:
