@@ -368,3 +368,52 @@ def test_repeated_words_with_equal_hashes(spark, monkeypatch):
     monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(0).cast("long"))
     assert {r.i: r.n_repeat_words for r in quality.with_repeated_words(frame).collect()} == want
     assert want == {0: 6, 1: 0, 2: 9, 3: 0}
+
+
+def held_out_figures(pages, potentials):
+    """Precision and recall of the words kept on labelled pages, and the share of pages whose text is exactly the article's."""
+    kept = right = wanted = exact = 0
+    for page in pages:
+        nodes = parse(page)
+        for i, node in enumerate(nodes):
+            if node.label < 0:
+                node.label = nodes[node.parent].label if i else 0
+        shown = [p > 0.5 for p in marginals(nodes, potentials)]
+        runs = [(s, n.label == 1, len(n.words().split())) for n, s in zip(nodes, shown, strict=True) if not n.tag and n.words()]
+        kept += sum(k for s, _, k in runs if s)
+        right += sum(k for s, y, k in runs if s and y)
+        wanted += sum(k for _, y, k in runs if y)
+        exact += all(s == y for s, y, _ in runs)
+    return right / kept, right / wanted, exact / len(pages)
+
+
+def test_layouts_with_names_that_training_has_not_seen():
+    precision, recall, exact = held_out_figures(labelled_pages(300, seed=99, half=1), trained())
+    assert precision > 0.93 and recall > 0.95 and exact > 0.6, (precision, recall, exact)
+
+
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ("<p title=it's>Middle paragraph stands here now.</p>", "Middle paragraph stands here now."), ('<p class="x>Middle paragraph is here.</p><p class="y">The next one is here.</p>', "Middle paragraph is here.\n\nThe next one is here."),
+        ('<p title="a > b">It is 3 < 4 and 5 > 4 here.</p>', "It is 3 < 4 and 5 > 4 here."), ("<p a=1 b='2' c>One &amp; two &lt;three&gt; are here.</p>", "One & two <three> are here."), ("<p>Before it.</p><!-- no <p>x</p> --><p>After it.</p>", "Before it.\n\nAfter it."),
+        ("<p>Whole text here.</p><p class='never closed>Its text too is here.</p>", "Whole text here.\n\nIts text too is here."), ("<p>Some text is here.</p><p class=", "Some text is here."), ("<p =a b= c>Odd names are here.</p>", "Odd names are here."),
+    ],
+)
+def test_odd_tags_are_never_text(inside, want):
+    assert main_text(f'<html><body><nav><a href="/">Home</a></nav><article>{inside}</article></body></html>' if inside[-1] != "=" else f"<html><body><article>{inside}", trained()) == want
+
+
+@pytest.mark.parametrize(
+    "odd", ["<x ", '<a "', "</script", "<!--", "<p a='x>", '<p a="x>t</p>', "<b><a></a>", "<div></p>", "<h1></h2>", "<", "&amp;<"],
+)
+def test_odd_pages_take_linear_time(odd):
+    import time
+
+    def seconds(n):
+        begin = time.process_time()
+        main_text("<article>" + odd * n + "<div>" * n + "</i>" * n, trained())
+        return time.process_time() - begin
+
+    trained()
+    assert min(seconds(24000) for _ in range(2)) < 4 * max(0.1, min(seconds(8000) for _ in range(2)))
