@@ -10,6 +10,8 @@ reaches the threshold. The join is exact:
    few to leave an equal one it speaks under the next cut too, and so on. Equal parts tie documents into
    groups (a pair that links is always in one group); the ties are spanning trees, never all pairs. The number of
    parts follows a size class, and a document also speaks for the neighbouring classes that its partners can be in.
+   Common passages can tie unrelated documents into large groups; groups of more than a slice are routed again by
+   keys that cover more shingles each (FINER), which takes them apart and keeps every link.
 3. Signature trees. Within a group, nodes hold the OR of their members' shingle bitmaps and their size
    range, and a dual traversal drops node pairs whose maximum possible overlap cannot reach the threshold.
    What is left is checked on the exact sets, so each link between classes is met once and counted
@@ -25,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ FANOUT = 8
 #: A group of g slices costs g (g + 1) / 2 comparisons of slices and g copies of its sets, spread over as many tasks.
 SLICE = 8_000
 SLICE_SHINGLES = 8_000_000
+#: Errors per block and parts of a block, for the groups that are still larger than a slice.
+FINER = ((1, 4), (2, 6))
 #: Cuts of shingle space that are tried before a set speaks for empty parts.
 CUTS = 8
 #: Ids of grouped documents that are broadcast at most (16 bytes each); beyond it the join is dealt out by id.
@@ -138,6 +142,44 @@ def part_digests(s: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
             return
 
 
+def block_digests(s: np.ndarray, threshold: float, errors: int, parts: int) -> Iterator[np.ndarray]:
+    """64-bit keys for large groups: of blocks of shingle space, cut into ``parts``, with any ``errors`` parts left out.
+
+    Two linked sets differ in at most ``errors`` shingles in more than a bounded number of blocks, and there some key is
+    equal. A key covers several times the shingles of one of :func:`part_digests`, so sets that share only a passage have
+    hardly any in common. Classes, further cuts and the last resort are as there: a block speaks surely if whichever parts
+    are left out something remains, and a set is enough for itself if it has more such blocks than can be spoilt.
+    """
+    n, c = len(s), size_class(len(s))
+    kept = list(itertools.combinations(range(parts), parts - errors))
+    while True:
+        most, worst = differences(2 * class_top(c), threshold), differences(n + class_top(c), threshold) // (errors + 1)
+        blocks = most // (errors + 1) + 4 + most // 32
+        for cut in range(CUTS):
+            with np.errstate(over="ignore"):
+                dealt = (s ^ (s >> np.uint64(27 + cut))) * np.uint64(0xD1342543DE82EF95 + 2 * cut)
+                place = ((dealt >> np.uint64(13)) % np.uint64(blocks * parts)).astype(np.int64)
+                mixed = (s ^ (s >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                sums = np.zeros(blocks * parts, np.uint64)
+                np.add.at(sums, place, mixed)
+                sums = sums.reshape(blocks, parts)
+                filled = np.bincount(place, minlength=blocks * parts).reshape(blocks, parts) > 0
+                name = np.arange(1, blocks + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c * CUTS + cut) * np.uint64(0xD6E8FEB86659FD93)
+                keys, some = [], []
+                for k, subset in enumerate(kept):
+                    key = (sums[:, subset].sum(1, dtype=np.uint64) + name + np.uint64(k + 1) * np.uint64(0xA24BAED4963EE407)) * np.uint64(0xFF51AFD7ED558CCD)
+                    keys.append(key ^ (key >> np.uint64(33)))
+                    some.append(filled[:, subset].any(1))
+            enough = int((filled.sum(1) > errors).sum()) > worst
+            key, full = np.concatenate(keys), np.concatenate(some)
+            yield key if cut == CUTS - 1 and not enough else key[full]
+            if enough:
+                break
+        c += 1
+        if threshold * (class_top(c - 1) + 1) > n + 1e-9:
+            return
+
+
 class Node:
     """A tree node: OR of bitmaps, size range, and the most shingles that share a bit with another one of their set."""
 
@@ -289,6 +331,19 @@ def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return list(tree_links(sets, None, percent, roots, 0))
 
 
+def _bucketed(keys: list[np.ndarray], owners: list[tuple[int, int]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Keys and their documents as one row per bucket of keys: bucket, keys, docs."""
+    key = np.concatenate(keys)
+    doc = np.repeat(np.array([i for i, _ in owners], np.int64), [k for _, k in owners])
+    to = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    key, doc, to = key[order], doc[order], to[order]
+    cuts = np.searchsorted(to, np.arange(buckets + 1))
+    full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    part = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), part(key), part(doc)], names=["bucket", "keys", "docs"])
+
+
 def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per run of one bucket's rows: ties between documents with an equal key, as stars."""
 
@@ -340,17 +395,9 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
                         owners.append((i, len(k)))
             nothing = [None] * len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary()), pa.array(nothing, pa.binary())], names=names)
-            if keys:
-                key = np.concatenate(keys)
-                doc = np.repeat(np.array([i for i, _ in owners], np.int64), [k for _, k in owners])
-                to = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                key, doc, to = key[order], doc[order], to[order]
-                cuts = np.searchsorted(to, np.arange(buckets + 1))
-                full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                nothing = [None] * len(full)
-                part = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.binary()), pa.array(full, pa.int32()), part(key), part(doc)], names=names)
+            for part in _bucketed(keys, owners, buckets) if keys else ():
+                nothing = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.nulls(part.num_rows, pa.binary()), *part.columns], names=names)
 
     names = [x.split()[0] for x in form.split(", ")]
     described = materialize(rows.mapInArrow(describe, form), "described")
@@ -359,16 +406,46 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
     classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes, "classes")
     # groups of representatives in which all links lie
-    cells = described.where("bucket is not null").select("bucket", "keys", "docs").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    ties = connected_components(cells.mapInArrow(_tied, "a long, b long"))
-    group = ties.join(classes.select(F.col("rep").alias("node"), "copies", "set_key", "n_shingles"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "copies", "set_key", "n_shingles")
-    sizes = group.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
-    slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("shingles") / SLICE_SHINGLES)).cast("int")
-    group = group.join(sizes, "grp").withColumn("slices", slices).withColumn("mine", F.pmod(F.xxhash64("doc_id", "set_key"), "slices").cast("int"))
-    group = materialize(group.select("doc_id", "grp", "copies", "set_key", "slices", "mine"), "groups")
-    # the texts of documents in groups; their ids are broadcast only while they are few
-    wanted = F.broadcast(group) if group.count() <= BROADCAST_ROWS else group
-    held = rows.join(wanted, "doc_id").select("doc_id", "t", "grp", "copies", "set_key", "slices", "mine")
+    cells = described.where("bucket is not null").select("bucket", "keys", "docs")
+
+    def grouped(cells: DataFrame) -> DataFrame:
+        """doc_id, grp, copies, set_key, slices, mine: components of documents with an equal key; those without one are left out."""
+        ties = connected_components(cells.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tied, "a long, b long"))
+        found = ties.join(classes.select(F.col("rep").alias("node"), "copies", "set_key", "n_shingles"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "copies", "set_key", "n_shingles")
+        sizes = found.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
+        slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("shingles") / SLICE_SHINGLES)).cast("int")
+        found = found.join(sizes, "grp").withColumn("slices", slices).withColumn("mine", F.pmod(F.xxhash64("doc_id", "set_key"), "slices").cast("int"))
+        return materialize(found.select("doc_id", "grp", "copies", "set_key", "slices", "mine"), "groups")
+
+    def texts_of(group: DataFrame) -> DataFrame:
+        """The texts of documents in groups; the ids are broadcast only while they are few."""
+        return rows.join(F.broadcast(group) if group.count() <= BROADCAST_ROWS else group, "doc_id").select("t", "doc_id", "set_key", "grp", "copies", "slices", "mine")
+
+    def again(errors: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingle = Shingler(words)
+            for batch in batches:
+                keys, owners = [], []
+                for t, i, k, g in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                    s = shingle(t)
+                    if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k:
+                        salt = np.uint64(g * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                        for key in block_digests(s, threshold, errors, parts):
+                            keys.append(key ^ salt)
+                            owners.append((i, len(key)))
+                if keys:
+                    yield from _bucketed(keys, owners, buckets)
+
+        return keys_of
+
+    group = grouped(cells)
+    for errors, parts in FINER:
+        large = group.where("slices > 1")
+        if large.isEmpty():
+            break
+        finer = materialize(texts_of(large).mapInArrow(again(errors, parts), "bucket int, keys binary, docs binary"), "finer")
+        group = materialize(group.where("slices = 1").unionByName(grouped(finer)), "groups")
+    held = texts_of(group)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)

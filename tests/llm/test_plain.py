@@ -17,7 +17,7 @@ from talentrank.llm.components import local_forest
 from talentrank.llm.decontamination import Matcher, myers, normal, original_span, pieces
 from talentrank.llm.encoders import WordEncoder, encoder, public_path
 from talentrank.llm.html_extraction import labelled_pages, main_text, marginals, parse, trained
-from talentrank.llm.ngram_join import Shingler, class_top, group_links, part_digests, parts_of, size_class
+from talentrank.llm.ngram_join import Shingler, block_digests, class_top, group_links, part_digests, parts_of, size_class
 from talentrank.llm.packing import piece_lengths
 from talentrank.llm.toxicity import LabelModel, Votes, fit_linear, one_hot
 
@@ -179,6 +179,26 @@ def test_empty_parts_tie_nothing_and_miss_no_pair(percent):
         assert max(met.values()) == 1
 
 
+@pytest.mark.parametrize(("percent", "errors", "parts"), [(80, 1, 4), (80, 2, 6), (90, 1, 4), (90, 2, 6), (50, 1, 4)])
+def test_finer_keys_miss_no_pair(percent, errors, parts):
+    rnd = random.Random(15)
+    keys = lambda s: set(itertools.chain(*(k.tolist() for k in block_digests(np.array(sorted(s), np.uint64), percent / 100, errors, parts))))
+    linked = 0
+    for n in [*range(1, 40), *range(40, 400, 23)] * 4:
+        a = [rnd.getrandbits(64) for _ in range(n)]
+        b = set(a[rnd.randint(0, n // 5) :]) | {rnd.getrandbits(64) for _ in range(rnd.randint(0, n // 6))}
+        a = set(a)
+        if 100 * len(a & b) >= percent * len(a | b):
+            linked += 1
+            assert keys(a) & keys(b)
+    assert linked > 40
+    if percent >= 80:  # sets that share a passage alone have hardly a key in common
+        passage = [rnd.getrandbits(64) for _ in range(46)]
+        sets = [np.array(sorted({*passage, *(rnd.getrandbits(64) for _ in range(450))}), np.uint64) for _ in range(150)]
+        shared = lambda digests: sum(v - 1 for v in collections.Counter(itertools.chain(*(set(itertools.chain(*(k.tolist() for k in digests(s)))) for s in sets))).values())
+        assert 5 * shared(lambda s: block_digests(s, percent / 100, errors, parts)) < shared(lambda s: part_digests(s, percent / 100)) or percent == 90
+
+
 def test_low_thresholds_miss_no_pair():
     rnd = random.Random(14)
     keys = lambda s: set(itertools.chain(*(k.tolist() for k in part_digests(np.array(sorted(s), np.uint64), 0.5))))
