@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ def literal(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def constant_map(values: dict, kind: str = "string") -> Column:
+    """A fixed map as one expression, which the optimizer folds to a value; large tables stay small in plans."""
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"map<string,{kind}>")
+
+
 def contains_any(text: Column, words) -> Column:
     """Whether the text has any of the words as a substring; false for null."""
     return F.coalesce(F.exists(literal(words), lambda w: text.contains(w)), F.lit(False))

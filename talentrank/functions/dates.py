@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import HEBREW_MONTHS
+from .arrays import bind
 
 PRESENT = ("present", "current", "now", "היום", "כיום", "נוכחי")
 #: Formats of loose dates, in order.
@@ -28,9 +29,11 @@ def _parse(text: Column, formats) -> Column:
 
 def parse_loose(raw: Column, now: Column, default_now: bool = False) -> Column:
     """A date from '2020', 'Jan 2020', '2019-2022' (its first year), 'present', …; unparseable: null, or ``now`` if asked."""
-    t = _tidy(raw)
-    t = F.when(t.rlike(r"^\d{4}-\d{4}$"), F.substring(t, 1, 4)).otherwise(t)
-    found = F.when(is_present(raw), now).otherwise(_parse(t, FORMATS))
+
+    def parsed(t: Column) -> Column:  # of the tidied text, which the many formats then share
+        return F.when(t.isin(*PRESENT), now).otherwise(_parse(F.when(t.rlike(r"^\d{4}-\d{4}$"), F.substring(t, 1, 4)).otherwise(t), FORMATS))
+
+    found = bind(_tidy(raw), parsed)
     return F.coalesce(found, now) if default_now else found
 
 
@@ -70,12 +73,35 @@ def years_simple(start: Column, end: Column) -> Column:
     return F.when(y > 0, y)
 
 
+def tenth(y: Column) -> Column:
+    """A number of at least 0 rounded to one decimal by its exact binary value, halves to even (0.35 is below its half, 0.25 is one)."""
+
+    def rounded(v: Column) -> Column:
+        t = F.floor(v * 10.0)
+        odd = (2 * t + 1).cast("double")
+        half = odd / 20.0  # the double next to the half; how far it is off shows in the rest of 20 times it
+
+        def decided(h: Column) -> Column:
+            big = h * 134217729.0
+            rest = bind(big - (big - h), lambda high: (high * 20.0 - h * 20.0) + (h - high) * 20.0 + (h * 20.0 - odd))
+            up = F.when(v != h, v > h).otherwise(bind(rest, lambda r: F.when(r != 0, r > 0).otherwise(t % 2 == 1)))
+            return F.when(up, t + 1).otherwise(t) / 10.0
+
+        return bind(half, decided)
+
+    return bind(y, rounded)
+
+
 def years_by_months(start: Column, end: Column, now: Column) -> Column:
     """Whole months, and days over them / 30, of two dates, in years, one decimal; an open end is now; 0 without a start or for an end before it."""
-    e = F.coalesce(end, now)
-    days = F.dayofmonth(e) - F.dayofmonth(start)
-    months = (F.year(e) - F.year(start)) * 12 + (F.month(e) - F.month(start)) + F.when(days > 0, days / 30.0).otherwise(0.0)
-    return F.when(start.isNotNull() & (e >= start), F.round(F.greatest(months / 12.0, F.lit(0.0)), 1)).otherwise(0.0)
+
+    def years(span: Column) -> Column:
+        s, e = span["s"], span["e"]
+        days = F.dayofmonth(e) - F.dayofmonth(s)
+        months = (F.year(e) - F.year(s)) * 12 + (F.month(e) - F.month(s)) + F.when(days > 0, days / 30.0).otherwise(0.0)
+        return F.when(s.isNotNull() & (e >= s), tenth(F.greatest(months / 12.0, F.lit(0.0)))).otherwise(0.0)
+
+    return bind(F.struct(start.alias("s"), F.coalesce(end, now).alias("e")), years)
 
 
 def age_days(ts: Column, now: Column) -> Column:

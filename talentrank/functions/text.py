@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from .arrays import bind, literal, ordered_distinct
+from .arrays import bind, constant_map, literal, ordered_distinct
 
 
 def quoted(term: str) -> str:
@@ -44,7 +44,7 @@ def title_case(c: Column) -> Column:
 
 def variants_map(variants: dict[str, str] | None = None) -> Column:
     v = dims.skill_variants() if variants is None else variants
-    return F.create_map(*[F.lit(x) for kv in v.items() for x in kv])
+    return constant_map(v)
 
 
 def normalize_skill(c: Column, variants: dict[str, str] | None = None) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as tx
-from ..functions.arrays import bind, jaccard, literal, ordered_distinct, trimmed
+from ..functions.arrays import bind, constant_map, jaccard, literal, ordered_distinct, trimmed
 
 #: Words of list items: noise, short terms that count, signs of a description. Fixed values.
 STOP = ("and", "or", "the", "etc", "skills", "knowledge", "tools")
@@ -29,11 +31,8 @@ def vocabulary(spark) -> DataFrame:
 
 def bucket_of(skill: Column) -> Column:
     """The first bucket, in the declared order, that has the canonical skill; null for none."""
-    low = F.lower(skill)
-    out = F.lit(None).cast("string")
-    for b, terms in reversed(dims.VOCABULARY.items()):
-        out = F.when(low.isin(*terms.split("|")), b).otherwise(out)
-    return out
+    first = {t: b for b, terms in reversed(dims.VOCABULARY.items()) for t in terms.split("|")}
+    return F.try_element_at(constant_map(first), F.lower(skill))
 
 
 def sanitize_list(items: Column) -> Column:
@@ -94,9 +93,9 @@ def present_terms(text: Column, terms: list[str] | None = None) -> Column:
     low = F.lower(text)
     hits = [F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9])(?=({'|'.join(tx.quoted(f) for f in layer)})(?![a-z0-9]))"), 1) for layer in _layers(every)]
     of = {f: [i for i, t in enumerate(terms) if f in forms[t]] for f in every}
-    table = F.create_map(*[c for f, places in of.items() for c in (F.lit(f), literal(places))])
+    table = constant_map(of, "array<int>")
     places = lambda found: F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda f: F.try_element_at(table, f)))))
-    names = literal(terms)
+    names = F.from_json(F.lit(json.dumps(terms, ensure_ascii=False)), "array<string>")
     return F.transform(bind(F.array_distinct(F.concat(*hits)), places), lambda i: F.get(names, i))
 
 
@@ -240,7 +239,7 @@ def normalize_jobs(jobs: DataFrame) -> DataFrame:
     given, read = a["experience"], tx.required_years(F.col("_text"))
     open_ended = given["years_min"].isNull() | given["years_max"].isNull()
     ranged = open_ended & read["years_max"].isNotNull()
-    spoken = F.filter(F.transform(F.coalesce(a["languages"], none), F.trim), lambda x: x.isNotNull())
+    spoken = F.filter(F.transform(F.coalesce(a["languages"], none), lambda x: F.trim(x)), lambda x: x.isNotNull())
     of = lambda b: F.try_element_at(F.col("_stack"), F.lit(b))
     pay = a["salary_range"]
     return base.select(

@@ -163,7 +163,7 @@ def job_filter_columns(title: Column, is_tech: Column, must_have: Column, stack:
     tokens = F.array_distinct(F.filter(F.split(F.coalesce(title, F.lit("")), "[^A-Za-z/]+"), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*TITLE_STOP)))
     tech, none = F.coalesce(is_tech, F.lit(True)), F.array().cast("array<string>")
     return F.struct(
-        F.when(tech, F.array_distinct(F.transform(concrete, F.trim))).otherwise(none).alias("skills"),
+        F.when(tech, F.array_distinct(F.transform(concrete, lambda x: F.trim(x)))).otherwise(none).alias("skills"),
         F.when(~tech & (F.size(tokens) > 0), F.array(F.array_join(tokens, " OR "))).otherwise(none).alias("free_text"),
     )
 

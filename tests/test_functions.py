@@ -150,3 +150,11 @@ def test_spans_and_labels(spark):
     pay = lambda *r: spark.createDataFrame([r], "a int, b int, c string").select(tx.salary_label(F.col("a"), F.col("b"), F.col("c"))).first()[0]
     assert (pay(1000, 2000, "USD"), pay(1000, 0, None), pay(None, 5, "EUR"), pay(0, None, "EUR")) == ("1,000-2,000 USD", "1,000+", "Up to 5 EUR", None)
     assert values(spark, tx.name_heuristic, ["דנה כהן\nJane Doe", "a\nb c 2\nJohn - Smith\nX Y", "Address Book\nJane Doe"]) == [None, "John   Smith", "Jane Doe"]
+
+
+def test_tenths_round_by_the_exact_value(spark):
+    import random
+
+    rnd = random.Random(5)
+    numbers = [(12 * rnd.randrange(30) + rnd.randrange(12) + rnd.randrange(31) / 30.0) / 12.0 for _ in range(3000)] + [k / 20 for k in range(200)] + [0.44999999999999996]
+    assert values(spark, dates.tenth, numbers, "double") == [round(x, 1) for x in numbers]
