@@ -15,12 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Where that is unset, a local master gets a temporary folder, and a cluster, whose machines don't share one, an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="talentrank-work-")
         spark.conf.set("spark.checkpoint.dir", found)

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from .data import words
+from .data import CLASHES, empty_documents, odd_documents, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +67,24 @@ def test_near_duplicates_link_at_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
     assert got == left(5, 80) and len(got) < len(left(3, 90))
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; then no rows at all."""
+    rnd = random.Random(13)
+    odd = odd_documents(spark, long_words=12_000)
+    plain = [(500 + k, words(rnd, 120, 4000), "en", "a", *["x"] * len(CLASHES)) for k in range(30)]
+    docs = odd.unionByName(spark.createDataFrame([*plain, plain[0], plain[0]], odd.schema)).cache()
+    empty = empty_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = corpus_pipeline.materialize(stage(spark, docs, SF), "odd-stage")
+        assert after.columns == docs.columns, name
+        assert after.exceptAll(docs).count() == 0 and after.where("doc_id >= 500").select("doc_id").distinct().count() == 30, name
+        assert stage(spark, empty, SF).count() == 0, name
+        if name == "quality rules":
+            assert after.where("text is null or trim(text) = ''").count() == 0
+        if name == "n-gram Jaccard join":
+            assert after.where("doc_id = 500").count() == 1
+    pieces = corpus_pipeline.packed(spark, docs, SF)
+    assert pieces.agg(F.sum("length")).first()[0] == pieces.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    assert corpus_pipeline.packed(spark, empty, SF).count() == 0
