@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -25,7 +26,7 @@ def constant_map(values: dict, kind: str = "string") -> Column:
 
 def contains_any(text: Column, words) -> Column:
     """Whether the text has any of the words as a substring; false for null."""
-    return F.coalesce(F.exists(literal(words), lambda w: text.contains(w)), F.lit(False))
+    return F.coalesce(text.rlike("|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words)), F.lit(False))
 
 
 def contained(text: Column, words) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from .arrays import bind, contained, contains_any, literal
+from .arrays import bind, constant_map, contained, contains_any, literal
 from .text import norm_text
 
 
@@ -89,19 +89,35 @@ def role_category(title: Column, strict: bool = False) -> Column:
 
 def role_boost(job_category: Column, category: Column) -> Column:
     """15 for the same category, 10 for a neighbour, else 0."""
-    near = F.create_map(*[x for k, v in dims.ROLE_NEIGHBOURS.items() for x in (F.lit(k), literal(v.split("|")))])
+    near = constant_map({k: v.split("|") for k, v in dims.ROLE_NEIGHBOURS.items()}, "array<string>")
     return F.coalesce(F.when(job_category == category, 15.0).when(F.array_contains(F.try_element_at(near, job_category), category), 10.0), F.lit(0.0))
 
 
+def title_features(title: Column, strict: bool = False) -> Column:
+    """What the boost looks at in a title: its key terms, whether one is strong, its category, and signs of leadership, technology and recruiting."""
+    low = F.lower(title)
+    return bind(key_terms(title), lambda terms: F.struct(
+        terms.alias("terms"), F.arrays_overlap(terms, literal(dims.STRONG_TITLE_TERMS)).alias("strong"), role_category(title, strict).alias("category"),
+        contains_any(low, dims.LEADERSHIP_TERMS).alias("lead"), contains_any(low, dims.TECH_JOB_TERMS).alias("tech"), contains_any(low, dims.HR_TERMS).alias("hr"),
+    ))
+
+
+def has_led(history: Column) -> Column:
+    return F.exists(history, lambda h: contains_any(F.lower(h), dims.LEADERSHIP_TERMS))
+
+
+def features_boost(job: Column, own: Column, led: Column) -> Column:
+    """-100 for recruiting against tech, -30 for missing leadership, else the larger of the keyword and the category boost, 0 to 30."""
+    n = F.size(F.array_intersect(job["terms"], own["terms"]))
+    keyword = F.when(job["strong"] & own["strong"], F.least(F.lit(30.0), 20.0 + 2.0 * n)).when(n > 0, F.least(F.lit(20.0), 10.0 + 2.0 * n)).otherwise(0.0)
+    best = F.greatest(role_boost(job["category"], own["category"]), F.coalesce(keyword, F.lit(0.0)))
+    return F.when(job["tech"] & own["hr"], -100.0).when(job["lead"] & ~own["lead"] & ~led, -30.0).otherwise(best)
+
+
 def title_boost(job_title: Column, title: Column, history: Column | None = None, strict: bool = False) -> Column:
-    """Keyword and category boost of a title: -100 for HR against tech, -30 for missing leadership, else 0 to 30."""
-    history = F.array().cast("array<string>") if history is None else history
-    a, b = key_terms(job_title), key_terms(title)
-    strong = lambda x: F.arrays_overlap(x, literal(dims.STRONG_TITLE_TERMS))
-    n = F.size(F.array_intersect(a, b))
-    keyword = F.when(strong(a) & strong(b), F.least(F.lit(30.0), 20.0 + 2.0 * n)).when(n > 0, F.least(F.lit(20.0), 10.0 + 2.0 * n)).otherwise(0.0)
-    best = F.greatest(role_boost(role_category(job_title, strict), role_category(title, strict)), F.coalesce(keyword, F.lit(0.0)))
-    return F.when(hr_against_tech(job_title, title), -100.0).when(management_mismatch(job_title, title, history), -30.0).otherwise(best)
+    """Keyword and category boost of a title; see :func:`features_boost`. ``history``: past titles, of which one with leadership is enough."""
+    history = F.array().cast("array<string>") if history is None else F.coalesce(history, F.array().cast("array<string>"))
+    return bind(title_features(job_title, strict), lambda j: bind(title_features(title, strict), lambda o: features_boost(j, o, has_led(history))))
 
 
 def analysis_has_content(role_title: Column, *lists: Column) -> Column:

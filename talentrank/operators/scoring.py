@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.arrays import bind, difference_ci, max_wins
 from ..functions.dates import years_stability
-from ..functions.rules import title_boost
+from ..functions.rules import features_boost, has_led, title_features
 from ..functions.text import hard_skills, normalize_skill
 from ..functions.vector import cosine100
 
@@ -189,9 +189,14 @@ def stability(extraction: Column, now: Column) -> Column:
 
 def title_scores(job_title: Column, job_vector: Column, titles: Column) -> Column:
     """struct<score, title, source> of the best of array<struct<title, vector, weight, source>>: (cosine + boost, within 0 and 100) * weight, the first on ties."""
-    history = F.transform(titles, lambda t: t["title"])
-    each = F.transform(titles, lambda t, i: F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), cosine100(job_vector, t["vector"]) + title_boost(job_title, t["title"], history))) * t["weight"], 1).alias("score"), (-i).alias("i"), t["title"].alias("title"), t["source"].alias("source")))
-    return F.array_max(each)
+
+    def scored(job: Column, led: Column) -> Column:
+        value = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(100.0), cosine100(job_vector, t["vector"]) + bind(title_features(t["title"]), lambda own: features_boost(job, own, led)))) * t["weight"]
+        return F.array_max(F.transform(titles, lambda t, i: F.struct(F.round(value(t), 1).alias("score"), (-i).alias("i"), t["title"].alias("title"), t["source"].alias("source"))))
+
+    # the job's features and the history's are the same for all titles
+    led = F.coalesce(has_led(F.transform(titles, lambda t: t["title"])), F.lit(False))
+    return bind(title_features(job_title), lambda job: bind(led, lambda past: scored(job, past)))
 
 
 def title_candidates(profession: Column, history: Column) -> Column:

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, set to a temporary folder only where it is unset; deleted as the application ends."""
+    """A new path in ``spark.checkpoint.dir``; deleted as the application ends.
+
+    Where that is unset, a local master gets a temporary folder, and a cluster, whose machines don't share one, an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="talentrank-")
         spark.conf.set("spark.checkpoint.dir", base)
