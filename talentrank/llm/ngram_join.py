@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, with_row_ids
+from .common import drop_path, materialize, new_path, text_of, with_row_ids
 from .components import connected_components, local_forest
 
 #: Children of a tree node.
@@ -400,9 +400,17 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([nothing, nothing, pa.nulls(part.num_rows, pa.binary()), *part.columns], names=names)
 
     names = [x.split()[0] for x in form.split(", ")]
-    described = materialize(rows.mapInArrow(describe, form), "described")
+    spark = docs.sparkSession
+
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = new_path(spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    described, described_path = written(rows.mapInArrow(describe, form), "described")
+    # the sets' keys outlive the parts' keys, which are deleted once groups are known
+    members = materialize(described.where("bucket is null").select("doc_id", "n_shingles", "set_key"), "members")
     # classes of equal sets, each named by its smallest id
-    members = described.where("bucket is null").select("doc_id", "n_shingles", "set_key")
     classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes, "classes")
     # groups of representatives in which all links lie
@@ -439,12 +447,14 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
         return keys_of
 
     group = grouped(cells)
+    drop_path(spark, described_path)
     for errors, parts in FINER:
         large = group.where("slices > 1")
         if large.isEmpty():
             break
-        finer = materialize(texts_of(large).mapInArrow(again(errors, parts), "bucket int, keys binary, docs binary"), "finer")
+        finer, finer_path = written(texts_of(large).mapInArrow(again(errors, parts), "bucket int, keys binary, docs binary"), "finer")
         group = materialize(group.where("slices = 1").unionByName(grouped(finer)), "groups")
+        drop_path(spark, finer_path)
     held = texts_of(group)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -551,5 +561,5 @@ def near_duplicate_filter(docs: DataFrame, percent: int = 80, words: int = 5, te
     """The rows of ``docs`` without those that link to an earlier one: one row of each component stays, all columns unchanged. Rows without a shingle all stay."""
     held, row = with_row_ids(docs, "join-input")
     found = _components(*_joined(held, percent, words, row, text_col, "forest"), False)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(row))
-    return held.join(stay, row, "left_semi").select(*docs.columns)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(row))  # ids alone; texts are dealt out only if these are very many
+    return held.join(gone, row, "left_anti").select(*docs.columns)

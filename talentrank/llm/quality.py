@@ -269,5 +269,5 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def quality_filter(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that :func:`judge_quality` keeps, each judged by its own text, all columns unchanged."""
     held, row = with_row_ids(docs, "quality-input")
-    verdict = judge_quality(held, id_col=row, **settings).where("kept").select(F.col("doc_id").alias(row))
-    return held.join(verdict, row, "left_semi").select(*docs.columns)
+    rejected = judge_quality(held, id_col=row, **settings).where("not kept").select(F.col("doc_id").alias(row))
+    return held.join(rejected, row, "left_anti").select(*docs.columns)
