@@ -8,9 +8,11 @@ tree of dependences), by expectation maximization. Its posterior labels train a
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,14 @@ from pyspark.sql import types as T
 from .common import held_out, materialize, text_of, with_row_ids
 from .ngram_join import Shingler
 
-#: Common English insults, whole words.
+#: Common insults of four languages, whole words.
 LEXICON = frozenset("""
     bastard bitch bloody clown creep crap cretin damn degenerate disgusting dumb dumbass filth filthy fool
     freak garbage hate idiot idiotic imbecile jerk kill loser lowlife moron moronic nasty pathetic pig pervert
     retard scum scumbag shit shut slut stupid sucker trash ugly vermin vile whore worthless
+    abruti abrutie conne connard connasse crétin crétine débile dégueulasse enculé imbécile merde pourriture putain salaud salope taré vermine
+    abschaum arsch arschloch blöd bastarde drecksau dumm dummkopf fotze hässlich hurensohn idioten missgeburt scheiße schlampe schwachkopf trottel widerlich wichser
+    asqueroso bastardo cabrón estúpida estúpido gilipollas hijoputa idiota imbécil mierda maldito maldita pendejo puta puto subnormal tarado zorra
 """.split())
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"!!|\?!|!\?")
@@ -83,11 +88,12 @@ class Votes:
         return [min(LEVELS - 1, v) for v in out]
 
 
-def find_terms(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean: int, max_terms: int, least_gain: float, least_precision: float) -> dict[str, float]:
+def find_terms(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean: int, max_terms: int, discovery: float, least_precision: float) -> dict[str, float]:
     """Terms that mark toxic texts: term -> precision (shrunk to the prior), from a bounded sample of labelled rows.
 
     Near copies in the sample would make any of their words look telling, so of texts that share one of three
-    min-hashes one stays. ``least_gain``: log-likelihood ratio against independence.
+    min-hashes one stays. Terms are tested against independence by their log-likelihood ratio (one degree of freedom), all at
+    once: of those that are taken, ``discovery`` are expected to be chance (Benjamini and Hochberg's rule).
     """
     known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     pick = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -139,20 +145,24 @@ def find_terms(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_cle
     xlog = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     gain = 2 * (xlog(F.col("p"), k * share) + xlog(F.col("n"), k * (1 - share)) + xlog(all_p - F.col("p"), all_p - k * share) + xlog(all_n - F.col("n"), all_n - k * (1 - share)))
     precision = (F.col("p") + 8 * share) / (k + 8)
-    found = terms.where("term <> ''").where(F.col("p") > k * share).withColumn("gain", gain).withColumn("precision", precision)
-    found = found.where((F.col("gain") > least_gain) & (F.col("precision") > least_precision)).orderBy(F.desc("gain"), "term").limit(max_terms)
-    return {r["term"]: float(r["precision"]) for r in found.collect()}
+    tested = terms.where("term <> ''").where(F.col("p") > k * share).withColumn("gain", gain).withColumn("precision", precision)
+    number = tested.count()
+    best = tested.orderBy(F.desc("gain"), "term").limit(max_terms).select("term", "gain", "precision").collect()
+    chance = [2 * (1 - NormalDist().cdf(math.sqrt(max(r["gain"], 0.0)))) for r in best]
+    last = max((i + 1 for i, x in enumerate(chance) if x <= (i + 1) * discovery / max(number, 1)), default=0)
+    return {r["term"]: float(r["precision"]) for r in best[:last] if r["precision"] > least_precision}
 
 
 class LabelModel:
     """p(class) and p(vote | parent's vote, class) on a tree of voters, by expectation maximization over vote patterns."""
 
-    def __init__(self, patterns: np.ndarray, weight: np.ndarray, known: np.ndarray, rounds: int = 12):
-        """patterns (n, voters) of levels, weights, and known: 0, 1 or -1 (latent)."""
+    def __init__(self, patterns: np.ndarray, weight: np.ndarray, known: np.ndarray, tolerance: float = 1e-6):
+        """patterns (n, voters) of levels, weights, and known: 0, 1 or -1 (latent). Rounds end when one gains less than ``tolerance`` of log-likelihood per text."""
         m = patterns.shape[1]
         # first guess: texts with reliable votes
         q = np.where(known >= 0, known, np.where((patterns[:, [0, 1, 3]].sum(1) >= 2), 0.9, 0.02)).astype(float)
-        for _ in range(rounds):
+        self.likelihoods: list[float] = []
+        while len(self.likelihoods) < 2 or self.likelihoods[-1] - self.likelihoods[-2] > tolerance:
             w = np.stack([weight * (1 - q), weight * q], 1)
             self.prior = (w.sum(0) + 1) / (w.sum() + 2)
             joint = lambda a, b: np.stack([np.bincount(patterns[:, a] * LEVELS + patterns[:, b], w[:, y], LEVELS * LEVELS).reshape(LEVELS, LEVELS) for y in (0, 1)])
@@ -172,13 +182,22 @@ class LabelModel:
             for j in range(m):
                 p = joint(self.parent[j], j) + 0.05 if self.parent[j] >= 0 else np.repeat(np.stack([np.bincount(patterns[:, j], w[:, y], LEVELS) for y in (0, 1)])[:, None, :] + 0.05, LEVELS, 1)
                 self.tables.append(p / p.sum(2, keepdims=True))
+            log = self.log_joint(patterns)
+            top = log.max(1)
+            seen = np.where(known >= 0, log[np.arange(len(log)), np.maximum(known, 0)], top + np.log(np.exp(log - top[:, None]).sum(1)))
+            self.likelihoods.append(float((weight * seen).sum() / weight.sum()))
             q = np.where(known >= 0, known, self.posterior(patterns))
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+    def log_joint(self, patterns: np.ndarray) -> np.ndarray:
+        """log p(class, votes) per pattern and class."""
         log = np.tile(np.log(self.prior), (len(patterns), 1))
         for j, table in enumerate(self.tables):
             above = patterns[:, self.parent[j]] if self.parent[j] >= 0 else np.zeros(len(patterns), int)
             log += np.log(table[:, above, patterns[:, j]]).T
+        return log
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        log = self.log_joint(patterns)
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
 
     def accuracies(self) -> np.ndarray:
@@ -224,7 +243,7 @@ def linear_score(w: np.ndarray, columns: list[str]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = 4000, sample_clean: int = 8000, max_terms: int = 5000, least_gain: float = 18.0, least_precision: float = 0.3, carry: str | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = 4000, sample_clean: int = 8000, max_terms: int = 5000, discovery: float = 0.01, least_precision: float = 0.3, carry: str | None = None) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= ``threshold``) and the votes, for every document.
 
     Labels count only where crc32(id as text) mod ``modulus`` is not 2. Terms come from at most
@@ -236,7 +255,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, thresho
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"), *([F.col(carry)] if carry else []))
     known = labels.select(F.col(id_col).alias("doc_id"), F.when(F.col(label_col) > 0, 1).when(F.col(label_col) <= 0, 0).alias("y")).where(~held_out("doc_id", modulus))
-    found = find_terms(rows, known, sample_toxic, sample_clean, max_terms, least_gain, least_precision)
+    found = find_terms(rows, known, sample_toxic, sample_clean, max_terms, discovery, least_precision)
     shared = spark.sparkContext.broadcast(found)  # at most max_terms short strings
     names = [f"v{j}" for j in range(len(VOTERS))]
     kept = ["doc_id", *([carry] if carry else [])]

@@ -432,3 +432,26 @@ def test_odd_pages_take_linear_time(odd):
 
     trained()
     assert min(seconds(24000) for _ in range(2)) < 4 * max(0.1, min(seconds(8000) for _ in range(2)))
+
+
+def test_label_model_posterior_by_enumeration():
+    """The posterior is the joint probability of class and votes over that of both classes, term by term on the tree; likelihoods rise until they settle."""
+    rng = np.random.default_rng(7)
+    y = (rng.random(4000) < 0.2).astype(int)
+    patterns = np.stack([np.minimum(3, rng.poisson(np.where(y == 1, hi, lo))) for hi, lo in ((1.5, 0.05), (1.0, 0.2), (0.6, 0.1), (0.3, 0.3))], 1)
+    patterns[:, 3] = np.where(rng.random(4000) < 0.7, patterns[:, 2], patterns[:, 3])  # two voters that go together
+    known = np.where(rng.random(4000) < 0.2, y, -1)
+    model = LabelModel(patterns, np.ones(4000), known)
+    assert all(b > a - 1e-3 for a, b in itertools.pairwise(model.likelihoods)) and model.likelihoods[-1] - model.likelihoods[-2] <= 1e-6
+    assert model.parent[3] == 2 or model.parent[2] == 3
+    for v, q in zip(patterns[:200], model.posterior(patterns[:200]), strict=True):
+        joint = []
+        for c in (0, 1):
+            p = model.prior[c]
+            for j, table in enumerate(model.tables):
+                p *= table[c][v[model.parent[j]] if model.parent[j] >= 0 else 0][v[j]]
+            joint.append(p)
+        assert np.isclose(q, joint[1] / sum(joint))
+    # probabilities of all vote patterns add up to one
+    every = np.array(list(itertools.product(range(4), repeat=4)))
+    assert np.isclose(np.exp(model.log_joint(every)).sum(), 1)
