@@ -391,4 +391,8 @@ def test_pages(spark):
 
 
 def test_names_of_rows_do_not_clash(docs):
-    assert "_row" in docs.columns and docs.select(F.count("*")).first()[0] > 0
+    from talentrank.llm.common import with_row_ids
+
+    held, row = with_row_ids(docs, "clash")
+    assert "_row" in docs.columns and row not in docs.columns and held.select(row).distinct().count() == docs.count()
+    assert held.drop(row).exceptAll(docs).count() == 0

@@ -316,8 +316,14 @@ def test_votes():
     assert v("You idiot, blarg zorple zorx!!")[:5] == [1, 1, 0, 0, 2] and v("")[:] == [0] * 9 and sum(v("a nice day")) == 0
 
 
-def test_crc_is_the_contracts():
-    assert zlib.crc32(b"5") % 7 in range(7)
+def test_held_out_rows_are_the_contracts(spark):
+    from talentrank.llm.common import held_out
+
+    ids = [*range(-20, 200), 10**15, None]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = {r.doc_id: (r.a, r.b) for r in rows.select("doc_id", held_out("doc_id", 7).alias("a"), held_out("doc_id", 4).alias("b")).collect()}
+    crc = lambda i: zlib.crc32(b"" if i is None else str(i).encode())
+    assert got == {i: (crc(i) % 7 == 2, crc(i) % 4 == 2) for i in ids}
 
 
 def plain_mcd(x, support, factor, floors, prior, rnd, tries=60):
