@@ -110,7 +110,7 @@ INFERRED_TITLES = {
     "Data Scientist": "data analysis|data science|analytics|machine learning",
 }
 
-#: Raw terms of the deterministic skill scan with their display names where a capital isn't all. Fixed values.
+#: Raw terms of the deterministic skill scan; their canonical names are those of the dictionary above. Fixed values.
 SCAN_TERMS = "python|py|r|java|c#|csharp|c++|go|javascript|typescript|ts|php|ruby|scala|rust|react|vue|angular|nextjs|tailwind|html|html5|css|css3|node|node js|node.js|express|nest|nestjs|spring|.net|dotnet|django|flask|fastapi|pandas|numpy|scikit-learn|xgboost|lightgbm|spark|airflow|cesium|openlayers|sql|postgres|postgresql|mysql|mongodb|docker|kubernetes|k8s|git|jenkins|linux|openshift|splunk|aws|gcp|azure".split("|")
 SPOKEN = "hebrew|english|arabic|russian|french|spanish|german".split("|")
 
