@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Row numbers that are broadcast at most.
+FEW_ROWS = 1_000_000
 #: ASCII white space of the word contract: a word is a run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,6 +65,15 @@ def with_row_ids(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
+def without(held: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """``held`` without the rows whose number ``row`` is in ``gone``.
+
+    The numbers are written and counted: up to FEW_ROWS of them (8 bytes each) are broadcast, so no text is dealt out; more are joined by number.
+    """
+    gone = materialize(gone.select(row), "gone")
+    return held.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, row, "left_anti")
+
+
 def text_of(name: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

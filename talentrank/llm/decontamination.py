@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of, with_row_ids
+from .common import text_of, with_row_ids, without
 
 _WORDS = re.compile(r"\w+")
 #: Characters of items that are matched in one pass; more items are matched block by block.
@@ -187,4 +187,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.0
     """The rows of ``docs`` that contain no benchmark item, all columns unchanged."""
     held, row = with_row_ids(docs, "decontamination-input")
     hit = benchmark_matches(held, benchmark, error_rate, row, text_col).select(F.col("doc_id").alias(row)).distinct()
-    return held.join(hit, row, "left_anti").select(*docs.columns)
+    return without(held, hit, row).select(*docs.columns)

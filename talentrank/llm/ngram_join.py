@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, new_path, text_of, with_row_ids
+from .common import drop_path, materialize, new_path, text_of, with_row_ids, without
 from .components import connected_components, local_forest
 
 #: Children of a tree node.
 FANOUT = 8
 #: Members of a group, and shingles of them all, that a slice holds; larger groups are compared slice by slice.
 #: A group of g slices costs g (g + 1) / 2 comparisons of slices and g copies of its sets, spread over as many tasks.
-SLICE = 8_000
+SLICE = 4_000
 SLICE_SHINGLES = 8_000_000
 #: Errors per block and parts of a block, for the groups that are still larger than a slice.
 FINER = ((1, 4), (2, 6))
@@ -561,5 +561,5 @@ def near_duplicate_filter(docs: DataFrame, percent: int = 80, words: int = 5, te
     """The rows of ``docs`` without those that link to an earlier one: one row of each component stays, all columns unchanged. Rows without a shingle all stay."""
     held, row = with_row_ids(docs, "join-input")
     found = _components(*_joined(held, percent, words, row, text_col, "forest"), False)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(row))  # ids alone; texts are dealt out only if these are very many
-    return held.join(gone, row, "left_anti").select(*docs.columns)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return without(held, gone, row).select(*docs.columns)

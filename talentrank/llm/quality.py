@@ -20,7 +20,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, with_row_ids
+from .common import materialize, text_of, with_row_ids, without
 
 #: Components of the vector, and the least standard deviation that a group counts with: spread below it is never an outlier.
 FLOORS = {"log_words": 0.7, "word_length": 0.45, "symbols": 0.06, "dup_lines": 0.09, "repeats": 0.13}
@@ -270,4 +270,4 @@ def quality_filter(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that :func:`judge_quality` keeps, each judged by its own text, all columns unchanged."""
     held, row = with_row_ids(docs, "quality-input")
     rejected = judge_quality(held, id_col=row, **settings).where("not kept").select(F.col("doc_id").alias(row))
-    return held.join(rejected, row, "left_anti").select(*docs.columns)
+    return without(held, rejected, row).select(*docs.columns)

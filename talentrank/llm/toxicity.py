@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, materialize, text_of, with_row_ids
+from .common import held_out, materialize, text_of, with_row_ids, without
 from .ngram_join import Shingler
 
 #: Common insults of four languages, whole words.
@@ -289,4 +289,4 @@ def toxicity_filter(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame
     """The rows of ``docs`` that are not predicted toxic, each judged by its own text, all columns unchanged."""
     held, row = with_row_ids(docs, "toxicity-input")
     toxic = score_toxicity(held, labels, carry=row, **settings).where("predicted = 1").select(row)
-    return held.join(toxic, row, "left_anti").select(*docs.columns)
+    return without(held, toxic, row).select(*docs.columns)
