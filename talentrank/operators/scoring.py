@@ -28,9 +28,11 @@ def skill_weight(source: Column) -> Column:
     return F.when(source.isin("work_experience", "experience"), 1.0).otherwise(dims.LISTED_SKILL_WEIGHT)
 
 
-def skill_weights(skills: Column) -> Column:
-    """array<struct<name,source,..>> to map of lower canonical name to the largest weight."""
-    pairs = F.transform(F.filter(skills, lambda s: F.trim(s["name"]) != ""), lambda s: F.struct(F.lower(normalize_skill(s["name"])).alias("k"), skill_weight(F.coalesce(s["source"], F.lit(""))).alias("w")))
+def skill_weights(skills: Column, weighed: bool = False) -> Column:
+    """array<struct<name,source,..>> to map of lower canonical name to the largest weight. ``weighed``: a skill's own ``weight`` counts, its source only where that is null."""
+    by_source = lambda s: skill_weight(F.coalesce(s["source"], F.lit("")))
+    weight = (lambda s: F.coalesce(s["weight"], by_source(s))) if weighed else by_source
+    pairs = F.transform(F.filter(skills, lambda s: F.trim(s["name"]) != ""), lambda s: F.struct(F.lower(normalize_skill(s["name"])).alias("k"), weight(s).alias("w")))
     return F.map_from_entries(F.transform(max_wins(pairs, lambda x: x["k"], lambda x: x["w"]), lambda x: F.struct(x["k"], x["w"])))
 
 
@@ -225,11 +227,12 @@ def score_candidates(candidates: DataFrame, jobs: DataFrame, keep: int | None =
     if jobs.limit(MOST_JOBS + 1).count() > MOST_JOBS:
         raise ValueError(f"more than {MOST_JOBS} jobs at once: use score_in_blocks")
     pairs = candidates.join(F.broadcast(jobs))  # at most MOST_JOBS rows, checked
+    weights = skill_weights(F.col("skills"), "weight" in candidates.schema["skills"].dataType.elementType.names)
     scored = pairs.select(
         "job_id", "resume_id",
         title_scores(F.col("title"), F.col("vector"), F.col("titles")).alias("best_title"),
         experience_detail(F.col("years"), F.col("years_min"), F.col("has_history")).alias("experience"),
-        skills_score(F.col("required"), F.col("bonus"), skill_weights(F.col("skills")), F.col("text")).alias("skills"),
+        skills_score(F.col("required"), F.col("bonus"), weights, F.col("text")).alias("skills"),
         stability_score(F.col("durations"), F.col("years")).alias("stability"),
     )
     title = F.coalesce(F.col("best_title.score"), F.lit(0.0)) / 100.0

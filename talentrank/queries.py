@@ -358,7 +358,7 @@ years AS (SELECT resume_id, round(sum(d) / 365.0::double, 1) AS years FROM (SELE
 
 def skill_rows(spark, sf) -> DataFrame:
     rows = _skills_of(records(spark, sf))
-    return rows.select(F.col("id").alias("resume_id"), scoring.skills_score(lit_array(REQUIRED), lit_array(BONUS), scoring.skill_weights(F.col("skills"))).alias("s"))
+    return rows.select(F.col("id").alias("resume_id"), scoring.skills_score(lit_array(REQUIRED), lit_array(BONUS), scoring.skill_weights(F.col("skills"), True)).alias("s"))
 
 
 @query(f"WITH {CAND_SQL}, {SKILL_SQL} SELECT resume_id, round(score, 4) AS skills_score, matched FROM skill")

@@ -82,6 +82,13 @@ def test_skills_score(spark):
     assert one(spark, scoring.skills_score(F.array().cast("array<string>"), F.array().cast("array<string>"), weights)).score == 100.0
 
 
+def test_skill_weights(spark):
+    # a skill's own weight counts (listed as from experience, but not in the bullets: 0.6), its source only where it has none
+    skill = lambda name, source, weight: F.struct(F.lit(name).alias("name"), F.lit(source).cast("string").alias("source"), F.lit(weight).cast("double").alias("weight"))
+    skills = F.array(skill("Brand#1", "work_experience", 0.6), skill("Go", "experience", None), skill("Rust", None, None), skill("rust", "skills_list", 1.0))
+    assert one(spark, scoring.skill_weights(skills, True)) == {"brand#1": 0.6, "go": 1.0, "rust": 1.0}
+
+
 @pytest.mark.parametrize(("durations", "years", "want"), [(None, 3.0, 0.5), ([], 3.0, 0.5), ([5.0], 5.0, 1.0), ([0.4, 0.4, 0.4], 1.2, 0.0), ([1.0, 1.2], 2.2, 0.55)])
 def test_stability(spark, durations, years, want):
     d = F.lit(None).cast("array<double>") if durations is None else F.array(*map(F.lit, durations)).cast("array<double>")
