@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Row numbers that are broadcast at most.
 FEW_ROWS = 1_000_000
+#: Spark's setting by which a query's shuffle files are deleted as it ends, not when the driver collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII white space of the word contract: a word is a run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,15 +42,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once as a compressed table in the shared folder and read back, and its path. The write's shuffle files go as it ends."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a compressed table in the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs a re-read, never a recomputation,
     and makes what follows independent of how the input happened to be dealt out.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)[0]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -57,12 +69,36 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _places(df: DataFrame) -> Column | None:
+    """struct<file_path, row_index> of each row if ``df`` is a plain scan of Parquet files, each read once, with projections and filters at most; else none."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic() or plan.isStreaming():
+        return None
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation" or plan.relation().fileFormat().toString() != "Parquet":
+        return None
+    files = list(plan.relation().location().inputFiles())
+    return df.metadataColumn("_metadata") if len(set(files)) == len(files) else None
+
+
 def with_row_ids(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """A written copy of ``df`` with a number per row, and that column's name, which no column of ``df`` has."""
+    """``df`` with a number per row that each reading gives again, and that column's name, which no column of ``df`` has.
+
+    Rows of Parquet files are numbered by file and place, and stay where they are; of anything else a numbered copy is written.
+    """
     row = "_row"
     while row.lower() in {c.lower() for c in df.columns}:
         row = f"_{row}"
-    return materialize(df.withColumn(row, F.monotonically_increasing_id()), name), row
+    place = _places(df)
+    if place is None:
+        return materialize(df.withColumn(row, F.monotonically_increasing_id()), name), row
+    spark, own = df.sparkSession, [F.col(f"`{c}`") for c in df.columns]
+    files = sorted(r[0] for r in df.select(place["file_path"]).distinct().collect())  # no more than the scan's own list of files
+    path, number = f"{row}_path", f"{row}_file"
+    numbers = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"{path} string, {number} long")
+    placed = df.select(*own, place["file_path"].alias(path), place["row_index"].alias(row))
+    return placed.join(F.broadcast(numbers), path).select(*own, (F.shiftleft(number, 40) + F.col(row)).alias(row)), row
 
 
 def without(held: DataFrame, gone: DataFrame, row: str) -> DataFrame:

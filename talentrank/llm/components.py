@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path
+from .common import drop_path, written
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,12 +41,6 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, str]:
-    path = new_path(edges.sparkSession, "links")
-    edges.write.option("compression", "zstd").parquet(path)
-    return edges.sparkSession.read.schema(edges.schema).parquet(path), path
-
-
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): for links (a, b), each linked node with the smallest node it can reach.
 
@@ -56,7 +50,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, path = _written(edges)
+    edges, path = written(edges, "links")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -66,7 +60,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges, newer = _written(small.where("u <> v").distinct())
+        edges, newer = written(small.where("u <> v").distinct(), "links")
         drop_path(spark, path)
         path = newer
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -28,13 +28,14 @@ import hashlib
 import itertools
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, new_path, text_of, with_row_ids, without
+from .common import materialize, text_of, with_row_ids, without
 from .components import connected_components, local_forest
 
 #: Children of a tree node.
@@ -43,6 +44,10 @@ FANOUT = 8
 #: A group of g slices costs g (g + 1) / 2 comparisons of slices and g copies of its sets, spread over as many tasks.
 SLICE = 4_000
 SLICE_SHINGLES = 8_000_000
+#: Copies of a group's sets that are dealt out at a time; a group of more slices is compared in as many waves as that takes.
+COPIES = 4
+#: Tasks at most that tie documents by equal keys. Each gives one forest, so this bounds the ties a document is in, whatever the number of buckets.
+TYING_TASKS = 64
 #: Errors per block and parts of a block, for the groups that are still larger than a slice.
 FINER = ((1, 4), (2, 6))
 #: Cuts of shingle space that are tried before a set speaks for empty parts.
@@ -345,27 +350,31 @@ def _bucketed(keys: list[np.ndarray], owners: list[tuple[int, int]], buckets: in
 
 
 def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per run of one bucket's rows: ties between documents with an equal key, as stars."""
+    """Ties between documents with an equal key, as one forest of stars for all of a task's buckets; rows come bucket by bucket."""
 
-    def stars(keys: list[bytes], docs: list[bytes]) -> pa.RecordBatch:
+    def ties(keys: list[bytes], docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         key, doc = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(docs), np.int64)
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         same = key[1:] == key[:-1]
-        u, v = local_forest(doc[1:][same], doc[:-1][same])
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+        return doc[1:][same], doc[:-1][same]
 
     bucket, keys, docs = None, [], []
+    u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for b, k, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if b != bucket and keys:
-                yield stars(keys, docs)
+                x, y = local_forest(*ties(keys, docs))
+                u, v = local_forest(np.concatenate([u, x]), np.concatenate([v, y]))
                 keys, docs = [], []
             bucket = b
             keys.append(k)
             docs.append(d)
     if keys:
-        yield stars(keys, docs)
+        x, y = local_forest(*ties(keys, docs))
+        u, v = local_forest(np.concatenate([u, x]), np.concatenate([v, y]))
+    for k in range(0, len(u), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(u[k : k + 100_000], pa.int64()), pa.array(v[k : k + 100_000], pa.int64())], names=["a", "b"])
 
 
 def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str, give: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -378,47 +387,38 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
     threshold = percent / 100
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
     buckets = max(16, rows.rdd.getNumPartitions())
-    form = "doc_id long, n_shingles long, set_key binary, bucket int, keys binary, docs binary"
+    cell = "bucket int, keys binary, docs binary"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            n, digest, keys, owners = [], [], [], []
-            for i, t in zip(ids, batch.column(1).to_pylist(), strict=True):
+            sets = [shingle(t) for t in batch.column(1).to_pylist()]
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "n_shingles", "set_key"])
+
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for batch in batches:
+            keys, owners = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle(t)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 if i is not None and len(s):
                     for k in part_digests(s, threshold):
                         keys.append(k)
                         owners.append((i, len(k)))
-            nothing = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary()), pa.array(nothing, pa.binary())], names=names)
-            for part in _bucketed(keys, owners, buckets) if keys else ():
-                nothing = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.nulls(part.num_rows, pa.binary()), *part.columns], names=names)
-
-    names = [x.split()[0] for x in form.split(", ")]
-    spark = docs.sparkSession
-
-    def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        path = new_path(spark, name)
-        df.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema(df.schema).parquet(path), path
-
-    described, described_path = written(rows.mapInArrow(describe, form), "described")
-    # the sets' keys outlive the parts' keys, which are deleted once groups are known
-    members = materialize(described.where("bucket is null").select("doc_id", "n_shingles", "set_key"), "members")
+            if keys:
+                yield from _bucketed(keys, owners, buckets)
+
+    # texts are shingled again for their parts' keys, which are as large as the texts and so are only ever shuffled, once, and not written
+    members = materialize(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_key binary"), "members")
     # classes of equal sets, each named by its smallest id
     classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes, "classes")
-    # groups of representatives in which all links lie
-    cells = described.where("bucket is not null").select("bucket", "keys", "docs")
 
+    # groups of representatives in which all links lie
     def grouped(cells: DataFrame) -> DataFrame:
         """doc_id, grp, copies, set_key, slices, mine: components of documents with an equal key; those without one are left out."""
-        ties = connected_components(cells.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tied, "a long, b long"))
+        ties = connected_components(cells.repartition(min(buckets, TYING_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_tied, "a long, b long"))
         found = ties.join(classes.select(F.col("rep").alias("node"), "copies", "set_key", "n_shingles"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "copies", "set_key", "n_shingles")
         sizes = found.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
         slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("shingles") / SLICE_SHINGLES)).cast("int")
@@ -446,16 +446,12 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
 
         return keys_of
 
-    group = grouped(cells)
-    drop_path(spark, described_path)
+    group = grouped(rows.mapInArrow(speak, cell))
     for errors, parts in FINER:
         large = group.where("slices > 1")
         if large.isEmpty():
             break
-        finer, finer_path = written(texts_of(large).mapInArrow(again(errors, parts), "bucket int, keys binary, docs binary"), "finer")
-        group = materialize(group.where("slices = 1").unionByName(grouped(finer)), "groups")
-        drop_path(spark, finer_path)
-    held = texts_of(group)
+        group = materialize(group.where("slices = 1").unionByName(grouped(texts_of(large).mapInArrow(again(errors, parts), cell))), "groups")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -467,11 +463,14 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays(whole, names=carried).filter(pa.array(right, pa.bool_()))
 
     carried = ["grp", "slices", "mine", "doc_id", "s", "copies", "set_key"]
-    sets = held.mapInArrow(shingled, "grp long, slices int, mine int, doc_id long, s binary, copies long, set_key binary")
-    # a text is cut into shingles once; its set goes to the slice pairs (x, y) with x <= y in which it takes part
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    sets = sets.select("*", other.alias("other")).select("grp", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "s", "copies", "set_key")
-    sets = sets.repartition(F.col("grp"), F.col("x"), F.col("y")).sortWithinPartitions("grp", "x", "y")
+
+    def dealt(wave: int) -> DataFrame:
+        """Sets by pair of slices: a text is cut into shingles once a wave; its set goes to the slice pairs (x, y) with x <= y of the wave in which it takes part."""
+        held = texts_of(group.where(F.ceil(F.col("slices") / COPIES) > wave))
+        sets = held.mapInArrow(shingled, "grp long, slices int, mine int, doc_id long, s binary, copies long, set_key binary")
+        others = F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda o: (F.col("mine") + o) % F.ceil(F.col("slices") / COPIES) == wave)
+        sets = sets.select("*", F.explode(others).alias("other")).select("grp", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "s", "copies", "set_key")
+        return sets.repartition(F.col("grp"), F.col("x"), F.col("y")).sortWithinPartitions("grp", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None, key: list[bytes] | None = None) -> pa.RecordBatch:
@@ -517,7 +516,9 @@ def _joined(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
         if now:
             yield from linked(now, left, right)
 
-    return members, classes, materialize(sets.mapInArrow(compare, "a long, b long, n long, set_key binary"), "joined")
+    waves = -(-(group.agg(F.max("slices")).first()[0] or 1) // COPIES)
+    found = [materialize(dealt(w).mapInArrow(compare, "a long, b long, n long, set_key binary"), "joined") for w in range(waves)]
+    return members, classes, reduce(DataFrame.unionByName, found)
 
 
 def jaccard_links(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talentrank.llm import binary_ids, chat, decontamination, html_extraction, language_model, ngram_join, packing, quality, token_counts, toxicity
+from talentrank.llm import binary_ids, chat, common, components, decontamination, html_extraction, language_model, ngram_join, packing, quality, token_counts, toxicity
 from talentrank.llm.common import new_path
 from talentrank.llm.components import connected_components
 from talentrank.llm.encoders import public_path
@@ -251,6 +251,43 @@ def test_binary_ids_in_ranges_by_bytes(spark, monkeypatch):
     assert [np.frombuffer(r.ids, "<u4")[:-1].tolist() for r in back] == library_ids("word_bpe_49k.json", [t for _, t in rows])
 
 
+def test_ngram_join_in_waves_without_copies_of_the_input(spark, monkeypatch, tmp_path):
+    """Groups of many slices are compared a few copies at a time; neither the rows nor their parts' keys are written, and shuffle files go."""
+    monkeypatch.setattr(ngram_join, "SLICE", 5)
+    monkeypatch.setattr(ngram_join, "COPIES", 2)
+    monkeypatch.setattr(ngram_join, "TYING_TASKS", 2)
+    rnd, made, wrote = random.Random(9), [], common.written
+    for module in (common, ngram_join, components):
+        for name in ("written", "materialize"):
+            if hasattr(module, name):
+                real = wrote if name == "written" else common.materialize
+                monkeypatch.setattr(module, name, lambda df, name, f=real: made.append((name, df.columns)) or f(df, name))
+    base = words(rnd, 60, 300).split()
+    texts = [" ".join(rnd.choice(["x", "y", "z"]) if rnd.random() < 0.01 else w for w in base) for _ in range(60)] + [words(rnd, 40, 300) for _ in range(10)]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    n, comp = plain_components(rows)
+    got = {r.doc_id: r for r in ngram_join.jaccard_components(docs).collect()}
+    assert [got[i].component_id for i, _ in rows] == comp
+    assert sum(name == "joined" for name, _ in made) > 1
+    stay = ngram_join.near_duplicate_filter(docs, percent=90, words=3)
+    assert stay.columns == docs.columns and stay.count() == len(set(comp))
+    assert not any({"text", "keys", "s"} & set(columns) for _, columns in made)
+    assert spark.conf.get(common.SHUFFLES_GO) == "false"
+
+
+def test_row_numbers_of_files(spark, tmp_path):
+    spark.createDataFrame([(i % 7, f"t{i}", i) for i in range(100)], "doc_id long, text string, _metadata int").repartition(3).write.parquet(f"{tmp_path}/a b")
+    df = spark.read.parquet(f"{tmp_path}/a b")
+    numbers = lambda held, row: {r[row]: r["text"] for r in held.select(row, "text").collect()}
+    for some, n, copied in [(df, 100, False), (df.where("doc_id > 2").select("text", "doc_id"), None, False), (df.unionByName(df), 200, True), (spark.read.parquet(f"{tmp_path}/a b", f"{tmp_path}/a b"), None, True), (df.where(F.rand() < 2), 100, True), (df.withColumn("doc_id", F.explode(F.array(F.lit(1), F.lit(2)))), 200, True)]:
+        held, row = common.with_row_ids(some, "rows-input")
+        got = numbers(held, row)
+        assert len(got) == (some.count() if n is None else n) and got == numbers(held.repartition(5), row) and held.columns == [*some.columns, row]
+        assert any("rows-input" in f for f in held.inputFiles()) == copied
+
+
 def test_ngram_join_of_ids_with_several_texts(spark):
     rnd = random.Random(21)
     a, b, c = (words(rnd, 200, 5000) for _ in range(3))
