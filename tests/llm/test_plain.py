@@ -140,6 +140,51 @@ def test_hmm_against_brute_force(monkeypatch):
     assert np.allclose(c, counts[used]) and np.allclose(mv, moves) and np.allclose(s0, starts)
 
 
+def test_hmm_of_cut_texts_against_plain_recursion():
+    rng = np.random.default_rng(5)
+    k, v = 4, 50
+    m = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(v), k).T.copy())
+    lengths = np.array([3, hmm.SEGMENT, 1, hmm.SEGMENT + 1, 3 * hmm.SEGMENT, 700, 5 * hmm.SEGMENT - 1, 2 * hmm.SEGMENT + 9])
+    x = rng.integers(0, v, lengths.sum())
+    ends = np.cumsum(lengths)
+    counts, moves, starts, logs = np.zeros((v, k)), np.zeros((k, k)), np.zeros(k), []
+    for i, j in zip(ends - lengths, ends, strict=True):
+        s, alpha, log = x[i:j], [], 0.0
+        for w in s:
+            a = (alpha[-1] @ m.move if alpha else m.start) * m.emit[w]
+            log += np.log(a.sum())
+            alpha.append(a / a.sum())
+        logs.append(log)
+        beta = np.ones(k)
+        for t in range(len(s) - 1, -1, -1):
+            g = alpha[t] * beta / (alpha[t] @ beta)
+            counts[s[t]] += g
+            if t:
+                pair = alpha[t - 1][:, None] * m.move * (m.emit[s[t]] * beta)
+                moves += pair / pair.sum()
+                beta = m.move @ (m.emit[s[t]] * beta)
+                beta /= beta.sum()
+        starts += g
+    assert np.allclose(hmm.log_likelihood(x, lengths, m), logs, rtol=1e-12)
+    used, c, mv, s0, likelihood = hmm.counts(x, lengths, m)
+    assert np.allclose(c, counts[used]) and np.allclose(mv, moves) and np.allclose(s0, starts) and np.isclose(likelihood, sum(logs), rtol=1e-12)
+
+
+def test_hmm_of_ordinary_texts_costs_no_transfer_matrices(monkeypatch):
+    """These cost several recursions a token, by which op3 took more CPU than its budget."""
+    cut, transfers = [], hmm._transfers
+    monkeypatch.setattr(hmm, "_transfers", lambda lanes, *args: [cut.append(len(args[-1])), transfers(lanes, *args)][1])
+    rng = np.random.default_rng(6)
+    m = hmm.Model(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(9), 4).T.copy())
+    lengths = np.array([500] * 20 + [3000])
+    x = rng.integers(0, 9, lengths.sum())
+    hmm.counts(x[:10_000], lengths[:-1], m)
+    hmm.log_likelihood(x[:10_000], lengths[:-1], m)
+    assert cut == []
+    hmm.log_likelihood(x, lengths, m)
+    assert cut == [3000 // hmm.SEGMENT]  # the long text's segments but its last
+
+
 def test_word_counts_beyond_32_bits():
     import pyarrow as pa
 
