@@ -36,7 +36,7 @@ CHUNK = 8192
 #: Tokens and texts per call of the recursion.
 RUN_TOKENS = 250_000
 RUN_TEXTS = 4096
-#: Hashed words whose principal components give the first guess of a text's state.
+#: Places of hashed words, a byte each, whose principal components give the first guess of a text's state.
 WIDTH = 256
 
 
@@ -45,6 +45,11 @@ def letter_class(word: bytes) -> int:
     return zlib.crc32(word[:3] + b" " + word[-2:]) % CLASSES
 
 
+def word_place(word: bytes) -> int:
+    """Where the first guess counts a word: by its letters alone, since a symbol's number depends on how rows are dealt out."""
+    return zlib.crc32(b"place " + word) % WIDTH
+
+
 def _planes(x: np.ndarray) -> bytes:
     """32-bit numbers byte plane by byte plane, which compresses better."""
     return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -123,7 +128,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], own_least: float) -> Iterato
 
     A code is the word's number among the bucket's own symbols, or -1 - letter class, or -2 ** 30 if training has not seen it.
     """
-    names = ["block", "bucket", "codes", "counts", "own", "classes", "distinct", "once"]
+    names = ["block", "bucket", "codes", "counts", "own", "classes", "distinct", "once", "places"]
 
     def merged(bucket: int, cells: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
@@ -150,6 +155,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], own_least: float) -> Iterato
             pa.array([total[big].astype("<i8").tobytes(), *none], pa.binary()),
             pa.array([[[int(c), int(classes[c])] for c in np.flatnonzero(classes)], *none], pa.list_(pa.list_(pa.int64()))),
             pa.array([int((total > 0).sum()), *none], pa.int64()), pa.array([int((total == 1).sum()), *none], pa.int64()),
+            pa.array([bytes(word_place(w) for w in itertools.compress(numbers, big.tolist())), *none], pa.binary()),
         ], names=names)
 
     now, cells = None, []
@@ -176,9 +182,9 @@ def _block_parts(lengths: bytes, held: bytes, symbols: bytes) -> tuple[np.ndarra
     return n, np.unpackbits(np.frombuffer(held, np.uint8), count=len(n)).astype(bool), _unplanes(symbols).astype(np.int64)
 
 
-def _hashed(sym: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per text the square roots of its shares of WIDTH hashed symbols."""
-    at = np.repeat(np.arange(len(lengths)) * WIDTH, lengths) + (sym * 0x9E3779B1 >> 12) % WIDTH
+def _hashed(places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Per text the square roots of its symbols' shares of the WIDTH places."""
+    at = np.repeat(np.arange(len(lengths)) * WIDTH, lengths) + places
     return np.sqrt(np.bincount(at, minlength=len(lengths) * WIDTH).reshape(-1, WIDTH) / lengths[:, None])
 
 
@@ -201,23 +207,25 @@ class Corpus:
         sums = lambda it: (pa.RecordBatch.from_pydict({"n": pa.array([int(sum(np.frombuffer(c, "<u4").sum(dtype=np.int64) for c in b.column(0).to_pylist()))], pa.int64())}) for b in it)
         self.tokens = int(cells.select("counts").mapInArrow(sums, "n long").agg(F.sum("n")).first()[0] or 0)
         least = max(1.0, own_share * self.tokens)
-        counted_form = "block long, bucket int, codes binary, counts binary, own binary, classes array<array<long>>, distinct long, once long"
+        counted_form = "block long, bucket int, codes binary, counts binary, own binary, classes array<array<long>>, distinct long, once long, places binary"
         counted = materialize(cells.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _count_words(it, least), counted_form), "counted-words")
         totals = counted.where("block = -1")
         self.distinct, once = (int(x or 0) for x in totals.agg(F.sum("distinct"), F.sum("once")).first())
-        own = sorted((r["bucket"], np.frombuffer(r["own"], "<i8")) for r in totals.where("length(own) > 0").select("bucket", "own").toLocalIterator())
+        own = sorted((r["bucket"], np.frombuffer(r["own"], "<i8"), bytes(r["places"])) for r in totals.where("length(own) > 0").select("bucket", "own", "places").toLocalIterator())
         offsets = np.zeros(buckets + 1, np.int64)
-        for b, c in own:
+        for b, c, _ in own:
             offsets[b + 1] = len(c)
         offsets = np.cumsum(offsets)[:-1]
-        self.n_own = int(sum(len(c) for _, c in own))
+        self.n_own = int(sum(len(c) for _, c, _ in own))
         by_class = totals.select(F.explode("classes").alias("c")).groupBy(F.col("c")[0].alias("k")).agg(F.sum(F.col("c")[1]).alias("n"))
         self.class_counts = np.zeros(CLASSES, np.int64)
         for r in by_class.collect():
             self.class_counts[r["k"]] = r["n"]
         #: Symbols: own words, letter classes, the unknown word.
         self.n_symbols = self.n_own + CLASSES + 1
-        self.symbol_counts = np.concatenate([*(c for _, c in own), self.class_counts, [0]]).astype(float)
+        self.symbol_counts = np.concatenate([*(c for _, c, _ in own), self.class_counts, [0]]).astype(float)
+        #: Each symbol's place in the first guess.
+        self.places = np.frombuffer(b"".join([*(p for _, _, p in own), bytes(word_place(b"class %d" % c) for c in range(CLASSES + 1))]), np.uint8)
         # Good and Turing: the share of tokens that are new words is that of words seen once
         self.unknown = min(0.5, max(once, 1) / max(self.tokens, 1) if self.tokens else 0.5)
         self.blocks = materialize(self._symbols(coded, counted, offsets, buckets), "symbols")
@@ -330,11 +338,12 @@ class Corpus:
         """
         some = max(1, (states - 1).bit_length())
         rows = 16  # of the square matrix, in a piece
+        shared = self.spark.sparkContext.broadcast(self.places)
 
         def moments(texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
             n, total, squares = 0, np.zeros(WIDTH), np.zeros((WIDTH, WIDTH))
             for sym, lengths in texts:
-                x = _hashed(sym, lengths)
+                x = _hashed(shared.value[sym], lengths)
                 n += len(x)
                 total += x.sum(0)
                 squares += x.T @ x
@@ -352,11 +361,13 @@ class Corpus:
         def assign(texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
             emit = np.zeros((n_symbols, states))
             for sym, lengths in texts:
-                state = ((_hashed(sym, lengths) @ axes > border) @ (1 << np.arange(some))) % states
+                state = ((_hashed(shared.value[sym], lengths) @ axes > border) @ (1 << np.arange(some))) % states
                 emit += np.bincount(sym * states + np.repeat(state, lengths), minlength=n_symbols * states).reshape(n_symbols, states)
             return _chunks(emit)
 
-        return self._emit(self._added(assign), states)
+        emit = self._emit(self._added(assign), states)
+        shared.unpersist()
+        return emit
 
     def baum_welch(self, model: hmm.Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of all training texts: (symbols, states), moves, starts; and the texts' log-likelihood."""
